@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.llm.common import Scratch, table, text_or_empty
+from lodestar.llm.html_text import extract_main_text
 from lodestar.llm.mixing import MixTarget, mix_sources
 from lodestar.llm.sharding import shard_rows
 
@@ -38,5 +39,14 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op3_sharding": op3_sharding, "op4_mixing": op4_mixing}
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return extract_main_text(pages, "html", "main").select(
+        "page_id", "url", F.col("main.text").alias("text"), F.length("main.text").cast("long").alias("n_chars"),
+        F.col("main.n_kept").alias("n_kept"), F.col("main.n_blocks").alias("n_blocks"),
+    )
+
+
+QUERIES = {"op3_sharding": op3_sharding, "op4_mixing": op4_mixing, "op7_html_text": op7_html_text}
 ORACLES: dict[str, str] = {}
