@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from lodestar.llm.common import Scratch, table, text_or_empty
 from lodestar.llm.html_text import extract_main_text
 from lodestar.llm.mixing import MixTarget, mix_sources
+from lodestar.llm.quality import classify_quality
 from lodestar.llm.sharding import shard_rows
+from lodestar.llm.toxicity import score_toxicity
 
 SHARDS, SHARD_SEED = 8, 7
 
@@ -39,6 +41,18 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return score_toxicity(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document from weak labels."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return classify_quality(docs).select("doc_id", "quality_votes", "quality_score", "quality_keep")
+
+
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
@@ -48,5 +62,5 @@ def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op3_sharding": op3_sharding, "op4_mixing": op4_mixing, "op7_html_text": op7_html_text}
+QUERIES = {"op3_sharding": op3_sharding, "op4_mixing": op4_mixing, "op5_toxicity": op5_toxicity, "op7_html_text": op7_html_text, "op10_quality": op10_quality}
 ORACLES: dict[str, str] = {}
