@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodestar.llm.common import Scratch, table, text_or_empty
 from lodestar.llm.html_text import extract_main_text
 from lodestar.llm.mixing import MixTarget, mix_sources
+from lodestar.llm.ngram_join import ngram_components
 from lodestar.llm.quality import classify_quality
 from lodestar.llm.sharding import shard_rows
 from lodestar.llm.toxicity import score_toxicity
@@ -53,6 +54,14 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify_quality(docs).select("doc_id", "quality_votes", "quality_score", "quality_keep")
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of the documents linked by 5-word shingle Jaccard >= 0.75."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return ngram_components(docs, Scratch(spark)).select(
+        "doc_id", "n_shingles", "component_id", F.hex(F.col("set_key")).alias("set_class")
+    )
+
+
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
@@ -62,5 +71,5 @@ def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op3_sharding": op3_sharding, "op4_mixing": op4_mixing, "op5_toxicity": op5_toxicity, "op7_html_text": op7_html_text, "op10_quality": op10_quality}
+QUERIES = {"op3_sharding": op3_sharding, "op4_mixing": op4_mixing, "op5_toxicity": op5_toxicity, "op6_ngram_join": op6_ngram_join, "op7_html_text": op7_html_text, "op10_quality": op10_quality}
 ORACLES: dict[str, str] = {}
