@@ -11,6 +11,7 @@ from lodestar.llm.mixing import MixTarget, mix_sources
 from lodestar.llm.ngram_join import ngram_components
 from lodestar.llm.quality import classify_quality
 from lodestar.llm.sharding import shard_rows
+from lodestar.llm.spotsigs import edit_checks
 from lodestar.llm.toxicity import score_toxicity
 
 SHARDS, SHARD_SEED = 8, 7
@@ -48,6 +49,12 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
 
 
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spot-signature fingerprints of every document and of its edited text."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return edit_checks(docs, Scratch(spark))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document from weak labels."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -71,5 +78,5 @@ def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op3_sharding": op3_sharding, "op4_mixing": op4_mixing, "op5_toxicity": op5_toxicity, "op6_ngram_join": op6_ngram_join, "op7_html_text": op7_html_text, "op10_quality": op10_quality}
+QUERIES = {"op3_sharding": op3_sharding, "op4_mixing": op4_mixing, "op5_toxicity": op5_toxicity, "op6_ngram_join": op6_ngram_join, "op7_html_text": op7_html_text, "op9_fingerprints": op9_fingerprints, "op10_quality": op10_quality}
 ORACLES: dict[str, str] = {}
