@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.llm.common import Scratch, table, text_or_empty
+from lodestar.llm.decontam import contamination
 from lodestar.llm.html_text import extract_main_text
 from lodestar.llm.mixing import MixTarget, mix_sources
 from lodestar.llm.ngram_join import ngram_components
@@ -49,6 +50,12 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that holds a benchmark item, verbatim or edited."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return contamination(docs, table(spark, sf_dir, "benchmark"))
+
+
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spot-signature fingerprints of every document and of its edited text."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -78,5 +85,5 @@ def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op3_sharding": op3_sharding, "op4_mixing": op4_mixing, "op5_toxicity": op5_toxicity, "op6_ngram_join": op6_ngram_join, "op7_html_text": op7_html_text, "op9_fingerprints": op9_fingerprints, "op10_quality": op10_quality}
+QUERIES = {"op3_sharding": op3_sharding, "op4_mixing": op4_mixing, "op5_toxicity": op5_toxicity, "op6_ngram_join": op6_ngram_join, "op7_html_text": op7_html_text, "op8_decontamination": op8_decontamination, "op9_fingerprints": op9_fingerprints, "op10_quality": op10_quality}
 ORACLES: dict[str, str] = {}
