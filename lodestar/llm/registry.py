@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodestar.llm.common import Scratch, table, text_or_empty
 from lodestar.llm.decontam import contamination
 from lodestar.llm.html_text import extract_main_text
+from lodestar.llm.lm_scoring import score_documents
 from lodestar.llm.mixing import MixTarget, mix_sources
 from lodestar.llm.ngram_join import ngram_components
 from lodestar.llm.quality import classify_quality
@@ -18,6 +19,53 @@ from lodestar.llm.toxicity import score_toxicity
 SHARDS, SHARD_SEED = 8, 7
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stupid-backoff trigram score of every document under all the others."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return score_documents(docs).select(
+        "doc_id", "n_words", F.round("log_score", 4).alias("log_score"), F.round("mean_log_score", 6).alias("mean_log_score"),
+        "found_0", "found_1", "found_2", "found_3",
+    )
+
+
+OP1_SQL = r"""
+WITH tokens AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \t\n\x0B\f\r]+') AS l
+  FROM documents
+), words AS (
+  SELECT doc_id, unnest(l) AS w, generate_subscripts(l, 1) AS i FROM tokens
+), placed AS (
+  SELECT *, lag(w, 1) OVER d AS v, lag(w, 2) OVER d AS u FROM words WINDOW d AS (PARTITION BY doc_id ORDER BY i)
+), counted AS (
+  SELECT *,
+    (SELECT count(*) FROM words) - count(*) OVER (PARTITION BY doc_id) AS others,
+    count(*) OVER (PARTITION BY w) - count(*) OVER (PARTITION BY doc_id, w) AS c1,
+    CASE WHEN v IS NULL THEN 0 ELSE count(*) OVER (PARTITION BY v, w) - count(*) OVER (PARTITION BY doc_id, v, w) END AS c2,
+    CASE WHEN u IS NULL THEN 0 ELSE count(*) OVER (PARTITION BY u, v, w) - count(*) OVER (PARTITION BY doc_id, u, v, w) END AS c3
+  FROM placed
+), context AS (
+  SELECT *, lag(c1) OVER d AS k1, lag(c2) OVER d AS k2 FROM counted WINDOW d AS (PARTITION BY doc_id ORDER BY i)
+), scored AS (
+  SELECT doc_id,
+    CASE WHEN c3 > 0 THEN 3 WHEN c2 > 0 THEN 2 WHEN c1 > 0 THEN 1 ELSE 0 END AS level,
+    CASE WHEN c3 > 0 THEN ln(c3 / k2)
+         WHEN c2 > 0 THEN ln(c2 / k1) + CASE WHEN u IS NULL THEN 0 ELSE ln(0.4) END
+         ELSE CASE WHEN c1 > 0 THEN ln(c1 / others) ELSE ln(0.4 / (others + 1.0)) END
+              + CASE WHEN v IS NULL THEN 0 ELSE ln(0.4) END + CASE WHEN u IS NULL THEN 0 ELSE ln(0.4) END
+    END AS s
+  FROM context
+), summed AS (
+  SELECT doc_id, count(*) AS n, sum(s) AS total, count(*) FILTER (WHERE level = 0) AS f0, count(*) FILTER (WHERE level = 1) AS f1,
+    count(*) FILTER (WHERE level = 2) AS f2, count(*) FILTER (WHERE level = 3) AS f3
+  FROM scored GROUP BY doc_id
+)
+SELECT t.doc_id, coalesce(n, 0)::bigint AS n_words, round(coalesce(total, 0.0), 4) AS log_score, round(total / n, 6) AS mean_log_score,
+  coalesce(f0, 0)::bigint AS found_0, coalesce(f1, 0)::bigint AS found_1, coalesce(f2, 0)::bigint AS found_2, coalesce(f3, 0)::bigint AS found_3
+FROM tokens t LEFT JOIN summed USING (doc_id)
+"""
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents into shards 0-7, by the ``rows`` law."""
     text = text_or_empty()
@@ -85,5 +133,5 @@ def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op3_sharding": op3_sharding, "op4_mixing": op4_mixing, "op5_toxicity": op5_toxicity, "op6_ngram_join": op6_ngram_join, "op7_html_text": op7_html_text, "op8_decontamination": op8_decontamination, "op9_fingerprints": op9_fingerprints, "op10_quality": op10_quality}
-ORACLES: dict[str, str] = {}
+QUERIES = {"op1_lm_scoring": op1_lm_scoring, "op3_sharding": op3_sharding, "op4_mixing": op4_mixing, "op5_toxicity": op5_toxicity, "op6_ngram_join": op6_ngram_join, "op7_html_text": op7_html_text, "op8_decontamination": op8_decontamination, "op9_fingerprints": op9_fingerprints, "op10_quality": op10_quality}
+ORACLES: dict[str, str] = {"op1_lm_scoring": OP1_SQL}
