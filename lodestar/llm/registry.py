@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodestar.llm.common import Scratch, table, text_or_empty
 from lodestar.llm.decontam import contamination
 from lodestar.llm.html_text import extract_main_text
+from lodestar.llm.line_dedup import line_components
 from lodestar.llm.lm_scoring import score_documents
 from lodestar.llm.mixing import MixTarget, mix_sources
 from lodestar.llm.ngram_join import ngram_components
@@ -66,6 +67,12 @@ FROM tokens t LEFT JOIN summed USING (doc_id)
 """
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line of every document, and the line that stands for its component."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_components(docs, Scratch(spark))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents into shards 0-7, by the ``rows`` law."""
     text = text_or_empty()
@@ -133,5 +140,5 @@ def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_lm_scoring": op1_lm_scoring, "op3_sharding": op3_sharding, "op4_mixing": op4_mixing, "op5_toxicity": op5_toxicity, "op6_ngram_join": op6_ngram_join, "op7_html_text": op7_html_text, "op8_decontamination": op8_decontamination, "op9_fingerprints": op9_fingerprints, "op10_quality": op10_quality}
+QUERIES = {"op1_lm_scoring": op1_lm_scoring, "op2_line_dedup": op2_line_dedup, "op3_sharding": op3_sharding, "op4_mixing": op4_mixing, "op5_toxicity": op5_toxicity, "op6_ngram_join": op6_ngram_join, "op7_html_text": op7_html_text, "op8_decontamination": op8_decontamination, "op9_fingerprints": op9_fingerprints, "op10_quality": op10_quality}
 ORACLES: dict[str, str] = {"op1_lm_scoring": OP1_SQL}
