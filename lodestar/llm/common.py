@@ -65,3 +65,37 @@ def by_value(module_name: str) -> None:
 
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
+
+
+BITMAP_BITS = 1 << 23  # 131,072 words of 64 bits: the bound of every bitmap broadcast
+
+
+def bitmap(keys: DataFrame, name: str = "key") -> DataFrame:
+    """(w, bits): which slots of a fixed-size bitmap the keys fall in."""
+    slot = F.pmod(F.xxhash64(name), F.lit(BITMAP_BITS))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 64).cast("int"))
+    return keys.groupBy(F.shiftright(slot, 6).alias("w")).agg(F.bit_or(bit).alias("bits"))
+
+
+def marked(df: DataFrame, bits: DataFrame, name: str = "key") -> DataFrame:
+    """df with ``hit``: whether its key's slot is set. The broadcast has
+    BITMAP_BITS / 64 rows at most, whatever the number of keys."""
+    slot = F.pmod(F.xxhash64(name), F.lit(BITMAP_BITS))
+    there = F.call_function("shiftright", F.col("__bits"), (slot % 64).cast("int")).bitwiseAND(F.lit(1)) == 1
+    words = bits.select(F.col("w").alias("__w"), F.col("bits").alias("__bits"))
+    return (
+        df.withColumn("__w", F.shiftright(slot, 6)).join(F.broadcast(words), "__w", "left")
+        .withColumn("hit", F.coalesce(there, F.lit(False))).drop("__w", "__bits")
+    )
+
+
+def without_ids(df: DataFrame, ids: DataFrame, name: str) -> DataFrame:
+    """df without the rows whose id is in ``ids``; null ids stay.
+
+    Rows that the fixed-size bitmap clears need no shuffle; only the others are
+    held against the ids themselves.
+    """
+    split = marked(df, bitmap(ids, name), name)
+    clear = split.filter("not hit").select(*df.columns)
+    rest = split.filter("hit").select(*df.columns).join(ids.select(name), name, "left_anti").select(*df.columns)
+    return clear.unionByName(rest)
