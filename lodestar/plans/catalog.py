@@ -16,6 +16,7 @@ from lodestar.functions import text as T
 from lodestar.operators import chunking, dense, embed, expansion, fusion, lexical, metrics, ordering, reflect, rerank, tree
 from lodestar.plans import sql as S
 from lodestar.plans.pipeline import PRESETS, Config, Pipeline, compare_chunking, hash_embed
+from lodestar.session import prepare
 from lodestar.sources import readers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,7 +29,7 @@ SEED_WORDS = 6
 
 def query(name: str, oracle: str | None = None):
     def add(f):
-        QUERIES[name] = f
+        QUERIES[name] = lambda spark, d: f(prepare(spark), d)
         if oracle:
             ORACLES[name] = oracle
         return f
@@ -498,13 +499,13 @@ def clean_lines(spark, d):
 
 @query("expand_dedup", """
 WITH v AS (SELECT conv_id AS query_id, turn AS variant_no, text FROM conversations WHERE role = 'user'
-  UNION ALL SELECT conv_id, turn + 1000, upper(text) || '  ' FROM conversations WHERE role = 'user')
+  UNION ALL SELECT conv_id, turn + 1000, lower(text) || '  ' FROM conversations WHERE role = 'user')
 SELECT query_id, text, (row_number() OVER (PARTITION BY query_id ORDER BY variant_no) - 1)::int AS variant_no FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id, lower(trim(text)) ORDER BY variant_no) AS n FROM v) WHERE n = 1""")
 def expand_dedup(spark, d):
     said = table(spark, d, "conversations").filter("role = 'user'").select(F.col("conv_id").alias("query_id"), F.col("turn").alias("variant_no"), "text")
-    shouted = said.select("query_id", (F.col("variant_no") + 1000).alias("variant_no"), F.concat(F.upper("text"), F.lit("  ")).alias("text"))
-    return expansion.ordered_variants(said.unionByName(shouted))
+    whispered = said.select("query_id", (F.col("variant_no") + 1000).alias("variant_no"), F.concat(F.lower("text"), F.lit("  ")).alias("text"))
+    return expansion.ordered_variants(said.unionByName(whispered))
 
 
 @query("hyde_mean_vector", """
@@ -549,7 +550,7 @@ named AS (
 first AS (SELECT query_id, n, list_filter(l, lambda x, i: list_position(l, x) = i) AS l FROM named),
 full_order AS (SELECT query_id, list_concat(l, list_filter(range(1, n + 1), lambda x: NOT list_contains(l, x::int))) AS l FROM first)
 SELECT query_id, chunk_id, place::int AS place FROM (
-  SELECT query_id, unnest(l) AS at, generate_subscripts(l, 1) AS place FROM full_order) JOIN placed USING (query_id) WHERE at = rank AND place <= 4""")
+  SELECT query_id, unnest(l) AS spot, generate_subscripts(l, 1) AS place FROM full_order) JOIN placed USING (query_id) WHERE spot = rank AND place <= 4""")
 def rerank_listwise(spark, d):
     hits = placed_hits(spark, d)
     replied = questions(spark, d).select("query_id", _picked(ORDER_REPLIES, "query_id").alias("reply"))
@@ -590,16 +591,16 @@ CRITIQUE_SQL = f"""
 WITH replied AS (SELECT doc_id, {_picked_sql(CRITIQUE_REPLIES)} AS r, (doc_id % 7 <> 0)::int AS n_hits FROM documents),
 parsed AS (SELECT *, {_object_sql("r")} AS o FROM replied),
 taken AS (
-  SELECT doc_id, n_hits, r, o, o IS NOT NULL AND len(json_keys(o)) > 0 AS some, lower(coalesce(json_extract_string(o, '$.suporte'), 'partially')) AS s,
+  SELECT doc_id, n_hits, r, o, o IS NOT NULL AND len(json_keys(o)) > 0 AS readable, lower(coalesce(json_extract_string(o, '$.suporte'), 'partially')) AS s,
     TRY_CAST(json_extract_string(o, '$.utilidade') AS int) AS u,
     CASE WHEN json_type(o, '$.afirmacoes_sem_respaldo') = 'ARRAY' THEN list_slice(json_extract_string(o, '$.afirmacoes_sem_respaldo[*]'), 1, 5) ELSE []::varchar[] END AS c
   FROM parsed
 ),
 critiques AS (
   SELECT doc_id,
-    CASE WHEN n_hits = 0 THEN 'no_support' WHEN r IS NULL OR NOT some OR s NOT IN ('fully', 'partially', 'no_support') THEN 'partially' ELSE s END AS support,
-    CASE WHEN n_hits = 0 THEN 1 WHEN r IS NULL OR NOT some THEN 3 ELSE coalesce(greatest(1, least(5, u)), 3) END AS utility,
-    CASE WHEN n_hits = 0 OR r IS NULL OR NOT some THEN []::varchar[] ELSE c END AS claims
+    CASE WHEN n_hits = 0 THEN 'no_support' WHEN r IS NULL OR NOT readable OR s NOT IN ('fully', 'partially', 'no_support') THEN 'partially' ELSE s END AS support,
+    CASE WHEN n_hits = 0 THEN 1 WHEN r IS NULL OR NOT readable THEN 3 ELSE coalesce(greatest(1, least(5, u)), 3) END AS utility,
+    CASE WHEN n_hits = 0 OR r IS NULL OR NOT readable THEN []::varchar[] ELSE c END AS claims
   FROM taken
 )"""
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lodestar.operators import dense, embed, expansion, fusion, lexical, metrics, ordering, reflect, rerank, tree
 from lodestar.operators.chunking import chunk_documents
+from lodestar.session import prepare
 from lodestar.sources import readers
 from lodestar.sources.providers import ChatProvider, LocalChat
 
@@ -102,6 +103,7 @@ class Pipeline:
 
     def index(self, docs: DataFrame, strategy: str = "recursive", with_tree: bool = False) -> Index:
         """Index tables of documents(doc_id, title, text)."""
+        prepare(docs.sparkSession)
         chunks = chunk_documents(docs, strategy, self.settings.chunk_size, self.settings.overlap)
         chunks = chunks.withColumn("doc_id", F.col("doc_id").cast("string"))
         if with_tree:
@@ -116,6 +118,7 @@ class Pipeline:
 
     def load(self, spark, path: str) -> Index:
         """A saved index; ValueError when another embedder made it."""
+        prepare(spark)
         return Index(readers.read_index(spark, f"{path}/chunks", self.model), lexical.LexicalIndex.read(spark, f"{path}/lexical"), self.model)
 
     def _query_vectors(self, texts: DataFrame) -> DataFrame:
