@@ -14,10 +14,13 @@ blocks are emitted: for a pair at exactly the threshold each agrees with a chanc
 of 0.39 at least, so all of them differ with a chance under 1e-10; closer pairs are
 safer still. Smaller sets get one token a block and emit every block.
 
+Candidates that parity bit sketches cannot exclude are verified nearest first:
+pairs that verified links already connect need no check of their own.
+
 Blocks that many classes share join through a few leaders first; after the first
 components, pairs of classes that are in one such block but in different
-components are compared by a parity bit sketch whose Hamming distance is a lower
-bound on the symmetric difference, and what it cannot exclude is verified too.
+components are compared by their sketches as well. The Hamming distance of two bit
+sketches is a lower bound on the symmetric difference, so it excludes no link.
 
 Class keys are 64-bit hashes of the sets. Cases: null text and text without words
 have an empty set, link with nothing and are their own component; a text of fewer
@@ -43,6 +46,7 @@ CHUNK_ROWS = 1000
 SMALL, SMALL_BLOCKS, KEPT_BLOCKS = 48, 4096, 48
 SKETCH_WORDS = 32  # 2048 parity bits
 FULL_RUN, LEADERS = 24, 4
+NEAREST_TURNS = 2
 FILTER_BITS = 1 << 23  # fixed-size filter of the classes whose sets are needed
 
 _HASH = np.uint64((1 << ROW_SHIFT) - 1)
@@ -292,6 +296,56 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").filter(linked("set_a", "set_b")).select("a", "b")
 
 
+def close_pairs(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b, apart): the pairs that the parity sketches cannot exclude, with the
+    share of the two sets that is at least different, in thousandths."""
+    _ship()
+
+    @F.arrow_udf("int")
+    def apart(x: pa.Array, y: pa.Array, size: pa.Array) -> pa.Array:
+        bits = [np.frombuffer(b"".join(z.to_pylist()), np.uint64).reshape(-1, SKETCH_WORDS) for z in (x, y)]
+        total = size.to_numpy(zero_copy_only=False)
+        differ = np.bitwise_count(bits[0] ^ bits[1]).sum(axis=1, dtype=np.int64)
+        return pa.array((1000 * differ // total).astype(np.int32), mask=differ * (DEN + NUM) > total * (DEN - NUM))
+
+    left = classes.select(F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("x"))
+    right = classes.select(F.col("key").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("y"))
+    both = pairs.join(left, "a").join(right, "b")
+    return both.select("a", "b", apart("x", "y", F.col("n_a") + F.col("n_b")).alias("apart")).filter("apart is not null")
+
+
+def join_components(pairs: DataFrame, check, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Verified links that connect what all verified pairs would connect, and the components.
+
+    First each class is checked against its closest candidate, then against its
+    closest one outside its component, then every pair that is still between two
+    components; pairs inside one component need no check.
+    """
+    left, links, roots = pairs, None, None
+    for turn in range(NEAREST_TURNS + 1):
+        if turn < NEAREST_TURNS:
+            sides = left.select(F.col("a").alias("x"), "apart", "a", "b").unionByName(left.select(F.col("b").alias("x"), "apart", "a", "b"))
+            chosen = sides.groupBy("x").agg(F.min(F.struct("apart", "a", "b")).alias("m")).select("m.a", "m.b").distinct()
+            chosen = scratch.cut(chosen, f"chosen_{turn}")
+        else:
+            chosen = left
+        found = check(chosen, f"turn_{turn}")
+        links = found if links is None else links.unionByName(found)
+        roots = scratch.cut(components(links), f"roots_{turn}")
+        if turn == NEAREST_TURNS:
+            break
+        ra, rb = roots.select(F.col("node").alias("na"), F.col("root").alias("ra")), roots.select(F.col("node").alias("nb"), F.col("root").alias("rb"))
+        left = scratch.cut(
+            left.join(chosen, ["a", "b"], "left_anti")
+            .join(ra, F.col("a") == F.col("na"), "left").join(rb, F.col("b") == F.col("nb"), "left")
+            .filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b", "apart"),
+            f"left_{turn}",
+        )
+        if not left.limit(1).count():
+            break
+    return links, roots
+
+
 def ngram_components(
     df: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE
 ) -> DataFrame:
@@ -299,25 +353,29 @@ def ngram_components(
     spark = df.sparkSession
     base = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     profiled = base.select("id", profile_column(F.col("text"), k).alias("p"))
-    rows = scratch.cut(profiled.select("id", "p.n", "p.key", "p.sigs", "p.sketch"), "profiles")
+    profiles = scratch.cut(profiled.select("id", "p.n", "p.key", "p.sigs", "p.sketch"), "profiles")
     classes = scratch.cut(
-        rows.filter("n > 0").groupBy("key")
+        profiles.filter("n > 0").groupBy("key")
         .agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sigs").alias("sigs"), F.first("sketch").alias("sketch")),
         "classes",
     )
+    rows = scratch.cut(profiles.select("id", "n", "key"), "rows")
+    scratch.drop("profiles")
     width = shuffle_width(spark)
     exploded = classes.select("n", "key", F.explode("sigs").alias("sig"))
     sorted_runs = exploded.repartition(width, "sig").sortWithinPartitions("sig", "n", "key").select("sig", "n", "key")
     found = scratch.cut(sorted_runs.mapInArrow(candidate_pairs, "a bigint, b bigint"), "found")
-    pairs = scratch.cut(found.filter("b is not null").distinct(), "pairs")
+    pairs = scratch.cut(close_pairs(found.filter("b is not null").distinct(), classes), "pairs")
+
     def check(candidates: DataFrame, name: str) -> DataFrame:
         keys = candidates.select(F.col("a").alias("key")).unionByName(candidates.select(F.col("b").alias("key"))).distinct()
         reps = scratch.cut(classes.select("key", "rep").join(keys, "key", "left_semi"), f"reps_{name}")
         sets = scratch.cut(sets_of(base, reps, k), f"sets_{name}")
-        return scratch.cut(verified(candidates, sets), f"links_{name}")
+        links = scratch.cut(verified(candidates.select("a", "b"), sets), f"links_{name}")
+        scratch.drop(f"sets_{name}", f"reps_{name}")
+        return links
 
-    links = check(pairs, "first")
-    roots = scratch.cut(components(links), "roots_first")
+    links, roots = join_components(pairs, check, scratch)
     long_runs = found.filter("b is null").select(F.col("a").alias("sig")).distinct()
     members = (
         exploded.join(long_runs, "sig").join(roots, F.col("key") == F.col("node"), "left")
@@ -331,8 +389,7 @@ def ngram_components(
             sketched.repartition(width, "sig").sortWithinPartitions("sig", "n", "key")
             .select("sig", "n", "key", "root", "sketch").mapInArrow(leftover_pairs, "a bigint, b bigint").distinct()
         )
-        rest = scratch.cut(rest, "rest")
-        more = check(rest, "rest")
+        more = check(scratch.cut(rest, "rest"), "rest")
         roots = scratch.cut(components(links.unionByName(more)), "roots")
     named = classes.select("key", "rep").join(roots, F.col("key") == F.col("node"), "left").select(
         "key", "rep", F.coalesce("root", "key").alias("root")
