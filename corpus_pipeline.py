@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import Scratch, table, without_ids
+from lodestar.llm.common import Scratch, prepare, table, without_ids
 from lodestar.llm.decontam import clean_documents
 from lodestar.llm.mixing import MixTarget, mix_sources
 from lodestar.llm.ngram_join import ngram_components
@@ -23,6 +23,7 @@ MAX_REPETITION = 2.0
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that the weak-label quality classifier rejects."""
+    prepare(spark)
     return classify_quality(docs).filter("quality_keep").select(*docs.columns)
 
 
@@ -42,6 +43,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that hold a benchmark item, verbatim or edited."""
+    prepare(spark)
     return clean_documents(docs, table(spark, sf_dir, "benchmark"))
 
 

@@ -10,6 +10,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+ARROW_ROWS = 1000
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 
@@ -30,6 +31,19 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def prepare(spark: SparkSession) -> SparkSession:
+    """Session settings for correct results and bounded worker memory.
+
+    Spark 4.1 takes the union of two co-partitioned inputs as partitioned like them,
+    but adaptive execution may coalesce the inputs differently, so aggregations over
+    the union can miss rows of a key: that shortcut is turned off. Arrow batches are
+    kept small because a row can be a whole document.
+    """
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    return spark
+
+
 class Scratch:
     """Tables written to the shared folder to cut lineage.
 
@@ -39,7 +53,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession):
-        self.spark = spark
+        self.spark = prepare(spark)
         self.paths: dict[str, str] = {}
 
     def cut(self, df: DataFrame, name: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import Scratch, table, text_or_empty
+from lodestar.llm.common import Scratch, prepare, table, text_or_empty
 from lodestar.llm.decontam import contamination
 from lodestar.llm.html_text import extract_main_text
 from lodestar.llm.line_dedup import line_components
@@ -140,5 +140,10 @@ def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _prepared(f):
+    return lambda spark, sf_dir: f(prepare(spark), sf_dir)
+
+
 QUERIES = {"op1_lm_scoring": op1_lm_scoring, "op2_line_dedup": op2_line_dedup, "op3_sharding": op3_sharding, "op4_mixing": op4_mixing, "op5_toxicity": op5_toxicity, "op6_ngram_join": op6_ngram_join, "op7_html_text": op7_html_text, "op8_decontamination": op8_decontamination, "op9_fingerprints": op9_fingerprints, "op10_quality": op10_quality}
+QUERIES = {name: _prepared(f) for name, f in QUERIES.items()}
 ORACLES: dict[str, str] = {"op1_lm_scoring": OP1_SQL}
