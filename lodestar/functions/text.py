@@ -11,6 +11,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Accented Latin-1 lower-case letters and their base letters.
 ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
@@ -46,7 +47,7 @@ def fold(c: Column) -> Column:
     return F.translate(F.lower(c), ACCENTED, BASE)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def fold_exact(texts: pd.Series) -> pd.Series:
     """Lower case without any combining mark (NFKD), for text beyond Latin-1."""
 
