@@ -109,7 +109,8 @@ def without_ids(df: DataFrame, ids: DataFrame, name: str) -> DataFrame:
     Rows that the fixed-size bitmap clears need no shuffle; only the others are
     held against the ids themselves.
     """
-    split = marked(df, bitmap(ids, name), name)
-    clear = split.filter("not hit").select(*df.columns)
-    rest = split.filter("hit").select(*df.columns).join(ids.select(name), name, "left_anti").select(*df.columns)
-    return clear.unionByName(rest)
+    packed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(f"`{name}`").alias("key"))
+    gone = ids.select(F.col(name).alias("key"))
+    split = marked(packed, bitmap(gone))
+    clear = split.filter("not hit").select("row.*")
+    return clear.unionByName(split.filter("hit").drop("hit").join(gone, "key", "left_anti").select("row.*"))

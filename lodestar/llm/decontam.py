@@ -236,5 +236,5 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, threshold: float = TH
     for items in item_slices(benchmark, SLICE_WORDS):
         items.keep(rare_seeds(docs, items, text_col))
         found = match_column(F.col(text_col), spark.sparkContext.broadcast(items))
-        kept = kept.withColumn("__m", found).filter(~F.exists("__m", lambda m: m["score"] >= F.lit(threshold))).drop("__m")
+        kept = kept.withColumn("__lodestar_matches", found).filter(~F.exists("__lodestar_matches", lambda m: m["score"] >= F.lit(threshold))).drop("__lodestar_matches")
     return kept

@@ -14,6 +14,7 @@ import numpy as np
 from lodestar.llm import wordhash as wh
 
 BITS = 18
+SOFT = 0.15
 
 
 def word_features(data, offsets, is_word=wh.ALNUM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -91,16 +92,21 @@ def fit(
 
 
 def recalibrate(model: Linear, p: np.ndarray, target: np.ndarray, threshold: float) -> Linear:
-    """Shift the bias so that ``threshold`` is the cut with the best F1."""
+    """Shift the bias so that ``threshold`` is the cut with the best F1.
+
+    Decisions are softened over SOFT logits, so a cut inside a cluster of nearly
+    equal scores is no better than a guess: weights that a penalty has shrunk to
+    almost nothing cannot decide.
+    """
     if not 0 < target.sum() < len(target):
         return model
-    order = np.argsort(-p, kind="stable")
-    hits = np.cumsum(target[order])
-    f1 = 2 * hits / (np.arange(1, len(p) + 1) + target.sum())
-    last = np.append(p[order][1:] < p[order][:-1], True)
-    best = int(np.argmax(np.where(last, f1, 0)))
-    logit = lambda x: float(np.log(np.clip(x, 1e-9, 1 - 1e-9) / (1 - np.clip(x, 1e-9, 1 - 1e-9))))
-    upper = logit(p[order][best])
-    lower = logit(p[order][best + 1]) if best + 1 < len(p) else upper - 2
-    cut = (upper + lower) / 2
-    return Linear(model.weights, model.bias + logit(threshold) - cut)
+    z = np.log(np.clip(p, 1e-9, 1 - 1e-9) / (1 - np.clip(p, 1e-9, 1 - 1e-9)))
+    best, where = -1.0, []
+    for cut in np.linspace(z.min(), z.max(), 201):
+        soft = 1 / (1 + np.exp(-np.clip((z - cut) / SOFT, -30, 30)))
+        f1 = 2 * (soft * target).sum() / (soft.sum() + target.sum())
+        if f1 > best + 1e-3:
+            best, where = f1, []
+        if f1 > best - 1e-3:
+            where.append(cut)
+    return Linear(model.weights, model.bias + float(np.log(threshold / (1 - threshold)) - np.median(where)))

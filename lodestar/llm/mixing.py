@@ -162,8 +162,10 @@ def mix_sources(
     """Every column of df once per copy, with ``mix_epoch`` (0-based copy),
     ``mix_tokens``, ``mix_weight``, ``mix_exponent``, ``mix_block`` and ``mix_key``
     (the row's place in that epoch's permutation: blocks first, rows within)."""
+    made = ("mix_epoch", "mix_tokens", "mix_weight", "mix_exponent", "mix_block", "mix_key")
+    kept = [F.col(f"`{c}`") for c in df.columns if c not in made]
     prepared = df.select(
-        "*",
+        F.struct(*kept).alias("row"),
         F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("null")).alias("__src"),
         token_count(text_col).alias("__tok"),
         F.xxhash64(F.lit(target.seed), F.col(id_col), F.col(text_col)).bitwiseAND(F.lit((1 << 63) - 1)).alias("__h"),
@@ -190,5 +192,5 @@ def mix_sources(
         .withColumn("mix_tokens", F.col("__tok"))
         .withColumn("mix_block", F.pmod(F.xxhash64("mix_epoch", "mix_block0"), F.lit(target.blocks)).cast("int"))
         .withColumn("mix_key", F.xxhash64("mix_epoch", "__h"))
-        .drop("__src", "__tok", "__h", "mix_block0", "passes", "cut_block", "cut_hash", "rest", "__copies")
+        .select("row.*", *made)
     )

@@ -134,6 +134,9 @@ class LabelModel:
 def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, iterations: int = 100) -> LabelModel:
     """Accuracies from vote patterns alone: starts from the vote balance."""
     k = patterns.shape[1]
+    if not len(patterns):
+        even = np.ones((k, 3))
+        return LabelModel(0.95, even, even)
     balance = patterns.clip(-1, 1)
     start = np.where((balance < 0).any(axis=1), 0.3, 0.95)
     p, counts = start, counts.astype(float)

@@ -110,15 +110,15 @@ def numbered(df: DataFrame, order: list[Column], scratch: Scratch, name: str) ->
     the scan, so equal keys spread over partitions.
     """
     spark = df.sparkSession
-    keyed = df.select("*", *[c.alias(f"__k{i}") for i, c in enumerate(order)])
-    keyed = keyed.withColumn("__scan", F.monotonically_increasing_id())
+    kept = F.struct(*[F.col(f"`{c}`") for c in df.columns if c != "row_no"]).alias("row")
+    keyed = df.select(kept, *[c.alias(f"__k{i}") for i, c in enumerate(order)], F.monotonically_increasing_id().alias("__scan"))
     by = [F.col(f"__k{i}").asc_nulls_first() for i in range(len(order))] + [F.col("__scan").asc()]
     placed = (
         keyed.repartitionByRange(shuffle_width(spark), *by)
         .sortWithinPartitions(*by)
-        .select(*[F.col(f"`{c}`") for c in df.columns], F.monotonically_increasing_id().alias("__at"))
+        .select("row", F.monotonically_increasing_id().alias("__at"))
         .select(
-            *[F.col(f"`{c}`") for c in df.columns],
+            "row",
             F.shiftright("__at", ROW_BITS).cast("int").alias("__part"),
             F.col("__at").bitwiseAND(F.lit((1 << ROW_BITS) - 1)).alias("__row"),
         )
@@ -131,8 +131,8 @@ def numbered(df: DataFrame, order: list[Column], scratch: Scratch, name: str) ->
         total += n
     offsets = spark.createDataFrame(starts, "__part int, __start long")
     # one row a shuffle partition: the broadcast is bounded by that setting
-    out = placed.join(F.broadcast(offsets), "__part").withColumn("row_no", F.col("__row") + F.col("__start"))
-    return out.drop("__part", "__row", "__start"), total
+    out = placed.join(F.broadcast(offsets), "__part").select("row.*", (F.col("__row") + F.col("__start")).alias("row_no"))
+    return out, total
 
 
 def shard_rows(
@@ -142,10 +142,10 @@ def shard_rows(
     if n_shards < 1:
         raise ValueError("n_shards must be positive")
     rows, n = numbered(df, order, scratch, name)
-    position = permuted(F.col("row_no"), max(1, n), seed)
-    return (
-        rows.withColumn("__pos", position)
-        .withColumn("shard", (F.col("__pos") % F.lit(n_shards)).cast("int"))
-        .withColumn("slot", F.call_function("div", F.col("__pos"), F.lit(n_shards)).cast("long"))
-        .drop("__pos")
+    kept = [F.col(f"`{c}`") for c in rows.columns if c not in ("shard", "slot")]
+    placed = rows.select(F.struct(*kept).alias("row"), permuted(F.col("row_no"), max(1, n), seed).alias("at"))
+    return placed.select(
+        "row.*",
+        (F.col("at") % F.lit(n_shards)).cast("int").alias("shard"),
+        F.call_function("div", F.col("at"), F.lit(n_shards)).cast("long").alias("slot"),
     )

@@ -98,6 +98,8 @@ def edit_checks(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_co
         keyed.join(wants, F.col("id").eqNullSafe(F.col("next_id")) & (F.col("h") == F.col("next_h")))
         .select("to_id", "to_h", F.left("t", "take").alias("piece"), signatures(F.col("t")).alias("next_sigs"))
     )
+    # rows equal in id and text each sent the same piece
+    sent = sent.groupBy("to_id", "to_h").agg(F.first("piece").alias("piece"), F.first("next_sigs").alias("next_sigs"))
     joined = keyed.join(sent, F.col("id").eqNullSafe(F.col("to_id")) & (F.col("h") == F.col("to_h")))
     n = F.length("t").cast("long")
     made = joined.select(
