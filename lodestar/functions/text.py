@@ -122,9 +122,6 @@ def window_chunks(c: Column, size: int = 600, overlap: int = 100) -> Column:
     return once(strip(F.coalesce(c, F.lit(""))), cut)
 
 
-EMPTY = "array()"
-
-
 def _tail(held: Column, overlap: int) -> Column:
     """struct(cur, size): the longest run of last sentences within the overlap."""
     start = F.struct(F.array().cast("array<string>").alias("cur"), F.lit(0).alias("size"), F.lit(False).alias("full"))
