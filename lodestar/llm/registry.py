@@ -126,9 +126,32 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of the documents linked by 5-word shingle Jaccard >= 0.75."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return ngram_components(docs, Scratch(spark)).select(
-        "doc_id", "n_shingles", "component_id", F.hex(F.col("set_key")).alias("set_class")
-    )
+    return ngram_components(docs, Scratch(spark)).select("doc_id", "n_shingles", "component_id")
+
+
+OP6_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \t\n\x0B\f\r]+') AS l
+  FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, unnest(CASE
+    WHEN len(l) >= 5 THEN list_transform(range(1, len(l) - 3), lambda i: array_to_string(l[i:i + 4], ' '))
+    WHEN len(l) > 0 THEN [array_to_string(l, ' ')] ELSE []::varchar[] END) AS s FROM words
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM shingles a JOIN shingles b USING (s) WHERE a.doc_id < b.doc_id GROUP BY ALL
+), links AS (
+  SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)
+), edges AS (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reached AS (
+  SELECT doc_id, doc_id AS r FROM documents UNION SELECT doc_id, b FROM reached JOIN edges ON r = a
+)
+SELECT doc_id, coalesce(n, 0)::bigint AS n_shingles, component_id
+FROM (SELECT doc_id, min(r) AS component_id FROM reached GROUP BY doc_id) LEFT JOIN sizes USING (doc_id)
+"""
 
 
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,4 +169,4 @@ def _prepared(f):
 
 QUERIES = {"op1_lm_scoring": op1_lm_scoring, "op2_line_dedup": op2_line_dedup, "op3_sharding": op3_sharding, "op4_mixing": op4_mixing, "op5_toxicity": op5_toxicity, "op6_ngram_join": op6_ngram_join, "op7_html_text": op7_html_text, "op8_decontamination": op8_decontamination, "op9_fingerprints": op9_fingerprints, "op10_quality": op10_quality}
 QUERIES = {name: _prepared(f) for name, f in QUERIES.items()}
-ORACLES: dict[str, str] = {"op1_lm_scoring": OP1_SQL}
+ORACLES: dict[str, str] = {"op1_lm_scoring": OP1_SQL, "op6_ngram_join": OP6_SQL}
