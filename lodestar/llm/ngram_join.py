@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm import wordhash as wh
-from lodestar.llm.common import Scratch, by_value, shuffle_width
+from lodestar.llm.common import Scratch, bitmap, by_value, marked, shuffle_width
 from lodestar.llm.graph import components
 
 SHINGLE = 5
@@ -377,17 +377,19 @@ def ngram_components(
 
     links, roots = join_components(pairs, check, scratch)
     long_runs = found.filter("b is null").select(F.col("a").alias("sig")).distinct()
-    members = (
-        exploded.join(long_runs, "sig").join(roots, F.col("key") == F.col("node"), "left")
-        .select("sig", "n", "key", F.coalesce("root", "key").alias("root"))
+    rooted = classes.join(roots, F.col("key") == F.col("node"), "left").select(
+        "n", F.col("key").alias("cls"), F.coalesce("root", "key").alias("root"), "sigs", "sketch"
     )
-    mixed = members.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("sig")
-    members = scratch.cut(members.join(mixed, "sig"), "members")
-    if members.limit(1).count():
-        sketched = members.join(classes.select("key", "sketch"), "key")
+    # the bitmaps let some other blocks through, which changes nothing but the work
+    shared = marked(rooted.select("root", F.explode("sigs").alias("key")), bitmap(long_runs.select(F.col("sig").alias("key"))))
+    mixed = shared.filter("hit").groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
+    mixed = scratch.cut(mixed, "mixed")
+    if mixed.limit(1).count():
+        members = marked(rooted.select("n", "cls", "root", "sketch", F.explode("sigs").alias("key")), bitmap(mixed)).filter("hit")
         rest = (
-            sketched.repartition(width, "sig").sortWithinPartitions("sig", "n", "key")
-            .select("sig", "n", "key", "root", "sketch").mapInArrow(leftover_pairs, "a bigint, b bigint").distinct()
+            members.select(F.col("key").alias("sig"), "n", F.col("cls").alias("key"), "root", "sketch")
+            .repartition(width, "sig").sortWithinPartitions("sig", "n", "key")
+            .mapInArrow(leftover_pairs, "a bigint, b bigint").distinct()
         )
         more = check(scratch.cut(rest, "rest"), "rest")
         roots = scratch.cut(components(links.unionByName(more)), "roots")
