@@ -45,7 +45,7 @@ ROW_SHIFT = 54  # row number above, 54 bits of shingle hash below
 CHUNK_ROWS = 1000
 SMALL, SMALL_BLOCKS, KEPT_BLOCKS = 48, 4096, 48
 SKETCH_WORDS = 32  # 2048 parity bits
-FULL_RUN, LEADERS = 24, 4
+FULL_RUN, LEADERS = 6, 2
 NEAREST_TURNS = 2
 FILTER_BITS = 1 << 23  # fixed-size filter of the classes whose sets are needed
 
