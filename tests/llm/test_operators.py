@@ -492,3 +492,32 @@ def test_line_components_match_brute_force(spark):
     out = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs_of(spark, texts), Scratch(spark)).collect()}
     assert out[64] == "" and out[60] is None and out[62] == "\n\n"
     assert line_dedup.line_components(docs_of(spark, texts).limit(0), Scratch(spark)).count() == 0
+
+
+def near_lines(draw, n_words, n_pairs):
+    """Lines of n_words words and copies with changed letters, at a likeness of 0.75 at least."""
+    out = []
+    while len(out) < 2 * n_pairs:
+        x = " ".join("".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(draw.randrange(4, 9))) for _ in range(n_words))
+        y = list(x)
+        for _ in range(draw.randrange(1, 2 + n_words // 5)):
+            y[draw.randrange(len(y))] = draw.choice("0123456789")
+        y = "".join(y)
+        a, b = ({t[k : k + 5] for k in range(len(t) - 4)} for t in (x, y))
+        if x != y and len(a & b) >= 0.75 * len(a | b):
+            out += [x, y]
+    return out
+
+
+def lost_pairs(spark, lines):
+    """The places of the pairs (0, 1), (2, 3), ... that are not in one component."""
+    found = line_dedup.line_components(docs_of(spark, lines), Scratch(spark)).collect()
+    kept = {r["doc_id"]: r["kept_id"] for r in found}
+    return [i for i in range(0, len(lines), 2) if kept[i] != kept[i + 1]]
+
+
+def test_line_components_recall_by_line_length(spark):
+    draw = random.Random(5)
+    lengths = (2, 3, 4, 5, 7, 9, 14, 30)
+    lines = [x for n_words in lengths for x in near_lines(draw, n_words, 150)]
+    assert collections.Counter(lengths[i // 300] for i in lost_pairs(spark, lines)) == {}
