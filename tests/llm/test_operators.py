@@ -521,3 +521,24 @@ def test_line_components_recall_by_line_length(spark):
     lengths = (2, 3, 4, 5, 7, 9, 14, 30)
     lines = [x for n_words in lengths for x in near_lines(draw, n_words, 150)]
     assert collections.Counter(lengths[i // 300] for i in lost_pairs(spark, lines)) == {}
+
+
+def crowd_of_pairs(draw, n_pairs):
+    """Near copies whose lines all start with one passage and differ in their tails."""
+    passage = " ".join(words(draw, 20))
+    out = []
+    for _ in range(n_pairs):
+        tail = ["".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(7)]
+        out.append(f"{passage} {' '.join(tail)}")
+        tail[draw.randrange(7)] = "".join(draw.choice("0123456789") for _ in range(6))
+        out.append(f"{passage} {' '.join(tail)}")
+    return out
+
+
+def test_line_components_link_near_copies_inside_a_crowd(spark):
+    for n_pairs in (20, 200):  # bands within CROWD, and beyond
+        lines = crowd_of_pairs(random.Random(8), n_pairs)
+        got = {(r["doc_id"], r["line_no"]): (r["kept_id"], r["kept_line"]) for r in line_dedup.line_components(docs_of(spark, lines), Scratch(spark)).collect()}
+        want = brute_lines(lines)
+        assert n_pairs <= len(set(want.values())) < 2 * n_pairs, "the crowd is not one component"
+        assert sum(got[k] != want[k] for k in want) == 0, n_pairs
