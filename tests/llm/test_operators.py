@@ -542,3 +542,15 @@ def test_line_components_link_near_copies_inside_a_crowd(spark):
         want = brute_lines(lines)
         assert n_pairs <= len(set(want.values())) < 2 * n_pairs, "the crowd is not one component"
         assert sum(got[k] != want[k] for k in want) == 0, n_pairs
+
+
+def test_line_components_of_lines_without_spaces(spark):
+    draw = random.Random(21)
+    lines = []
+    for letters, mark in (([chr(0x4E00 + i) for i in range(800)], "〇"), ("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/", "="), ("0123456789\t", "x")):
+        start = "".join(draw.choice(letters) for _ in range(16))
+        for at in (4, 30, 100):  # a changed character inside and behind the common start
+            for _ in range(20):
+                x = start.strip() + "".join(draw.choice(letters) for _ in range(180)) + "."
+                lines += [x, x[:at] + mark + x[at + 1 :]]
+    assert lost_pairs(spark, lines) == []
