@@ -13,7 +13,8 @@ from lodestar.sources.providers import ChatProvider, LocalChat, ask
 
 MAX_ITERATIONS, SEED = 30, 42
 MEMBER_CHARS, CLUSTER_CHARS, SUMMARY_WORDS = 1500, 12000, 200
-EXACT_ROWS = 20_000  # up to here seeding draws from all rows; beyond, from a hashed sample of as many
+EXACT_ROWS = 20_000  # up to here seeding runs on the driver; beyond, as one pass over all rows a centre
+FRESH = 16  # centres after which the running distances are kept
 
 
 def cosine_distance(a, b):
@@ -43,6 +44,33 @@ def seed_centres(rows: np.ndarray, k: int, seed: int = SEED) -> np.ndarray:
     return np.stack(chosen)
 
 
+def seed_centres_apart(rows: DataFrame, k: int, seed: int = SEED) -> np.ndarray:
+    """The law of ``seed_centres`` over all of rows(id, embedding), one row to the driver a centre.
+
+    The row with the least -ln(u) / weight, u drawn by hash from the id and the round,
+    is drawn with a chance by its weight; rows without weight come only when all are.
+    """
+    spark = rows.sparkSession
+    cut = "checkpoint" if spark.sparkContext.getCheckpointDir() else "localCheckpoint"
+    near = rows.select("id", "embedding", F.lit(None).cast("double").alias("near"))
+    chosen, fresh = [], []
+    for i in range(k):
+        now = near
+        if fresh:
+            table = spark.createDataFrame([(fresh,)], "cs array<array<double>>")
+            least = F.array_min(F.transform("cs", lambda c: cosine_distance(F.col("embedding"), c)))
+            now = near.join(F.broadcast(table)).select("id", "embedding", F.least("near", least).alias("near"))
+        if len(fresh) == FRESH:
+            near, fresh = getattr(now, cut)(), []
+            now = near
+        u = (F.shiftrightunsigned(F.xxhash64("id", F.lit(i), F.lit(seed)), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
+        weight = F.coalesce(F.col("near") * F.col("near"), F.lit(1.0))
+        order = F.struct(weight == 0, F.when(weight > 0, -F.log(u) / weight).otherwise(u), "id")
+        chosen.append(list(now.agg(F.min_by("embedding", order)).first()[0]))
+        fresh.append(chosen[-1])
+    return np.array(chosen)
+
+
 def assign(vectors: DataFrame, centres: DataFrame) -> DataFrame:
     """(id, label): nearest centre by cosine distance, ties to the lowest label.
 
@@ -80,9 +108,10 @@ def kmeans(vectors: DataFrame, k: int, max_iterations: int = MAX_ITERATIONS, see
     k = max(1, min(k, n))
     if k == 1:
         return base.select("id", F.lit(0).alias("label"))
-    sample = base if n <= EXACT_ROWS else base.orderBy(F.xxhash64("id")).limit(EXACT_ROWS)
-    rows = np.array([r[0] for r in sample.orderBy("id").select("embedding").collect()])
-    centres = seed_centres(rows, k, seed)
+    if n <= EXACT_ROWS:
+        centres = seed_centres(np.array([r[0] for r in base.orderBy("id").select("embedding").collect()]), k, seed)
+    else:
+        centres = seed_centres_apart(base, k, seed)
     schema = "label int, centre array<double>"
     last = None
     for _ in range(max_iterations):
