@@ -4,8 +4,8 @@ Every SEED-word n-gram of the test items is a seed. One pass counts the document
 that hold each seed, over the whole corpus; an item's rare seeds are those no more
 frequent than its own median (so an item copied into thousands of documents keeps
 its seeds while common phrases drop out). A second pass looks the rare seeds up in
-every whole text, groups an item's hits into passages, and aligns each passage
-with the item by Smith-Waterman over words. The score is the best local alignment
+every whole text, groups an item's hits into passages, and aligns each passage,
+one hit being enough, with the item by Smith-Waterman over words. The score is the best local alignment
 over that of the item with itself: 1 for a verbatim copy, and less the more words
 were replaced, dropped or inserted.
 
@@ -28,7 +28,6 @@ from lodestar.llm import wordhash as wh
 from lodestar.llm.common import by_value
 
 SEED = 3
-LEAST_HITS = 2  # of an item's seeds in one passage; one for items with fewer than 4 words
 THRESHOLD = 0.45
 MATCH, MISMATCH, GAP = 2, -1, -1
 SLICE_WORDS = 2_000_000
@@ -109,12 +108,9 @@ def matches_of(items: Items, data: np.ndarray, offsets: np.ndarray) -> list[tupl
         i, r = int(item[lo]), int(row[lo])
         own = items.words[items.splits[i] : items.splits[i + 1]]
         text = words[splits[r] : splits[r + 1]]
-        need = LEAST_HITS if len(own) > SEED else 1
         best = (0.0, 0, 0, 0)
         for part in passages(pos[lo:hi], max(8, len(own))):
             hit = len(np.unique(seed[lo:hi][part]))
-            if hit < need:
-                continue
             a = max(0, int(pos[lo + part[0]]) - len(own))
             b = min(len(text), int(pos[lo + part[-1]]) + SEED + len(own))
             score, end = align(own, text[a:b])

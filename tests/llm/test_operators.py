@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -554,3 +555,11 @@ def test_line_components_of_lines_without_spaces(spark):
                 x = start.strip() + "".join(draw.choice(letters) for _ in range(180)) + "."
                 lines += [x, x[:at] + mark + x[at + 1 :]]
     assert lost_pairs(spark, lines) == []
+
+
+def test_short_items_with_one_intact_seed_are_aligned():
+    item = "alpha bravo charlie delta echo foxtrot"
+    text = "before alpha bravo other delta echo foxtrot after"
+    data, offsets = decontam.wh.text_buffers(pa.array([text], pa.string()))
+    found = decontam.matches_of(decontam.Items([7], [item]), data, offsets)
+    assert [(r, i, round(score, 4)) for r, i, score, *_ in found] == [(0, 7, 0.75)]
