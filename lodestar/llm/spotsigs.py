@@ -25,7 +25,7 @@ from lodestar.llm.common import Scratch
 from lodestar.llm.sharding import numbered
 
 CHAIN = 2
-REACH = 4  # text pieces, cut at anchors, that a chain may span
+REACH = 4  # text pieces, cut at anchors, that are joined first; all that follow if the chain is not complete
 # Common words of the languages handled.
 ANCHORS = tuple(
     """the a an of to and in is was are be for that it with on by this
@@ -45,10 +45,14 @@ def signatures(text: Column) -> Column:
 
     def chains(p: Column) -> Column:
         def signature(piece: Column, at: Column) -> Column:
-            body = F.concat(content(piece), *[content(F.get(p, at + k)) for k in range(1, REACH)])
-            chain = F.substring_index(body, " ", CHAIN)
-            full = ~piece.startswith(" ") & (F.length(body) > F.length(chain))
-            return F.when(full, F.hash(F.concat(F.substring_index(piece, " ", 1), F.lit(" "), chain)))
+            def chained(body: Column) -> Column:
+                chain = F.substring_index(body, " ", CHAIN)
+                full = F.length(body) > F.length(chain)
+                return F.when(full, F.hash(F.concat(F.substring_index(piece, " ", 1), F.lit(" "), chain)))
+
+            near = F.concat(content(piece), *[content(F.get(p, at + k)) for k in range(1, REACH)])
+            rest = F.array_join(F.transform(F.slice(p, at + 1, F.size(p)), content), "")
+            return F.when(~piece.startswith(" "), F.coalesce(chained(near), chained(rest)))
 
         return F.array_distinct(F.filter(F.transform(p, signature), lambda x: x.isNotNull()))
 

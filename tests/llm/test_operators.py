@@ -563,3 +563,10 @@ def test_short_items_with_one_intact_seed_are_aligned():
     data, offsets = decontam.wh.text_buffers(pa.array([text], pa.string()))
     found = decontam.matches_of(decontam.Items([7], [item]), data, offsets)
     assert [(r, i, round(score, 4)) for r, i, score, *_ in found] == [(0, 7, 0.75)]
+
+
+def test_chains_skip_any_number_of_anchors(spark):
+    texts = ["the quick fox", "the quick of the a in to fox"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r[0] for r in df.orderBy("doc_id").select(spotsigs.signatures(F.col("text"))).collect()]
+    assert len(got[0]) == 1 and got[1] == got[0]
