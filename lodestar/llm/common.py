@@ -5,6 +5,7 @@ from __future__ import annotations
 import sys
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 ARROW_ROWS = 1000
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+CLEANUP_KEY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,9 +25,15 @@ def shuffle_width(spark: SparkSession) -> int:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it."""
+    """The folder that driver and executors share, as the session names it.
+
+    Only a local master, whose executors are threads of the driver, gets a folder of
+    its own when none is named.
+    """
     found = spark.conf.get(CHECKPOINT_KEY, None)
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError(f"{CHECKPOINT_KEY} must name a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='lodestar-')}"
         spark.conf.set(CHECKPOINT_KEY, found)
     return found
@@ -44,12 +52,28 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession):
+    """Queries run inside remove their shuffle files when they end, not when the driver collects its garbage."""
+    before = spark.conf.get(CLEANUP_KEY, None)
+    spark.conf.set(CLEANUP_KEY, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP_KEY)
+        else:
+            spark.conf.set(CLEANUP_KEY, before)
+
+
 class Scratch:
     """Tables written to the shared folder to cut lineage.
 
     ``cut`` materialises a frame and returns a scan of the written files, so a
-    lost executor only costs a re-read. ``close`` removes every table but those
-    passed to it, for use once a small final table no longer needs the others.
+    lost executor only costs a re-read. ``drop`` removes tables that nothing reads
+    any more; ``close`` removes every table but those named. A frame that an
+    operator returns may still read some: its caller closes the scratch once the
+    frame is written.
     """
 
     def __init__(self, spark: SparkSession):
@@ -57,8 +81,11 @@ class Scratch:
         self.paths: dict[str, str] = {}
 
     def cut(self, df: DataFrame, name: str) -> DataFrame:
+        if name in self.paths:
+            name = f"{name}-{len(self.paths)}-{uuid.uuid4().hex[:8]}"
         path = f"{shared_dir(self.spark)}/lodestar/{name}-{uuid.uuid4().hex}"
-        df.write.option("compression", "zstd").parquet(path)
+        with shuffles_removed(self.spark):
+            df.write.option("compression", "zstd").parquet(path)
         self.paths[name] = path
         return self.spark.read.schema(df.schema).parquet(path)
 

@@ -2,8 +2,9 @@
 
 Each round is a map-side-combined minimum and a join, so a node with very many
 edges is an ordinary skewed join that adaptive execution may split, never a
-group gathered in one task. Rounds are cut with ``checkpoint()`` in the shared
-folder; their number grows with the logarithm of the longest chain.
+group gathered in one task. Each round is written to the shared folder and the one
+before it removed; the rounds end when the edges form stars, which one aggregation
+tells. Their number grows with the logarithm of the longest chain.
 """
 
 from __future__ import annotations
@@ -11,19 +12,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import shared_dir
+from lodestar.llm.common import Scratch
 
 MAX_ROUNDS = 60
 
 
-def _print_of(edges: DataFrame) -> tuple[int, int, int]:
-    h = F.xxhash64("a", "b")
-    row = edges.agg(
-        F.count(F.lit(1)), F.sum(F.shiftrightunsigned(h, 33)), F.sum(h.bitwiseAND(F.lit((1 << 31) - 1)))
-    ).first()
-    return tuple(row)
-
-
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
@@ -40,27 +33,30 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return down.unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct()
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def _settled(edges: DataFrame) -> bool:
+    """Whether every node points to one other at most, which points to none."""
+    ends = edges.select(F.col("a").alias("u"), F.lit(1).alias("out"), F.lit(0).alias("into")).unionByName(
+        edges.select(F.col("b").alias("u"), F.lit(0).alias("out"), F.lit(1).alias("into"))
+    )
+    sums = ends.groupBy("u").agg(F.sum("out").alias("out"), F.max("into").alias("into"))
+    return not sums.filter((F.col("out") > 1) | (F.col("out") > 0) & (F.col("into") > 0)).limit(1).count()
+
+
+def components(edges: DataFrame, scratch: Scratch, name: str = "roots", a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) for every node with an edge to another; root is the least node.
 
-    Empty input gives an empty result; loops and repeated edges are ignored.
+    Empty input gives an empty result; loops and repeated edges are ignored. The
+    result reads the tables of ``scratch`` whose names begin with ``name``.
     """
-    spark = edges.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    now = (
-        edges.filter(F.col(a) != F.col(b))
-        .select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b"))
-        .distinct().checkpoint()
+    first = (
+        edges.filter(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct()
     )
-    seen = _print_of(now)
-    for _ in range(MAX_ROUNDS):
-        if not seen[0]:
-            break
-        now = _small_star(_large_star(now)).checkpoint()
-        last, seen = seen, _print_of(now)
-        if last == seen:
+    now = scratch.cut(first, f"{name}_0")
+    for turn in range(1, MAX_ROUNDS):
+        if _settled(now):
             break
+        now = scratch.cut(_small_star(_large_star(now)), f"{name}_{turn}")
+        scratch.drop(f"{name}_{turn - 1}")
     else:
         raise RuntimeError("components did not settle")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(

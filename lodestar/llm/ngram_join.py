@@ -314,14 +314,19 @@ def close_pairs(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return both.select("a", "b", apart("x", "y", F.col("n_a") + F.col("n_b")).alias("apart")).filter("apart is not null")
 
 
-def join_components(pairs: DataFrame, check, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """Verified links that connect what all verified pairs would connect, and the components.
+def _as_edges(roots: DataFrame) -> DataFrame:
+    return roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+
+
+def join_components(pairs: DataFrame, check, scratch: Scratch) -> DataFrame:
+    """(node, root): the components that all verified pairs would connect.
 
     First each class is checked against its closest candidate, then against its
     closest one outside its component, then every pair that is still between two
-    components; pairs inside one component need no check.
+    components; pairs inside one component need no check. The components of a turn
+    go into the next one as stars, so each turn takes few rounds.
     """
-    left, links, roots = pairs, None, None
+    left, roots = pairs, None
     for turn in range(NEAREST_TURNS + 1):
         if turn < NEAREST_TURNS:
             sides = left.select(F.col("a").alias("x"), "apart", "a", "b").unionByName(left.select(F.col("b").alias("x"), "apart", "a", "b"))
@@ -330,8 +335,7 @@ def join_components(pairs: DataFrame, check, scratch: Scratch) -> tuple[DataFram
         else:
             chosen = left
         found = check(chosen, f"turn_{turn}")
-        links = found if links is None else links.unionByName(found)
-        roots = scratch.cut(components(links), f"roots_{turn}")
+        roots = components(found if roots is None else _as_edges(roots).unionByName(found), scratch, f"turn_{turn}")
         if turn == NEAREST_TURNS:
             break
         ra, rb = roots.select(F.col("node").alias("na"), F.col("root").alias("ra")), roots.select(F.col("node").alias("nb"), F.col("root").alias("rb"))
@@ -341,15 +345,19 @@ def join_components(pairs: DataFrame, check, scratch: Scratch) -> tuple[DataFram
             .filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b", "apart"),
             f"left_{turn}",
         )
+        scratch.drop(f"chosen_{turn}")
         if not left.limit(1).count():
             break
-    return links, roots
+    return scratch.cut(roots, "roots")
 
 
 def ngram_components(
     df: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE
 ) -> DataFrame:
-    """(id, n_shingles, set_key, component_id) of every row of df."""
+    """(id, n_shingles, set_key, component_id) of every row of df.
+
+    ``scratch`` is this call's own: all of its tables but those that the result reads are removed.
+    """
     spark = df.sparkSession
     base = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     profiled = base.select("id", profile_column(F.col("text"), k).alias("p"))
@@ -366,6 +374,8 @@ def ngram_components(
     sorted_runs = exploded.repartition(width, "sig").sortWithinPartitions("sig", "n", "key").select("sig", "n", "key")
     found = scratch.cut(sorted_runs.mapInArrow(candidate_pairs, "a bigint, b bigint"), "found")
     pairs = scratch.cut(close_pairs(found.filter("b is not null").distinct(), classes), "pairs")
+    long_runs = scratch.cut(found.filter("b is null").select(F.col("a").alias("sig")).distinct(), "long_runs")
+    scratch.drop("found")
 
     def check(candidates: DataFrame, name: str) -> DataFrame:
         keys = candidates.select(F.col("a").alias("key")).unionByName(candidates.select(F.col("b").alias("key"))).distinct()
@@ -375,8 +385,7 @@ def ngram_components(
         scratch.drop(f"sets_{name}", f"reps_{name}")
         return links
 
-    links, roots = join_components(pairs, check, scratch)
-    long_runs = found.filter("b is null").select(F.col("a").alias("sig")).distinct()
+    roots = join_components(pairs, check, scratch)
     rooted = classes.join(roots, F.col("key") == F.col("node"), "left").select(
         "n", F.col("key").alias("cls"), F.coalesce("root", "key").alias("root"), "sigs", "sketch"
     )
@@ -392,14 +401,15 @@ def ngram_components(
             .mapInArrow(leftover_pairs, "a bigint, b bigint").distinct()
         )
         more = check(scratch.cut(rest, "rest"), "rest")
-        roots = scratch.cut(components(links.unionByName(more)), "roots")
+        roots = components(_as_edges(roots).unionByName(more), scratch, "rest")
     named = classes.select("key", "rep").join(roots, F.col("key") == F.col("node"), "left").select(
         "key", "rep", F.coalesce("root", "key").alias("root")
     )
     least = named.groupBy("root").agg(F.min("rep").alias("component"))
-    labels = named.join(least, "root").select("key", "component")
+    labels = scratch.cut(named.join(least, "root").select(F.col("key").alias("k2"), "component"), "labels")
+    scratch.close("rows", "labels")
     return (
-        rows.select("id", "n", "key").join(labels.withColumnRenamed("key", "k2"), F.col("key") == F.col("k2"), "left")
+        rows.select("id", "n", "key").join(labels, F.col("key") == F.col("k2"), "left")
         .select(
             F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("key").alias("set_key"),
             F.coalesce("component", "id").alias("component_id"),
