@@ -16,12 +16,15 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestar.llm.common import by_value
+
 # Frequent function words of the languages handled.
 STOP_WORDS = frozenset(
     """a about after all also an and any are as at be been but by can could did do for from had has have he her his how i
@@ -37,7 +40,7 @@ STOP_WORDS = frozenset(
 )
 # HTML element classes of behaviour.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe svg textarea title object math select".split())
+RAW = frozenset("script style noscript template iframe svg textarea title select".split())
 BLOCK = frozenset(
     """address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer
     form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody tfoot thead tr ul""".split()
@@ -101,6 +104,7 @@ def blocks_of(page: str) -> list[tuple[str, int, bool]]:
     """(text, linked characters, in an article) of each block outside boilerplate."""
     out: list[tuple[str, int, bool]] = []
     stack: list[tuple[str, bool, bool]] = []  # name, cut, article
+    opened: Counter[str] = Counter()  # how many of each name are on the stack
     cuts = articles = links = 0
     now = _Block(False)
     at = 0
@@ -117,7 +121,8 @@ def blocks_of(page: str) -> list[tuple[str, int, bool]]:
     def pop_to(depth: int) -> None:
         nonlocal cuts, articles
         while len(stack) > depth:
-            _, c, a = stack.pop()
+            name, c, a = stack.pop()
+            opened[name] -= 1
             cuts -= c
             articles -= a
 
@@ -142,13 +147,13 @@ def blocks_of(page: str) -> list[tuple[str, int, bool]]:
                 links = max(0, links - 1)
             if name in BLOCK or name in ("td", "th"):
                 flush() if name in BLOCK else now.parts.append(" ")
-                for depth in range(len(stack) - 1, -1, -1):
+                for depth in range(len(stack) - 1, -1, -1) if opened[name] else ():
                     if stack[depth][0] == name:
                         pop_to(depth)
                         break
                 now.article = articles > 0
             elif cuts:
-                for depth in range(len(stack) - 1, -1, -1):
+                for depth in range(len(stack) - 1, -1, -1) if opened[name] else ():
                     if stack[depth][0] in BLOCK and stack[depth][0] != name:
                         break
                     if stack[depth][0] == name:
@@ -158,6 +163,7 @@ def blocks_of(page: str) -> list[tuple[str, int, bool]]:
                 for depth in range(len(stack) - 1, max(-1, len(stack) - 9), -1):
                     if stack[depth][0] == name:
                         del stack[depth]
+                        opened[name] -= 1
                         break
             continue
         if name == "head":
@@ -178,7 +184,7 @@ def blocks_of(page: str) -> list[tuple[str, int, bool]]:
         if name in VOID:
             continue
         if name in SELF_CLOSING:
-            for depth in range(len(stack) - 1, -1, -1):
+            for depth in range(len(stack) - 1, -1, -1) if opened[name] else ():
                 if stack[depth][0] == name:
                     pop_to(depth)
                     break
@@ -192,13 +198,15 @@ def blocks_of(page: str) -> list[tuple[str, int, bool]]:
         cut, article, hidden = _marks(attrs) if attrs else (False, False, False)
         if name in ("html", "body"):
             cut = hidden = False
-        cut = cut and not (name in ("article", "main", "h1"))
+        # a word that an inline element wraps is part of its sentence, whatever its class says
+        cut = cut and (name in BLOCK or name in ("td", "th")) and name not in ("article", "main", "h1")
         if name == "article" and attrs:
             cut = _marks(attrs)[0] and "comment" in attrs.lower()
         cut = cut or hidden or name in CUT_TAGS or (name == "header" and not articles)
         article = (article or name in ("article", "main")) and not cut
         if not attrs.endswith("/") and (name in BLOCK or name in ("td", "th") or cut or article or name != "a"):
             stack.append((name, cut, article))
+            opened[name] += 1
             cuts += cut
             articles += article
         now.article = articles > 0
@@ -208,7 +216,7 @@ def blocks_of(page: str) -> list[tuple[str, int, bool]]:
 
 def first_pass(text: str, linked: int, article: bool) -> int:
     n = len(text)
-    if linked / n > LINKS_MOST:
+    if linked / n > LINKS_MOST and not article:
         return BAD
     found = _WORD.findall(text.lower())
     stops = sum(w in STOP_WORDS for w in found) / max(1, len(found))
@@ -262,6 +270,8 @@ RESULT = T.StructType(
 
 
 def main_text_column(page: Column) -> Column:
+    by_value("lodestar.llm.html_text")
+
     @F.pandas_udf(RESULT)
     def extract(pages: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([main_text(p) for p in pages], columns=["text", "n_kept", "n_blocks"])

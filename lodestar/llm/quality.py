@@ -4,12 +4,14 @@ Overlapping heuristics vote good, bad or nothing on every document. Their votes
 are counted by pattern over all documents, and expectation-maximisation finds
 each heuristic's accuracy and the share of good documents from those counts (a
 table bounded by 3^heuristics, whatever the corpus). The posterior of each vote
-pattern then labels a bounded sample (``TRAIN_ROWS``) on which a hashed linear
+pattern then labels a bounded sample (``TRAIN_ROWS``, ``TRAIN_BYTES``) on which a hashed linear
 scorer is trained; that scorer decides.
 
-Cases: null and empty texts get no votes and keep the prior; an empty table
-gives an empty result; if every pattern has the same posterior all rows keep it
-as their score.
+Cases: null and empty texts get no votes and are scored like any other text without
+words; ids may be null or repeated, equal texts get equal scores; columns named
+``quality_votes``, ``quality_score`` and ``quality_keep`` give way to those made here; an
+empty table gives an empty result; if every pattern has the same posterior all rows get
+it as their score.
 """
 
 from __future__ import annotations
@@ -27,9 +29,15 @@ from lodestar.llm.common import by_value
 from lodestar.llm.html_text import STOP_WORDS
 
 TRAIN_ROWS = 20_000
+TRAIN_BYTES = 256 << 20  # of the texts of the sample
 KEEP = 0.5
+WEIGHT_DECAY = 1e-5
 NAMES = ("symbols", "shouting", "stutter", "variety", "bars", "exclaims", "sentences", "stop_words")
 BUCKETS = 16
+SHAPES = 1 << 16  # places of the token shapes
+WINDOW = 500  # words
+WORD_SCREEN = 4.0  # standard errors by which a word must be more or less frequent in good rows
+WORD_LEAST = 5  # sampled rows that hold a word that counts
 
 _b = np.arange(256)
 UPPER = (_b >= 65) & (_b <= 90)
@@ -56,7 +64,10 @@ def measures(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     same = np.zeros(len(hashes))
     if len(hashes) > 1:
         same[1:] = (hashes[1:] == hashes[:-1]) & (rows[1:] == rows[:-1])
-    distinct = np.bincount(wh.distinct_by_row(hashes, rows)[1], minlength=n_rows) if len(hashes) else np.zeros(n_rows)
+    # distinct words by windows of one length, as their share falls with the length of what is counted
+    place = np.arange(len(hashes)) - np.repeat(splits[:-1], counts)
+    window = rows * (1 << 32) + place // WINDOW
+    distinct = np.bincount(wh.distinct_by_row(hashes, window)[1] >> 32, minlength=n_rows) if len(hashes) else np.zeros(n_rows)
     bars = (stops - starts == 1) & (data[starts] == ord("|")) if len(starts) else np.zeros(0)
     out = np.stack(
         [
@@ -102,7 +113,7 @@ def votes(m: np.ndarray, counts: np.ndarray) -> np.ndarray:
             vote(some & (symbols > 0.10), some & (symbols < 0.03)),
             vote(some & (shouting > 0.40), some & (shouting < 0.15)),
             vote((counts >= 8) & (stutter > 0.15), many & (stutter < 0.04)),
-            vote(many & (variety < 0.22) & (counts < 3000), many & (variety > 0.40)),
+            vote(many & (variety < 0.22), many & (variety > 0.40)),
             vote((counts >= 8) & (bars > 0.08), some & (bars < 0.01)),
             vote((counts >= 8) & (exclaims > 0.15), some & (exclaims < 0.03)),
             vote(many & (sentences < 0.004), many & (sentences > 0.03)),
@@ -161,8 +172,9 @@ def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, iteration
 
 
 def scorer_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed features of each row: bucketed measures and common token shapes."""
+    """Hashed features of each row: bucketed measures, common token shapes and distinct words."""
     m, counts = measures(data, offsets)
+    word, word_row, _, _ = linear.word_features(data, offsets)
     n_rows = len(counts)
     bucket = np.minimum(BUCKETS - 1, np.floor(np.sqrt(np.clip(m, 0, 1)) * BUCKETS)).astype(np.int64)
     rows = np.repeat(np.arange(n_rows), m.shape[1])
@@ -180,11 +192,29 @@ def scorer_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray,
             share = np.floor(8 * seen / np.maximum(1, counts[row])).astype(np.int64)
             with np.errstate(over="ignore"):
                 mixed = wh.splitmix(((key & 0xFFFF) * 16 + share).astype(np.uint64))
-            parts.append(1024 + (mixed % np.uint64((1 << linear.BITS) - 1024)).astype(np.int64))
+            parts.append(1024 + (mixed % np.uint64(SHAPES)).astype(np.int64))
             part_rows.append(row)
+    # words have the places after those of the measures and shapes
+    parts.append(1024 + SHAPES + word % ((1 << linear.BITS) - 1024 - SHAPES))
+    part_rows.append(word_row)
     return np.concatenate(parts), np.concatenate(part_rows)
 
 
+def telling(features: np.ndarray, rows: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Flags of the features that count: all but words that good and bad rows have alike."""
+    wide = 1 << linear.BITS
+    good = max(1e-9, float(target.sum()))
+    bad = max(1e-9, len(target) - good)
+    seen = np.bincount(features, minlength=wide)
+    in_good = np.bincount(features, weights=target[rows], minlength=wide)
+    share = seen / max(1, len(target))
+    error = np.sqrt(np.maximum(1e-12, share * (1 - share)) * (1 / good + 1 / bad))
+    apart = np.abs(in_good / good - (seen - in_good) / bad) > WORD_SCREEN * error
+    counted = apart & (seen >= WORD_LEAST)
+    counted[: 1024 + SHAPES] = True
+    return counted
+
+
 def _ship() -> None:
     for name in ("wordhash", "linear", "html_text", "quality"):
         by_value(f"lodestar.llm.{name}")
@@ -251,21 +281,25 @@ class QualityModel:
     scorer: linear.Linear
 
 
-def train(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", train_rows: int = TRAIN_ROWS) -> QualityModel:
+def train(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", train_rows: int = TRAIN_ROWS, train_bytes: int = TRAIN_BYTES) -> QualityModel:
     voted = docs.select(votes_column(F.col(text_col)).alias("v"))
     counted = voted.groupBy("v").count().collect()  # at most 3^heuristics rows
     patterns = pattern_array([r["v"] for r in counted])
     label_model = expectation_maximisation(patterns, np.array([r["count"] for r in counted], float))
     # a bounded sample: the rows with the smallest hashes
-    sample = (
-        docs.select(F.col(id_col).alias("i"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"))
-        .orderBy("h").limit(train_rows).select(F.col("h").alias("h2")).distinct()
-    )
+    key = F.xxhash64(F.col(id_col), F.col(text_col))
+    sizes = docs.select(key.alias("h"), F.coalesce(F.octet_length(text_col), F.lit(0)).alias("size"))
+    total, chosen = 0, {}
+    for r in sizes.orderBy("h").limit(train_rows).collect():
+        total += r["size"]
+        if total > train_bytes and chosen:
+            break
+        chosen[r["h"]] = True
+    sample = F.broadcast(docs.sparkSession.createDataFrame([(h,) for h in chosen], "h bigint"))
     got = (
-        docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"), F.col(text_col).alias("t"))
-        .join(F.broadcast(sample), F.col("h") == F.col("h2"))
+        docs.select(key.alias("h"), F.col(text_col).alias("t")).join(sample, "h")
         .select("h", votes_column(F.col("t")).alias("v"), scorer_features_column(F.col("t")).alias("f"))
-        .orderBy("h").limit(train_rows).toArrow()
+        .groupBy("h").agg(F.first("v").alias("v"), F.first("f").alias("f")).orderBy("h").toArrow()
     )
     n = got.num_rows
     if not n:
@@ -275,7 +309,9 @@ def train(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", train
     target = label_model.posterior(pattern_array(got.column("v").to_pylist()))
     good = max(1e-9, target.sum())
     weight = target / good + (1 - target) / max(1.0, n - good)
-    scorer = linear.fit(lists.flatten().to_numpy().astype(np.int64), rows, target, (), weight, l2=1e-5, l1=0.0, iterations=300)
+    features = lists.flatten().to_numpy().astype(np.int64)
+    kept = telling(features, rows, target)[features]
+    scorer = linear.fit(features[kept], rows[kept], target, (), weight, l2=WEIGHT_DECAY, l1=0.0, iterations=300)
     return QualityModel(label_model, scorer)
 
 

@@ -94,6 +94,8 @@ def permuted(x: Column, n: int, seed: int) -> Column:
     longer is under (2/sqrt(n))^MAX_WALK, below 1e-75.
     """
     a, b = sides(n)
+    if a * b == n:
+        return _network(x, a, b, seed)
     walked = F.aggregate(
         F.sequence(F.lit(1), F.lit(MAX_WALK)),
         _network(x, a, b, seed),

@@ -25,7 +25,6 @@ from lodestar.llm.common import Scratch
 from lodestar.llm.sharding import numbered
 
 CHAIN = 2
-REACH = 4  # text pieces, cut at anchors, that are joined first; all that follow if the chain is not complete
 # Common words of the languages handled.
 ANCHORS = tuple(
     """the a an of to and in is was are be for that it with on by this
@@ -35,33 +34,42 @@ ANCHORS = tuple(
 )
 
 
-def signatures(text: Column) -> Column:
-    """array<int>: the distinct signatures of a text (not null)."""
+def word_hashes(text: Column) -> Column:
+    """array<bigint>: the words of a text (not null), in order, lower-cased and without punctuation."""
     plain = F.trim(F.regexp_replace(F.lower(text), r"[\s\p{Punct}]+", " "))
-    cut = r"(?<= )(?=(?:" + "|".join(ANCHORS) + r") )"
+    return F.when(plain != "", F.transform(F.split(plain, " "), lambda w: F.xxhash64(w))).otherwise(F.array().cast("array<bigint>"))
 
-    def content(piece: Column) -> Column:
-        return F.coalesce(F.substring(piece, F.instr(piece, " ") + 1, F.length(piece)), F.lit(""))
 
-    def chains(p: Column) -> Column:
-        def signature(piece: Column, at: Column) -> Column:
-            def chained(body: Column) -> Column:
-                chain = F.substring_index(body, " ", CHAIN)
-                full = F.length(body) > F.length(chain)
-                return F.when(full, F.hash(F.concat(F.substring_index(piece, " ", 1), F.lit(" "), chain)))
+def signed(df: DataFrame, text: str, out: str) -> DataFrame:
+    """df with ``out``, the distinct signatures (array<bigint>) of the column ``text``.
+
+    The j-th anchor, at word p, has p - j content words before it, so its chain is
+    the content words from number p - j on, however many anchors lie between.
+    """
+    words = lambda x: x.isin(*_anchor_hashes(df.sparkSession))
+    # a projection of its own for each list: compiled, and made once
+    step = df.select("*", word_hashes(F.col(text)).alias("__w"))
+    step = step.select(
+        "*", F.filter("__w", lambda x: ~words(x)).alias("__content"),
+        F.filter(F.transform("__w", lambda x, i: F.when(words(x), i)), lambda i: i.isNotNull()).alias("__anchors"),
+    )
+    chain = lambda p, j: F.xxhash64(F.get("__w", p), *[F.get("__content", p - j + k) for k in range(CHAIN)])
+    made = F.transform("__anchors", lambda p, j: F.when(p - j + CHAIN <= F.size("__content"), chain(p, j)))
+    step = step.select("*", F.array_distinct(F.filter(made, lambda x: x.isNotNull())).alias("__sigs"))
+    none = F.array().cast("array<bigint>")
+    sigs = F.when(F.size("__sigs") > 0, F.col("__sigs")).when(F.col(text) != "", F.array(F.xxhash64(F.col(text)))).otherwise(none)
+    return step.select("*", sigs.alias(out)).drop("__w", "__content", "__anchors", "__sigs")
 
-            near = F.concat(content(piece), *[content(F.get(p, at + k)) for k in range(1, REACH)])
-            rest = F.array_join(F.transform(F.slice(p, at + 1, F.size(p)), content), "")
-            return F.when(~piece.startswith(" "), F.coalesce(chained(near), chained(rest)))
 
-        return F.array_distinct(F.filter(F.transform(p, signature), lambda x: x.isNotNull()))
+def _anchor_hashes(spark) -> list[int]:
+    """The hashes of the anchors; a fixed, short list."""
+    if not _ANCHORS:
+        rows = spark.createDataFrame([(w,) for w in ANCHORS], "w string").select(F.xxhash64("w")).collect()
+        _ANCHORS.extend(r[0] for r in rows)
+    return _ANCHORS
 
-    # the one-element array binds the pieces to a name, so they are made once
-    found = F.transform(F.array(F.split(F.concat(F.lit(" "), plain, F.lit(" ")), cut)), chains)[0]
-    return F.transform(
-        F.array(found),
-        lambda s: F.when(F.size(s) > 0, s).when(text != "", F.array(F.hash(text))).otherwise(F.array().cast("array<int>")),
-    )[0]
+
+_ANCHORS: list[int] = []
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -74,7 +82,7 @@ def likeness(a: Column, b: Column) -> Column:
 def fingerprint_text(s: Column) -> Column:
     """The sorted signatures as hexadecimal words."""
     return F.array_join(
-        F.transform(F.array_sort(s), lambda x: F.lower(F.hex(x.cast("long").bitwiseAND(F.lit(0xFFFFFFFF))))), " "
+        F.transform(F.array_sort(s), lambda x: F.lower(F.hex(x))), " "
     )
 
 
@@ -89,28 +97,31 @@ def edit_checks(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_co
     docs = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     keyed = docs.select("id", F.xxhash64("t").alias("h"), "t")
     narrow = keyed.select("id", "h", F.length("t").cast("long").alias("n")).distinct()
-    # ids fall along the order: the negated id rises
-    ordered, count = numbered(narrow, [F.negate(F.col("id")), F.col("h")], scratch, "spot_order")
+    # ids fall along the order: the complement of an id rises
+    ordered, count = numbered(narrow, [F.bitwise_not(F.col("id")), F.col("h")], scratch, "spot_order")
     after = ordered.select(
         F.pmod(F.col("row_no") - 1, F.lit(max(1, count))).alias("row_no"), F.col("id").alias("next_id"), F.col("h").alias("next_h")
     )
     # one row a document: which document follows it, and how much of that it takes
-    wants = ordered.join(after, "row_no").select(
-        F.col("id").alias("to_id"), F.col("h").alias("to_h"), F.floor(F.col("n") / 3).cast("int").alias("take"), "next_id", "next_h"
+    wants = scratch.cut(
+        ordered.join(after, "row_no").select(
+            F.col("id").alias("to_id"), F.col("h").alias("to_h"), F.floor(F.col("n") / 3).cast("int").alias("take"), "next_id", "next_h"
+        ), "spot_wants",
     )
-    sent = (
+    scratch.drop("spot_order")
+    sent = signed(
         keyed.join(wants, F.col("id").eqNullSafe(F.col("next_id")) & (F.col("h") == F.col("next_h")))
-        .select("to_id", "to_h", F.left("t", "take").alias("piece"), signatures(F.col("t")).alias("next_sigs"))
-    )
+        .select("to_id", "to_h", "take", "t"), "t", "next_sigs",
+    ).select("to_id", "to_h", F.left("t", "take").alias("piece"), "next_sigs")
     # rows equal in id and text each sent the same piece
-    sent = sent.groupBy("to_id", "to_h").agg(F.first("piece").alias("piece"), F.first("next_sigs").alias("next_sigs"))
+    sent = sent.dropDuplicates(["to_id", "to_h"])
     joined = keyed.join(sent, F.col("id").eqNullSafe(F.col("to_id")) & (F.col("h") == F.col("to_h")))
     n = F.length("t").cast("long")
     made = joined.select(
-        F.col("id").alias(id_col), n.alias("n_chars"), "next_sigs", signatures(F.col("t")).alias("sigs"),
+        F.col("id").alias(id_col), n.alias("n_chars"), "next_sigs", "t",
         F.concat(F.left("t", (n - F.floor(n / 3)).cast("int")), "piece").alias("edited"),
     )
-    made = made.select("*", signatures(F.col("edited")).alias("edited_sigs"))
+    made = signed(signed(made, "t", "sigs").drop("t"), "edited", "edited_sigs")
     return made.select(
         id_col, "n_chars", F.sha2("edited", 256).alias("edited_sha256"), fingerprint_text(F.col("sigs")).alias("fingerprint"),
         fingerprint_text(F.col("edited_sigs")).alias("edited_fingerprint"),

@@ -2,13 +2,15 @@
 
 Hashed word features, screened for those that toxic rows have more often, and
 logistic regression, fitted on a bounded sample of the
-labelled rows (``TRAIN_ROWS``, the rows with the smallest id hashes). Every
+labelled rows (``TRAIN_ROWS`` and ``TRAIN_BYTES``: the rows with the smallest id hashes). Every
 training row that names a group is paired with copies in which the group term is
 swapped for another of its list; the squared change of the logit is penalised,
 so no group term can carry weight of its own and neutral mentions stay low.
 
 Cases: null or empty text scores as a text without words; ids that repeat in the
-labels count once, by their mean label; without labels of both kinds every score
+labels count once, by their mean label; an id that repeats in the documents is learnt from
+once, by the text with the least hash; every row is scored; columns named ``held_out``,
+``score`` and ``predicted`` give way to those made here; without labels of both kinds every score
 is the share of toxic labels (0 when there are none); an empty table gives an
 empty result.
 """
@@ -25,6 +27,7 @@ from lodestar.llm import wordhash as wh
 from lodestar.llm.common import by_value
 
 TRAIN_ROWS = 30_000
+TRAIN_BYTES = 256 << 20  # of the texts of the sample
 THRESHOLD = 0.7
 PAIR_PENALTY = 4.0
 SCREEN = 3.5
@@ -132,17 +135,30 @@ def score_column(text: Column, model: linear.Linear) -> Column:
     return score(text)
 
 
-def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> linear.Linear:
-    """Fit on labelled rows outside the held-out third."""
+def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, train_bytes: int = TRAIN_BYTES) -> linear.Linear:
+    """Fit on labelled rows outside the held-out third: at most ``train_rows`` ids, the
+    first ``train_bytes`` of their texts by id hash."""
     known = (
         labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
         .groupBy("doc_id").agg((F.avg("toxic") >= 0.5).cast("int").alias("y"))
     )
     # the sample has train_rows ids at most, so its broadcast is bounded
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
+    texts = docs.select("doc_id", F.xxhash64("text").alias("h"), "text").join(F.broadcast(sample), "doc_id")
+    # one text an id, however many rows repeat it
+    sizes = texts.groupBy("doc_id").agg(F.min(F.struct("h", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size"))).alias("m"))
+    rows = sizes.select("doc_id", "m.*").orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    total, chosen = 0, []
+    for r in rows:
+        total += r["size"]
+        if total > train_bytes and chosen:
+            break
+        chosen.append((r["doc_id"], r["h"]))
+    kind = dict(docs.dtypes)["doc_id"]
+    picked = F.broadcast(docs.sparkSession.createDataFrame(chosen, f"doc_id {kind}, h bigint"))
     got = (
-        docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-        .select("doc_id", "y", word_features_column(F.col("text")).alias("f"))
+        texts.join(picked, ["doc_id", "h"]).select("doc_id", "h", "y", word_features_column(F.col("text")).alias("f"))
+        .groupBy("doc_id", "h").agg(F.first("y").alias("y"), F.first("f").alias("f"))
         .toArrow()
     )
     lists = got.column("f").combine_chunks()

@@ -10,6 +10,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from lodestar.llm import decontam, html_text, linear, line_dedup, lm_scoring, mixing, ngram_join, quality, sharding, spotsigs, toxicity
@@ -98,6 +99,40 @@ def test_mixing_budget_and_awkward_rows(spark):
         mixing.mix_sources(df, Scratch(spark), mixing.MixTarget(max_repetition=None))
 
 
+def test_mixing_takes_a_prefix_of_a_block_permutation(spark):
+    draw = random.Random(11)
+    df = docs_of(spark, [" ".join(["w"] * draw.randrange(0, 9)) for _ in range(3000)], ["s"] * 3000)
+    key = lambda rows: sorted((r["mix_key"], r["doc_id"], r["mix_tokens"]) for r in rows)
+    total = df.select(F.sum(mixing.token_count())).first()[0]
+    whole = mixing.mix_sources(df, Scratch(spark), mixing.MixTarget(max_repetition=9.0, budget_tokens=3 * total, blocks=64)).collect()
+    for epoch in (0, 1, 2):
+        rows = [r for r in whole if r["mix_epoch"] == epoch]
+        assert len(rows) == 3000
+        assert {r["mix_block"] for r in rows} == set(range(64))
+        assert [r["mix_block"] for r in sorted(rows, key=lambda r: r["mix_key"])] == sorted(r["mix_block"] for r in rows)
+    at = {e: {r["doc_id"]: r["mix_block"] for r in whole if r["mix_epoch"] == e} for e in (0, 1)}
+    moved = {(at[0][i], at[1][i]) for i in at[0]}
+    assert len(moved) == 64 and len({x for x, _ in moved}) == len({y for _, y in moved}) == 64
+    assert sum(x == y for x, y in moved) < 20
+    budget = int(1.37 * total)
+    part = mixing.mix_sources(df, Scratch(spark), mixing.MixTarget(max_repetition=9.0, budget_tokens=budget, blocks=64)).collect()
+    got = key(r for r in part if r["mix_epoch"] == 1)
+    want, used = [], 0
+    for r in key(r for r in whole if r["mix_epoch"] == 1):
+        used += r[2]
+        if used > budget - total:
+            break
+        want += [r] if r[2] else []
+    assert got == want and len(got) > 500
+
+
+def test_mixing_targets_that_cannot_be_met(spark):
+    with pytest.raises(ValueError):
+        mixed(spark, mixing.MixTarget(max_repetition=None, entropy=2.0))
+    with pytest.raises(ValueError):
+        mixed(spark, mixing.MixTarget(max_repetition=1.5, budget_tokens=10**6))
+
+
 # --- 5 toxicity --------------------------------------------------------------
 
 
@@ -257,6 +292,18 @@ def test_html_without_an_article_uses_density():
     assert html_text.main_text(page)[0].split("\n")[1] == "And so."
 
 
+def test_html_drops_no_article_text():
+    page = ("<article><p>The area is <math><mi>r</mi></math> of <object>a figure</object> and more.</p><p>One <span class='share'>share</span> of the "
+            "<em class=search-hit>word</em>.</p><p><a href=x>A paragraph that is a link as a whole</a></p></article>")
+    assert html_text.main_text(page)[0] == "The area is r of a figure and more.\nOne share of the word.\nA paragraph that is a link as a whole"
+
+
+def test_html_deep_and_broken_pages():
+    n = 20000
+    assert html_text.main_text("<article>" + "<div>" * n + "deep" + "</p></section>" * n)[0] == "deep"
+    assert html_text.main_text("<article>" + "<p>a</b></i></li>" * n)[0].count("a") == n
+
+
 def test_html_column(spark):
     df = spark.createDataFrame([(1, PAGE), (2, None), (3, "<article>" + "<p>word of the day is it</p>" * 20000)], "page_id long, html string")
     rows = {r["page_id"]: r["main"] for r in html_text.extract_main_text(clashing(df)).collect()}
@@ -296,6 +343,49 @@ def test_decontamination_finds_edited_copies(spark):
     assert kept == set(range(len(texts))) - {d for d, _ in got}
 
 
+def test_decontamination_finds_copies_with_many_words_replaced():
+    draw = random.Random(5)
+    items = [words(draw, draw.randrange(15, 60), 3000) for _ in range(100)]
+    known = decontam.Items(list(range(100)), [" ".join(w) for w in items])
+    for rate in (0.2, 0.3):
+        found = 0
+        for i, item in enumerate(items):
+            w = list(item)
+            for at in draw.sample(range(len(w)), round(rate * len(w))):
+                w[at] = f"z{draw.randrange(10**6)}"
+            text = " ".join([*words(draw, 80, 3000), *w, *words(draw, 80, 3000)])
+            data, offsets = decontam.wh.text_buffers(pa.array([text]))
+            found += any(m[1] == i and m[2] >= decontam.THRESHOLD for m in decontam.matches_of(known, data, offsets))
+        assert found >= 95
+
+
+def test_decontamination_matches_brute_force(spark):
+    """Every pair is aligned in full; found are those that share a seed, which every pair over the threshold here does."""
+    items, texts, _ = leak_corpus()
+    got = {(r["doc_id"], r["item_id"]): r["score"] for r in decontam.contamination(
+        docs_of(spark, texts), spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")).collect()}
+    number = {}
+    ids = lambda t: np.array([number.setdefault(x, len(number)) for x in re.findall(r"[a-z0-9]+", t.lower())])
+    for d, t in enumerate(texts):
+        for i, item in enumerate(items):
+            if len(item) >= decontam.SEED:
+                score = decontam.align(ids(" ".join(item)), ids(t))[0] / (2 * len(item))
+                assert (score >= decontam.THRESHOLD) == ((d, i) in got)
+                if score >= decontam.THRESHOLD:
+                    assert got[d, i] == pytest.approx(score)
+
+
+def test_decontamination_ids_and_repeated_rows(spark):
+    draw = random.Random(8)
+    item = " ".join(words(draw, 30, 10**6))
+    for kind, ids in (("string", ["x", None, "x"]), ("long", [None, 4, 4])):
+        bench = spark.createDataFrame([(i, item) for i in ids], f"item_id {kind}, text string")
+        docs = docs_of(spark, [item, "plain words of a text", item]).unionByName(docs_of(spark, [item])).withColumn("doc_id", F.nullif("doc_id", F.lit(2)))
+        out = decontam.contamination(docs, bench).collect()
+        assert len(out) == 9 and sorted(str(r["item_id"]) for r in out) == sorted(str(i) for i in ids * 3)
+        assert [r["text"] for r in decontam.clean_documents(docs, bench).collect()] == ["plain words of a text"]
+
+
 def test_alignment_scores():
     item = np.arange(10)
     assert decontam.align(item, np.concatenate([np.arange(50, 60), item]))[0] == 20
@@ -343,13 +433,52 @@ def test_repeated_rows_get_equal_fingerprints(spark):
     assert len({r["fingerprint"] for r in rows if r["doc_id"] in (1, 3)}) == 1
 
 
+def spot_signatures(text):
+    """What the operator computes, word by word."""
+    chained = lambda x, seed: xxhash.xxh64_intdigest(x.to_bytes(8, "little"), seed=seed)
+    of = lambda w: xxhash.xxh64_intdigest(w.encode(), seed=42)
+    found = [w for w in re.sub(r"[\s!-/:-@\[-`{-~]+", " ", text.lower()).split(" ") if w]
+    out = set()
+    for p, w in enumerate(found):
+        rest = [x for x in found[p + 1 :] if x not in spotsigs.ANCHORS][: spotsigs.CHAIN]
+        if w in spotsigs.ANCHORS and len(rest) == spotsigs.CHAIN:
+            h = 42
+            for x in [w, *rest]:
+                h = chained(of(x), h)
+            out.add(h)
+    return out or ({of(text)} if text else set())
+
+
+def test_fingerprints_match_brute_force(spark):
+    draw = random.Random(19)
+    texts = [" ".join(draw.choice(["The", "of,", "la", "und", "w%d." % draw.randrange(200)]) for _ in range(draw.randrange(0, 60))) for _ in range(40)]
+    texts += ["", None, "the of und", "!!", "the the the the the the the a b"]
+    out = {r["doc_id"]: r for r in spotsigs.edit_checks(docs_of(spark, texts), Scratch(spark)).collect()}
+    plain = [t or "" for t in texts]
+    alike = lambda a, b: 1.0 if not a and not b else len(a & b) / len(a | b)
+    for i, t in enumerate(plain):
+        after = plain[i - 1] if i else plain[-1]
+        cut = len(t) // 3
+        own, edited, following = (spot_signatures(x) for x in (t, t[: len(t) - cut] + after[:cut], after))
+        assert {int(x, 16) for x in out[i]["fingerprint"].split()} == own
+        assert {int(x, 16) for x in out[i]["edited_fingerprint"].split()} == edited
+        assert out[i]["near_edited"] == pytest.approx(alike(own, edited)) and out[i]["near_next"] == pytest.approx(alike(own, following))
+
+
+def test_smallest_and_null_ids(spark):
+    least = -(1 << 63)
+    df = spark.createDataFrame([(least, "the cat sat on mats"), (least + 1, "a dog ran of it all"), (None, "x y")], "doc_id long, text string")
+    assert len(spotsigs.edit_checks(df, Scratch(spark)).collect()) == 3
+
+
 def test_signatures_are_chains(spark):
     def sigs(t):
-        return spark.createDataFrame([(t,)], "t string").select(spotsigs.signatures(F.col("t")).alias("s")).first()["s"]
+        return spotsigs.signed(spark.createDataFrame([(t,)], "t string"), "t", "s").first()["s"]
 
     assert sigs("The quick, of brown fox") == sigs("the QUICK of brown fox!")
     assert len(sigs("the quick of brown fox")) == 2
     assert len(sigs("no anchors here")) == 1 and sigs("") == [] and len(sigs("!!")) == 1
+    assert len(sigs("the a a a a a a a big cat")) == 2
 
 
 def test_similar_fingerprints_match_brute_force(spark):

@@ -4,6 +4,7 @@ import collections
 import random
 
 import corpus_pipeline as P
+from pyspark.sql import functions as F
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -65,3 +66,52 @@ def test_awkward_rows_pass(spark, tmp_path):
     for _, stage in P.STAGES:
         docs = stage(spark, docs, d)
     assert {r["doc_id"] for r in docs.collect()} >= {2, 3, 4}
+
+
+def test_near_duplicates_go_by_id_and_text(spark, tmp_path):
+    draw = random.Random(3)
+    prose = lambda: " ".join(f"w{draw.randrange(4000)}" for _ in range(60))
+    one, other, clean = prose(), prose(), prose()
+    rows = [
+        (1, one), (7, one + " end"), (7, other),  # a near copy of 1 and an unrelated text under one id
+        (8, clean), (8, clean + " end"),  # near copies under one id
+        (9, None), (9, None), (None, "a b"), (10, one), (11, ""),
+    ]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS)
+    out = [(r["doc_id"], r["text"]) for r in P.near_duplicates(spark, docs, str(tmp_path)).collect()]
+    assert (1, one) in out and (7, other) in out and (7, one + " end") not in out and (10, one) not in out
+    assert len([x for x in out if x[0] == 8]) == 1
+    assert out.count((9, None)) == 1 and (None, "a b") in out and (11, "") in out
+    assert len(out) == 6
+
+
+def test_stages_carry_extra_columns(spark, tmp_path):
+    rows, item, *_ = corpus()
+    d = str(tmp_path)
+    spark.createDataFrame([("x", item)], "item_id string, text string").write.parquet(f"{d}/benchmark.parquet")
+    names = ("shard", "slot", "row_no", "quality_score", "quality_keep", "score", "row", "key", "id", "hit", "gone", "found", "mix_key", "a.b", "__src")
+    docs = spark.createDataFrame(rows, DOCS)
+    for k, name in enumerate(names):
+        docs = docs.withColumn(name, F.lit(100 + k))
+    for stage, f in P.STAGES:
+        docs = f(spark, docs, d)
+        kept = [c for c in names if not (stage == "shard" and c in ("shard", "slot"))]
+        assert len(docs.columns) == len(set(docs.columns)) == 5 + len(names)
+        for r in docs.collect():
+            assert all(r[c] == 100 + names.index(c) for c in kept)
+
+
+def test_tables_go_when_their_readers_are_done(spark, tmp_path):
+    import pathlib
+
+    from lodestar.llm.common import shared_dir
+
+    rows, item, *_ = corpus()
+    d = str(tmp_path)
+    spark.createDataFrame(rows, DOCS).write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    folder = pathlib.Path(shared_dir(spark).removeprefix("file://"), "lodestar")
+    before = set(folder.glob("*")) if folder.exists() else set()
+    P.run(spark, d).collect()
+    left = {p.name.rsplit("-", 1)[0] for p in set(folder.glob("*")) - before}
+    assert left <= {"stage_mix", "shard_rows", "told", "told_bits", "mix_plan"}
