@@ -80,7 +80,10 @@ class Scratch:
         self.spark = prepare(spark)
         self.paths: dict[str, str] = {}
 
-    def cut(self, df: DataFrame, name: str) -> DataFrame:
+    def cut(self, df: DataFrame, name: str, files: int | None = None) -> DataFrame:
+        """``files``: into so many at most, where the caller knows how small the table is."""
+        if files:
+            df = df.repartition(files)  # not coalesce: one task would hold the sorters of all the partitions it takes
         if name in self.paths:
             name = f"{name}-{len(self.paths)}-{uuid.uuid4().hex[:8]}"
         path = f"{shared_dir(self.spark)}/lodestar/{name}-{uuid.uuid4().hex}"
@@ -104,11 +107,16 @@ def by_value(module_name: str) -> None:
     cloudpickle.register_pickle_by_value(sys.modules[module_name])
 
 
+def files_for(spark: SparkSession, rows: int, a_file: int = 20_000) -> int:
+    return max(1, min(shuffle_width(spark), -(-rows // a_file)))
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
 BITMAP_BITS = 1 << 23  # 131,072 words of 64 bits: the bound of every bitmap broadcast
+BITMAP_FILES = 2
 
 
 def bitmap(keys: DataFrame, name: str = "key") -> DataFrame:

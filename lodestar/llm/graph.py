@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import Scratch
+from lodestar.llm.common import Scratch, files_for
 
 MAX_ROUNDS = 60
 
@@ -52,10 +52,11 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "roots", a: str =
         edges.filter(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct()
     )
     now = scratch.cut(first, f"{name}_0")
+    files = files_for(now.sparkSession, 2 * now.count())  # a round adds no more than the nodes
     for turn in range(1, MAX_ROUNDS):
         if _settled(now):
             break
-        now = scratch.cut(_small_star(_large_star(now)), f"{name}_{turn}")
+        now = scratch.cut(_small_star(_large_star(now)), f"{name}_{turn}", files)
         scratch.drop(f"{name}_{turn - 1}")
     else:
         raise RuntimeError("components did not settle")

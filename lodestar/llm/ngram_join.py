@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm import wordhash as wh
-from lodestar.llm.common import Scratch, bitmap, by_value, marked, shuffle_width
+from lodestar.llm.common import Scratch, bitmap, by_value, files_for, marked, shuffle_width
 from lodestar.llm.graph import components
 
 SHINGLE = 5
@@ -46,7 +46,7 @@ CHUNK_ROWS = 1000
 SMALL, SMALL_BLOCKS, KEPT_BLOCKS = 48, 4096, 48
 SKETCH_WORDS = 32  # 2048 parity bits
 FULL_RUN, LEADERS = 6, 2
-NEAREST_TURNS = 2
+NEAREST_TURNS = 1
 FILTER_BITS = 1 << 23  # fixed-size filter of the classes whose sets are needed
 
 _HASH = np.uint64((1 << ROW_SHIFT) - 1)
@@ -321,17 +321,18 @@ def _as_edges(roots: DataFrame) -> DataFrame:
 def join_components(pairs: DataFrame, check, scratch: Scratch) -> DataFrame:
     """(node, root): the components that all verified pairs would connect.
 
-    First each class is checked against its closest candidate, then against its
-    closest one outside its component, then every pair that is still between two
-    components; pairs inside one component need no check. The components of a turn
-    go into the next one as stars, so each turn takes few rounds.
+    First each class is checked against its closest candidate (NEAREST_TURNS times, each
+    time outside its component), then every pair that is still between two components;
+    pairs inside one component need no check. The components of a turn go into the next
+    one as stars, so each turn takes few rounds.
     """
     left, roots = pairs, None
+    files = files_for(pairs.sparkSession, pairs.count())
     for turn in range(NEAREST_TURNS + 1):
         if turn < NEAREST_TURNS:
             sides = left.select(F.col("a").alias("x"), "apart", "a", "b").unionByName(left.select(F.col("b").alias("x"), "apart", "a", "b"))
             chosen = sides.groupBy("x").agg(F.min(F.struct("apart", "a", "b")).alias("m")).select("m.a", "m.b").distinct()
-            chosen = scratch.cut(chosen, f"chosen_{turn}")
+            chosen = scratch.cut(chosen, f"chosen_{turn}", files)
         else:
             chosen = left
         found = check(chosen, f"turn_{turn}")
@@ -343,12 +344,12 @@ def join_components(pairs: DataFrame, check, scratch: Scratch) -> DataFrame:
             left.join(chosen, ["a", "b"], "left_anti")
             .join(ra, F.col("a") == F.col("na"), "left").join(rb, F.col("b") == F.col("nb"), "left")
             .filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b", "apart"),
-            f"left_{turn}",
+            f"left_{turn}", files,
         )
         scratch.drop(f"chosen_{turn}")
         if not left.limit(1).count():
             break
-    return scratch.cut(roots, "roots")
+    return scratch.cut(roots, "roots", files)
 
 
 def ngram_components(
@@ -379,9 +380,10 @@ def ngram_components(
 
     def check(candidates: DataFrame, name: str) -> DataFrame:
         keys = candidates.select(F.col("a").alias("key")).unionByName(candidates.select(F.col("b").alias("key"))).distinct()
-        reps = scratch.cut(classes.select("key", "rep").join(keys, "key", "left_semi"), f"reps_{name}")
-        sets = scratch.cut(sets_of(base, reps, k), f"sets_{name}")
-        links = scratch.cut(verified(candidates.select("a", "b"), sets), f"links_{name}")
+        n = candidates.count()
+        reps = scratch.cut(classes.select("key", "rep").join(keys, "key", "left_semi"), f"reps_{name}", files_for(spark, 2 * n))
+        sets = scratch.cut(sets_of(base, reps, k), f"sets_{name}", files_for(spark, 2 * n, 1000))
+        links = scratch.cut(verified(candidates.select("a", "b"), sets), f"links_{name}", files_for(spark, n, 1000))
         scratch.drop(f"sets_{name}", f"reps_{name}")
         return links
 
