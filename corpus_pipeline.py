@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import Scratch, bitmap, marked, prepare, table
+from lodestar.llm.common import BITMAP_FILES, Scratch, bitmap, marked, prepare, table
 from lodestar.llm.decontam import clean_documents
 from lodestar.llm.mixing import MixTarget, mix_sources
 from lodestar.llm.ngram_join import ngram_components
@@ -59,7 +59,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     inner.close()
     rows = docs.select(F.struct(*_named(docs)).alias("row"), key, F.col("doc_id").alias("id"))
     # the bitmap lets most rows pass without a shuffle; those it holds are looked up
-    split = marked(rows, scratch.cut(bitmap(told), "told_bits"))
+    split = marked(rows, scratch.cut(bitmap(told), "told_bits", BITMAP_FILES))
     held = (
         split.filter("hit").drop("hit").alias("d")
         .join(told.alias("t"), (F.col("d.key") == F.col("t.key")) & F.col("d.id").eqNullSafe(F.col("t.of")), "left")
