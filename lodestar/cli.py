@@ -26,6 +26,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--to", required=True)
     p.add_argument("--strategy", default="recursive")
     p.add_argument("--tree", action="store_true")
+    p.add_argument("--cache", help="folder of embeddings that are made once")
     for name in ("ask", "chat", "bm25", "evaluate"):
         p = sub.add_parser(name)
         p.add_argument("--index", required=True)
@@ -57,7 +58,7 @@ def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     spark = session()
     settings = Settings.from_env()
-    pipeline = Pipeline(settings, PRESETS[getattr(args, "preset", "hybrid")])
+    pipeline = Pipeline.of(settings, PRESETS[getattr(args, "preset", "hybrid")], getattr(args, "cache", None))
     if args.command == "index":
         index = pipeline.index(readers.read_documents(spark, args.folder), args.strategy, args.tree)
         pipeline.save(index, args.to)

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestar.session import written
+
 QUERY_BLOCK = 2048  # queries that one scan of the vectors answers; more are answered in further scans
 DIGITS = 9  # scores are ranked after rounding, so every engine agrees on ties
 
@@ -28,15 +31,18 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(size > 0, inner_product(a, b) / size).otherwise(F.lit(0.0))
 
 
-def _block_search(ids: list, matrix: np.ndarray, k: int, dim: int):
-    """Best k vectors of each Arrow batch for every query of the block."""
+def _block_search(block, k: int, dim: int):
+    """Best k vectors of each Arrow batch for every query of the broadcast block (ids, matrix)."""
 
     def search(batches):
+        ids, matrix = block.value
         for batch in batches:
             column = batch.column("embedding")
             n = batch.num_rows
             if not n:
                 continue
+            if (pc.list_value_length(column).to_numpy(zero_copy_only=False) != dim).any():
+                raise ValueError(f"vectors and queries must have one dimension, which is {dim} for the queries")
             flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
             rows = flat.reshape(n, dim)
             size = np.sqrt((rows * rows).sum(axis=1))
@@ -70,10 +76,12 @@ def top_k(
 
     ``vectors`` has (id, embedding), ``queries`` (query_id, embedding). k is at
     least 1. Each batch of vectors keeps its own best k a query, so what is
-    shuffled is batches * queries * k rows, never vectors * queries.
+    shuffled is batches * queries * k rows, never vectors * queries. Null vectors, of
+    either side, are left out; vectors of another dimension than the queries are an error.
     """
     k = max(1, k)
     spark = vectors.sparkSession
+    vectors, queries = vectors.filter("embedding is not null"), queries.filter("embedding is not null")
     base = vectors.select(F.col(id_col).alias("id"), F.col(ord_col or id_col).alias("ord"), F.col("embedding").cast("array<double>").alias("embedding"))
     kinds = dict(base.dtypes)
     query_kind = dict(queries.dtypes)["query_id"]
@@ -91,27 +99,51 @@ def top_k(
         matrix = np.stack([np.asarray(v, np.float64) for v in rows.column(1).to_pylist()])
         size = np.sqrt((matrix * matrix).sum(axis=1))
         matrix = matrix / np.where(size > 0, size, 1.0)[:, None]
-        part = base.mapInArrow(_block_search(rows.column(0).to_pylist(), matrix, k, first["d"]), schema)
+        block_of = spark.sparkContext.broadcast((rows.column(0).to_pylist(), matrix))
+        part = base.mapInArrow(_block_search(block_of, k, first["d"]), schema)
         found = part if found is None else found.unionByName(part)
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("ord").asc())
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def sparse_top_k(vectors: DataFrame, queries: DataFrame, k: int, everything: DataFrame | None = None) -> DataFrame:
+def _ranked(ids: DataFrame) -> DataFrame:
+    """(id, at): the distinct ids numbered from 0 in their order."""
+    sorted_ids = ids.select("id").distinct().orderBy("id").select("id", F.monotonically_increasing_id().alias("m"))
+    placed = written(sorted_ids.select("id", F.shiftright("m", 33).alias("part"), F.col("m").bitwiseAND(F.lit((1 << 33) - 1)).alias("row")), "ids")
+    starts, total = [], 0
+    for part, n in sorted((r[0], r[1]) for r in placed.groupBy("part").count().collect()):  # one row a partition
+        starts.append((part, total))
+        total += n
+    offsets = F.broadcast(ids.sparkSession.createDataFrame(starts, "part long, start long"))
+    return placed.join(offsets, "part").select("id", (F.col("row") + F.col("start")).alias("at"))
+
+
+def sparse_top_k(
+    vectors: DataFrame, queries: DataFrame, k: int, everything: DataFrame | None = None, query_block: int = QUERY_BLOCK
+) -> DataFrame:
     """The same search on sparse unit rows (id, pos, w) by an equi-join on the position.
 
-    ``everything`` (id) adds the rows that share no position with a query, at score
-    zero; each query needs at most k of them, the first by id.
+    Queries are broadcast in blocks of bounded size, so vectors are not shuffled by
+    position. ``everything`` (id) adds the rows that share no position with a query, at
+    score zero; a query needs at most k of them, the first by id: of its hits only those
+    among the ids before the k-th such row matter.
     """
-    q = queries.select("query_id", "pos", F.col("w").alias("wq"))
-    scored = vectors.join(q, "pos").groupBy("query_id", "id").agg(F.round(F.sum(F.col("w") * F.col("wq")), DIGITS).alias("score"))
+    n_blocks = max(1, -(-queries.select("query_id").distinct().count() // query_block))
+    scored = None
+    for b in range(n_blocks):
+        block = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == b).select("query_id", "pos", F.col("w").alias("wq"))
+        part = vectors.join(F.broadcast(block), "pos").groupBy("query_id", "id").agg(F.round(F.sum(F.col("w") * F.col("wq")), DIGITS).alias("score"))
+        scored = part if scored is None else scored.unionByName(part)
     if everything is not None:
-        first = everything.select("id").distinct()
-        # whoever is missed among the k + (hits of that query) first ids fills up; hits are kept whole
-        counts = scored.groupBy("query_id").count()
-        most = counts.agg(F.max("count")).first()[0] or 0
-        pool = first.orderBy("id").limit(k + most)
-        fill = queries.select("query_id").distinct().join(F.broadcast(pool), F.lit(True)).join(scored, ["query_id", "id"], "left_anti")
+        scored = written(scored, "sparse_hits")
+        ranked = _ranked(everything)
+        hits = scored.select("query_id", "id").join(ranked, "id").select("query_id", "at")
+        # hit number i at rank r has r - i others before it
+        place = F.col("at") - F.row_number().over(Window.partitionBy("query_id").orderBy("at")) + 1
+        early = hits.withColumn("before", place).filter(F.col("before") < k).select("query_id", "at")
+        ends = queries.select("query_id").distinct().join(early.groupBy("query_id").count(), "query_id", "left")
+        wanted = ends.select("query_id", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("count", F.lit(0)) + F.lit(k - 1))).alias("at"))
+        fill = wanted.join(early, ["query_id", "at"], "left_anti").join(ranked, "at")
         scored = scored.unionByName(fill.select("query_id", "id", F.lit(0.0).alias("score")))
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("id").asc())
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)

@@ -1,34 +1,87 @@
-"""Hashing embedder: signed feature hashing of word n-grams, as sparse rows."""
+"""Hashing embedder: signed feature hashing of word n-grams.
+
+A text's vector depends on that text alone, so it is made where the row is: tokens by
+column expressions, then counts, hashes and the norm over Arrow batches, no shuffle.
+"""
 
 from __future__ import annotations
 
+import hashlib
+import sys
+from collections import Counter
+from math import log
+
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.functions import text as T
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no copy of this module
 DIM = 512
+REMEMBERED = 200_000  # terms whose hash a worker keeps
+
+
+def slots(terms: list[str], known: dict[str, tuple[int, float]], dim: int) -> list[tuple[int, float]]:
+    """Position and sign of each term: the first four MD5 bytes, big-endian, modulo the
+    dimension; +1 when the fifth byte is even, else -1."""
+    out = []
+    for term in terms:
+        slot = known.get(term)
+        if slot is None:
+            digest = hashlib.md5(term.encode()).digest()
+            slot = int.from_bytes(digest[:4], "big") % dim, 1.0 if digest[4] % 2 == 0 else -1.0
+            if len(known) >= REMEMBERED:
+                known.clear()
+            known[term] = slot
+        out.append(slot)
+    return out
+
+
+def _cells(tokens: list[str], known: dict, dim: int, sizes: tuple[int, ...]) -> dict[int, float]:
+    """position -> weight of one text: sign * (1 + ln tf), summed by position, of unit length."""
+    counts: Counter[str] = Counter()
+    for n in sizes:
+        counts.update(tokens if n == 1 else (" ".join(tokens[i : i + n]) for i in range(len(tokens) - n + 1)))
+    cells: dict[int, float] = {}
+    for tf, (pos, sign) in zip(counts.values(), slots(list(counts), known, dim)):
+        cells[pos] = cells.get(pos, 0.0) + sign * (1.0 + log(tf))
+    norm = sum(x * x for x in cells.values()) ** 0.5
+    return {pos: x / norm if norm > 0 else x for pos, x in cells.items()}
+
+
+def _tokens(text: Column) -> Column:
+    return T.hash_tokens(F.coalesce(text, F.lit("")))
 
 
-def _byte_run(term: Column, start: int, n: int) -> Column:
-    return F.conv(F.substring(F.md5(term), start, n), 16, 10).cast("long")
+def sparse_column(text: Column, dim: int = DIM, sizes: tuple[int, ...] = (1, 2)) -> Column:
+    """array<struct<pos, w>>, sorted by position."""
 
+    @F.arrow_udf("array<struct<pos:int,w:double>>")
+    def cells(tokens: pa.Array) -> pa.Array:
+        known: dict[str, tuple[int, float]] = {}
+        rows = [sorted(_cells(t, known, dim, sizes).items()) for t in tokens.to_pylist()]
+        kind = pa.list_(pa.struct([("pos", pa.int32()), ("w", pa.float64())]))
+        return pa.array([[{"pos": p, "w": w} for p, w in r] for r in rows], kind)
 
-def position(term: Column, dim: int = DIM) -> Column:
-    """First four MD5 bytes, big-endian, modulo the dimension."""
-    return (_byte_run(term, 1, 8) % F.lit(dim)).cast("int")
+    return cells(_tokens(text))
 
 
-def sign(term: Column) -> Column:
-    """+1 when the fifth MD5 byte is even, else -1."""
-    return F.when(_byte_run(term, 9, 2) % 2 == 0, F.lit(1.0)).otherwise(F.lit(-1.0))
+def dense_column(text: Column, dim: int = DIM, sizes: tuple[int, ...] = (1, 2)) -> Column:
+    """array<double> of length dim; zeros for a text without tokens."""
 
+    @F.arrow_udf("array<double>")
+    def vectors(tokens: pa.Array) -> pa.Array:
+        known: dict[str, tuple[int, float]] = {}
+        out = np.zeros((len(tokens), dim))
+        for row, t in zip(out, tokens.to_pylist()):
+            cells = _cells(t, known, dim, sizes)
+            row[list(cells)] = list(cells.values())
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(tokens) + 1, dtype=np.int32) * dim), pa.array(out.ravel()))
 
-def term_counts(df: DataFrame, id_col: str, text_col: str = "text", sizes: tuple[int, ...] = (1, 2)) -> DataFrame:
-    grams = T.ngrams(T.hash_tokens(F.coalesce(F.col(text_col), F.lit(""))), sizes)
-    return df.select(F.col(id_col).alias("id"), F.explode(grams).alias("term")).groupBy("id", "term").agg(
-        F.count(F.lit(1)).alias("tf")
-    )
+    return vectors(_tokens(text))
 
 
 def sparse_vectors(
@@ -38,37 +91,12 @@ def sparse_vectors(
 
     Rows without tokens have no entries; a vector that cancels out keeps its zeros.
     """
-    weighted = term_counts(df, id_col, text_col, sizes).select(
-        "id", position(F.col("term"), dim).alias("pos"), (sign(F.col("term")) * (F.lit(1.0) + F.log(F.col("tf")))).alias("x")
-    )
-    # partial sums by (id, pos), then one row an id: a second shuffle on the id only
-    summed = weighted.groupBy("id", "pos").agg(F.sum("x").alias("x"))
-    grouped = summed.groupBy("id").agg(
-        F.array_sort(F.collect_list(F.struct("pos", "x"))).alias("v"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm")
-    )
-    unit = F.transform(
-        "v", lambda e: F.struct(e["pos"].alias("pos"), F.when(F.col("norm") > 0, e["x"] / F.col("norm")).otherwise(e["x"]).alias("w"))
-    )
-    return grouped.select("id", F.explode(unit).alias("e")).select("id", "e.pos", "e.w")
+    made = df.select(F.col(id_col).alias("id"), sparse_column(F.col(text_col), dim, sizes).alias("v"))
+    return made.select("id", F.explode("v").alias("e")).select("id", "e.pos", "e.w")
 
 
 def packed_vectors(
     df: DataFrame, id_col: str, text_col: str = "text", dim: int = DIM, sizes: tuple[int, ...] = (1, 2)
 ) -> DataFrame:
-    """(id, embedding array<double>) with every id, zero vectors for texts without tokens."""
-    weighted = term_counts(df, id_col, text_col, sizes).select(
-        "id", position(F.col("term"), dim).alias("pos"), (sign(F.col("term")) * (F.lit(1.0) + F.log(F.col("tf")))).alias("x")
-    )
-    summed = weighted.groupBy("id", "pos").agg(F.sum("x").alias("x"))
-    maps = summed.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("pos", "x"))).alias("m"))
-    norm = F.sqrt(F.aggregate(F.map_values("m"), F.lit(0.0), lambda s, x: s + x * x))
-    made = maps.select("id", "m", norm.alias("norm")).select(
-        "id",
-        F.transform(
-            F.sequence(F.lit(0), F.lit(dim - 1)),
-            lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)) / F.when(F.col("norm") > 0, F.col("norm")).otherwise(1.0),
-        ).alias("embedding"),
-    )
-    every = df.select(F.col(id_col).alias("id")).distinct()
-    zeros = F.array_repeat(F.lit(0.0), dim)
-    return every.join(made, "id", "left").select("id", F.coalesce("embedding", zeros).alias("embedding"))
+    """(id, embedding array<double>) of every row, zero vectors for texts without tokens."""
+    return df.select(F.col(id_col).alias("id"), dense_column(F.col(text_col), dim, sizes).alias("embedding"))

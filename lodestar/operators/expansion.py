@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestar.functions import replies
 from lodestar.functions.text import strip
+from lodestar.session import written
 from lodestar.sources.providers import ChatProvider, LocalChat, ask
 
 TECHNIQUES = {"multi_query": (3, 0.3, 300), "step_back": (1, 0.3, 120), "decompose": (4, 0.3, 300)}
@@ -43,15 +44,15 @@ def expand(queries: DataFrame, technique: str, n: int | None = None, provider: C
 
 
 def hypothetical_documents(
-    queries: DataFrame, n: int = 1, style: str = "default", provider: ChatProvider | None = None
+    queries: DataFrame, n: int = 1, style: str = "default", provider: ChatProvider | None = None, temperature: float = HYDE_TEMPERATURE
 ) -> DataFrame:
     """(query_id, number, text): at least one call a query; empty replies are left out."""
     instruction = HYDE_STYLES.get(style, HYDE_STYLES["default"])
     numbered = queries.select("query_id", "text", F.explode(F.sequence(F.lit(1), F.lit(max(1, n)))).alias("number"))
     prompt = F.concat(F.col("text"), F.lit("\x1e" + instruction + " "), F.col("number").cast("string"))
-    reply = ask(provider or LocalChat(), "hypothesis", prompt, HYDE_TEMPERATURE, HYDE_TOKENS)
+    reply = ask(provider or LocalChat(), "hypothesis", prompt, temperature, HYDE_TOKENS)
     # a call that fails discards all hypothetical documents of its query
-    made = numbered.select("query_id", "number", reply.alias("text"))
+    made = written(numbered.select("query_id", "number", reply.alias("text")), "hypotheses")  # each is asked for once
     failed = made.filter("text is null").select("query_id").distinct()
     return made.join(failed, "query_id", "left_anti").filter(strip(F.col("text")) != "")
 

@@ -41,7 +41,7 @@ def answers(queries: DataFrame, hits: DataFrame, provider: ChatProvider | None =
 
 
 def closed_book_answers(queries: DataFrame, provider: ChatProvider | None = None, temperature: float = 0.0, max_tokens: int = 600) -> DataFrame:
-    reply = ask(provider or LocalChat(), "answer", F.concat(F.col("text"), F.lit("\x1e"), F.col("text")), temperature, max_tokens)
+    reply = ask(provider or LocalChat(), "answer", F.col("text"), temperature, max_tokens)
     return queries.select("query_id", F.col("text").alias("question"), reply.alias("answer"))
 
 

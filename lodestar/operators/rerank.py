@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions import replies
+from lodestar.session import written
 from lodestar.sources.providers import ChatProvider, LocalChat, ask
 
 POINTWISE_CHARS, LISTWISE_CHARS = 1500, 700
@@ -85,5 +86,6 @@ def rerank(hits: DataFrame, queries: DataFrame, strategy: str, top_k: int = 4, p
     if strategy == "pointwise":
         return pointwise(pointwise_replies(hits, queries, provider), top_k)
     if strategy == "listwise":
+        hits = written(hits, "rerank_hits")  # read for the prompts and for the order
         return listwise(hits, listwise_replies(hits, queries, provider), top_k)
     raise ValueError(f"unknown reranking {strategy!r}; there are {', '.join(STRATEGIES)}")

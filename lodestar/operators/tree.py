@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.operators.dense import cosine
+from lodestar.session import written
 from lodestar.sources.providers import ChatProvider, LocalChat, ask
 
 MAX_ITERATIONS, SEED = 30, 42
@@ -51,7 +52,6 @@ def seed_centres_apart(rows: DataFrame, k: int, seed: int = SEED) -> np.ndarray:
     is drawn with a chance by its weight; rows without weight come only when all are.
     """
     spark = rows.sparkSession
-    cut = "checkpoint" if spark.sparkContext.getCheckpointDir() else "localCheckpoint"
     near = rows.select("id", "embedding", F.lit(None).cast("double").alias("near"))
     chosen, fresh = [], []
     for i in range(k):
@@ -61,7 +61,7 @@ def seed_centres_apart(rows: DataFrame, k: int, seed: int = SEED) -> np.ndarray:
             least = F.array_min(F.transform("cs", lambda c: cosine_distance(F.col("embedding"), c)))
             now = near.join(F.broadcast(table)).select("id", "embedding", F.least("near", least).alias("near"))
         if len(fresh) == FRESH:
-            near, fresh = getattr(now, cut)(), []
+            near, fresh = written(now, "distances"), []
             now = near
         u = (F.shiftrightunsigned(F.xxhash64("id", F.lit(i), F.lit(seed)), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
         weight = F.coalesce(F.col("near") * F.col("near"), F.lit(1.0))
@@ -113,19 +113,19 @@ def kmeans(vectors: DataFrame, k: int, max_iterations: int = MAX_ITERATIONS, see
     else:
         centres = seed_centres_apart(base, k, seed)
     schema = "label int, centre array<double>"
-    last = None
+    last = labelled = None
     for _ in range(max_iterations):
         table = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centres)], schema)
-        labelled = assign(base, table)
-        new = centres.copy()
-        for r in means(labelled).collect():  # k rows
-            new[r["label"]] = r["centre"]
+        labelled = written(assign(base, table), "labels")
         print_of = labelled.agg(F.sum(F.xxhash64("id", "label").bitwiseAND(F.lit(0xFFFFFFFF)))).first()[0]
         if print_of == last:
             break
-        last, centres = print_of, new
-    final = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centres)], schema)
-    return assign(base, final).select("id", "label")
+        last, centres = print_of, centres.copy()
+        for r in means(labelled).collect():  # k rows
+            centres[r["label"]] = r["centre"]
+    base.unpersist()
+    # the labels of the last round, whether or not the centres have settled
+    return labelled.select("id", "label")
 
 
 def summaries(members: DataFrame, provider: ChatProvider | None = None, words: int = SUMMARY_WORDS) -> DataFrame:

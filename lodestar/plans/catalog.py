@@ -61,9 +61,9 @@ def bm25_hits(spark: SparkSession, d: str, k: int = 20) -> DataFrame:
 
 def dense_hits(spark: SparkSession, d: str, k: int = 20) -> DataFrame:
     chunks = fixed_chunks(spark, d)
-    vectors = hash_embed(chunks.select(F.col("chunk_id").alias("id"), "text")).withColumnRenamed("id", "chunk_id")
-    asked = hash_embed(questions(spark, d).select(F.col("query_id").alias("id"), "text")).withColumnRenamed("id", "query_id")
-    found = dense.top_k(chunks.select("chunk_id", "ord").join(vectors, "chunk_id"), asked, k, "chunk_id", "ord")
+    vectors = chunks.select("chunk_id", "ord", embed.dense_column(F.col("text")).alias("embedding"))
+    asked = questions(spark, d).select("query_id", embed.dense_column(F.col("text")).alias("embedding"))
+    found = dense.top_k(vectors, asked, k, "chunk_id", "ord")
     return found.withColumnRenamed("id", "chunk_id")
 
 

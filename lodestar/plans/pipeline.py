@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.operators import dense, embed, expansion, fusion, lexical, metrics, ordering, reflect, rerank, tree
 from lodestar.operators.chunking import chunk_documents
-from lodestar.session import prepare
+from lodestar.session import prepare, written
 from lodestar.sources import readers
-from lodestar.sources.providers import ChatProvider, LocalChat
+from lodestar.sources.providers import ChatProvider, LocalChat, OpenAICompatibleChat, OpenAICompatibleEmbedder, embed_texts
 
 LOCAL_MODEL = f"hash-{embed.DIM}"
 
@@ -33,6 +34,10 @@ class Settings:
     rewrites: int = 3
     tree_levels: int = 2
     cluster_size: int = 5
+    hyde_temperature: float = 0.7
+    chat_model: str = ""
+    embedding_model: str = ""
+    embedding_provider: str = "local"  # or "openrouter", for any OpenAI-compatible gateway
 
     @classmethod
     def from_env(cls) -> Settings:
@@ -40,6 +45,8 @@ class Settings:
             "chunk_size": "CHUNK_SIZE", "overlap": "CHUNK_OVERLAP", "top_k": "TOP_K", "temperature": "TEMPERATURE",
             "max_tokens": "MAX_TOKENS", "candidates": "CANDIDATOS", "dense_weight": "PESO_DENSO", "rrf_k": "RRF_K",
             "hyde_n": "HYDE_N", "rewrites": "N_REESCRITAS", "tree_levels": "RAPTOR_NIVEIS", "cluster_size": "RAPTOR_TAMANHO_CLUSTER",
+            "hyde_temperature": "HYDE_TEMPERATURA", "chat_model": "MODEL", "embedding_model": "EMBEDDING_MODEL",
+            "embedding_provider": "EMBEDDING_PROVIDER",
         }
         base = cls()
         return replace(base, **{k: type(getattr(base, k))(os.environ[v]) for k, v in names.items() if os.environ.get(v)})
@@ -84,6 +91,36 @@ def hash_embed(texts: DataFrame) -> DataFrame:
     return embed.packed_vectors(texts, "id", "text")
 
 
+KEY_VARIABLE, URL_VARIABLE = "OPENROUTER_API_KEY", "OPENAI_BASE_URL"
+
+
+def make_embedder(settings: Settings, cache: str | None = None) -> tuple[Callable[[DataFrame], DataFrame], str]:
+    """(embed, model name) as the settings choose; with ``cache``, a folder, texts that it
+    holds are not embedded again. ``embed`` maps (id, text) to (id, embedding)."""
+    base, model = hash_embed, LOCAL_MODEL
+    if settings.embedding_provider.lower() == "openrouter":
+        if not settings.embedding_model:
+            raise ValueError("name an embedding model")
+        remote = OpenAICompatibleEmbedder(settings.embedding_model, os.environ.get(URL_VARIABLE), KEY_VARIABLE)
+        base, model = (lambda texts: embed_texts(texts, remote, "id")), remote.name
+    if not cache:
+        return base, model
+    return (lambda texts: readers.embed_with_cache(texts, cache, model, base)), model
+
+
+def make_provider(settings: Settings) -> ChatProvider:
+    """The chat model that the settings name, or the local stand-in."""
+    if settings.embedding_provider.lower() == "openrouter" and settings.chat_model:
+        return OpenAICompatibleChat(settings.chat_model, os.environ.get(URL_VARIABLE), KEY_VARIABLE)
+    return LocalChat()
+
+
+def insertion_order(doc_id: Column, position: Column, integral: bool) -> Column:
+    """A string that sorts chunks by document and place, numbers by value."""
+    shifted = (doc_id.cast("decimal(20,0)") + F.lit(str(1 << 63)).cast("decimal(20,0)")).cast("string") if integral else doc_id.cast("string")
+    return F.concat(F.lpad(shifted, 20, "0") if integral else shifted, F.lit("\x01"), F.lpad(position.cast("string"), 10, "0"))
+
+
 @dataclass
 class Index:
     """chunks with embeddings, and the lexical tables."""
@@ -101,14 +138,28 @@ class Pipeline:
     embedder: object = hash_embed
     model: str = LOCAL_MODEL
 
+    @classmethod
+    def of(cls, settings: Settings, config: Config, cache: str | None = None) -> Pipeline:
+        """Provider and embedder as the settings choose."""
+        embedder, model = make_embedder(settings, cache)
+        return cls(settings, config, make_provider(settings), embedder, model)
+
     def index(self, docs: DataFrame, strategy: str = "recursive", with_tree: bool = False) -> Index:
         """Index tables of documents(doc_id, title, text)."""
         prepare(docs.sparkSession)
-        chunks = chunk_documents(docs, strategy, self.settings.chunk_size, self.settings.overlap)
+        keep = tuple(c for c in ("origin",) if c in docs.columns)
+        chunks = chunk_documents(docs, strategy, self.settings.chunk_size, self.settings.overlap, keep=keep)
+        integral = dict(docs.dtypes)["doc_id"] in ("tinyint", "smallint", "int", "bigint")
+        chunks = chunks.withColumn("ord", insertion_order(F.col("doc_id"), F.col("position"), integral))
         chunks = chunks.withColumn("doc_id", F.col("doc_id").cast("string"))
         if with_tree:
             nodes = tree.build_tree(chunks, self.embedder, self.settings.tree_levels, self.settings.cluster_size, self.provider)
-            chunks = nodes.select("chunk_id", "doc_id", "title", "position", "text", "level", "doc_ids")
+            # summaries come after the chunks, level by level
+            order = insertion_order(F.col("level"), F.col("position"), True)
+            chunks = nodes.join(chunks.select("chunk_id", F.col("ord").alias("own")), "chunk_id", "left").select(
+                "chunk_id", "doc_id", "title", "position", "text", "level", "doc_ids",
+                F.coalesce(F.concat(F.lit("0"), F.col("own")), F.concat(F.lit("1"), order)).alias("ord"),
+            )
         vectors = self.embedder(chunks.select(F.col("chunk_id").alias("id"), "text")).withColumnRenamed("id", "chunk_id")
         return Index(chunks.join(vectors, "chunk_id"), lexical.build_index(chunks), self.model)
 
@@ -128,7 +179,7 @@ class Pipeline:
         if not self.config.hyde:
             return plain
         first = texts.filter("variant_no = 0").select("query_id", "text")
-        hypothetical = expansion.hypothetical_documents(first, self.settings.hyde_n, provider=self.provider)
+        hypothetical = expansion.hypothetical_documents(first, self.settings.hyde_n, provider=self.provider, temperature=self.settings.hyde_temperature)
         mean = expansion.hyde_vectors(first, hypothetical, self.embedder).select("query_id", F.lit(0).alias("variant_no"), "embedding")
         return mean.unionByName(plain.filter("variant_no > 0"))
 
@@ -137,13 +188,13 @@ class Pipeline:
         pair = F.struct("query_id", "variant_no")
         vectors = self._query_vectors(texts).select(F.to_json(pair).alias("query_id"), F.struct("query_id", "variant_no").alias("p"), "embedding")
         keys = vectors.select("query_id", "p")
-        found = dense.top_k(index.chunks, vectors.select("query_id", "embedding"), n, "chunk_id")
+        found = dense.top_k(index.chunks, vectors.select("query_id", "embedding"), n, "chunk_id", "ord")
         out = found.join(keys, "query_id").select(
             F.col("p.query_id").alias("query_id"), F.col("p.variant_no").alias("ranker_id"), F.col("id").alias("chunk_id"), "score", "rank"
         )
         if self.config.hybrid:
             asked = texts.select(F.to_json(pair).alias("query_id"), F.struct("query_id", "variant_no").alias("p"), "text")
-            words = lexical.top_k(index.lexical, asked.select("query_id", "text"), n)
+            words = lexical.top_k(index.lexical, asked.select("query_id", "text"), n, index.chunks.select("chunk_id", "ord"))
             most = F.lit(1000)  # lexical rankings come after every dense one
             out = out.unionByName(
                 words.join(asked.select("query_id", "p"), "query_id").select(
@@ -161,6 +212,7 @@ class Pipeline:
             texts = expansion.expand(
                 queries, self.config.rewrite, self.settings.rewrites if self.config.rewrite == "multi_query" else None, self.provider
             ).select("query_id", F.col("variant_no").cast("int").alias("variant_no"), "text")
+            texts = written(texts, "variants")  # each query is rewritten once
         hits = self.rankings(index, texts, n)
         single = not self.config.hybrid and not self.config.rewrite
         if single:
@@ -197,17 +249,19 @@ class Pipeline:
         return mixed.unionByName(fusion.reciprocal_rank_fusion(rest, self.settings.rrf_k, n))
 
     def ask(self, index: Index, queries: DataFrame, top_k: int | None = None) -> DataFrame:
-        """(query_id, question, retrieve, context, n_hits, chunk_ids, answer, abstained, critique, final)."""
+        """(query_id, question, retrieve, context, n_hits, chunk_ids, answer, abstained, critique, final, model, techniques)."""
         decided = queries.withColumn("retrieve", F.lit(True))
         if self.config.retrieve_on_demand:
-            decided = reflect.retrieve_decisions(queries, self.provider)
+            decided = written(reflect.retrieve_decisions(queries, self.provider), "decisions")
         wanted = decided.filter("retrieve").drop("retrieve")
         made = reflect.answers(wanted, self.retrieve(index, wanted, top_k), self.provider, self.settings.temperature, self.settings.max_tokens)
         if self.config.critique:
             made = reflect.critiques(made, self.provider)
         else:
             made = made.withColumn("final", F.col("answer"))
-        made = made.withColumn("retrieve", F.lit(True))
+        made = made.withColumn("retrieve", F.lit(True)).withColumn("model", F.lit(self.model)).withColumn(
+            "techniques", F.array(*[F.lit(x) for x in self.config.active()])
+        )
         if not self.config.retrieve_on_demand:
             return made
         closed = reflect.closed_book_answers(decided.filter("not retrieve"), self.provider)

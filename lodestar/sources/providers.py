@@ -20,10 +20,51 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestar.functions.replies import NO_ANSWER
+
 BATCH = 64
 ATTEMPTS = 4
 
 
+#: what a model is told for each task; the parsers of ``functions.replies`` read what is asked for here
+INSTRUCTIONS = {
+    "answer": "Answer the question from the numbered passages below and from nothing else. Name the passages that you use by their numbers in "
+    f"square brackets. Keep to the question's language. If the passages do not hold the answer, reply with this sentence alone: {NO_ANSWER}",
+    "closed_book": "Answer the question briefly, in its language, from what you know.",
+    "grade": "Grade how well the passage answers the question, from 0 (not at all) to 10 (fully). Reply with the number alone.",
+    "listwise": "Order the passages by how well each answers the question, best first. Reply with their numbers alone, separated by commas.",
+    "relevant": 'Does the passage help to answer the question? Reply with JSON alone: {"relevante": true} or {"relevante": false}.',
+    "retrieve": "Does answering the message take a look into the documents (facts, figures, definitions), or is it small talk or common knowledge? "
+    'Reply with JSON alone: {"recuperar": true or false, "motivo": "a few words"}.',
+    "critique": "Judge the answer by the context. Reply with JSON alone, with the keys suporte (fully, partially or no_support: is what it claims "
+    "held by the context?), utilidade (1 to 5: how useful is it for the question?) and afirmacoes_sem_respaldo (a list of its claims "
+    "that the context does not hold).",
+    "multi_query": "Write the question in other words, with other terms for the same need, one version a line, nothing else.",
+    "step_back": "Write one more general question whose answer gives the background of this one. Reply with that question alone.",
+    "decompose": "Split the question into simpler ones that can each be looked up alone, one a line, nothing else.",
+    "hypothesis": "Write the text that is asked for as if it came from a document; do not say that it is made up.",
+    "summary": "Summarise the passages as one text that keeps names, figures and definitions. Add nothing that they do not say.",
+}
+
+
+def messages(task: str, prompt: str) -> list[dict[str, str]]:
+    """The instruction of a task, and the parts of a prompt under their names.
+
+    An answer without passages is a closed-book one.
+    """
+    first, _, rest = prompt.partition("\x1e")
+    if task == "answer" and not rest:
+        task = "closed_book"
+    if task == "listwise":
+        rest = "\n\n".join(f"[{i}] {p}" for i, p in enumerate(rest.split("\x1d"), 1))
+    name = {"critique": "Answer", "retrieve": "Message"}.get(task, "Question")
+    parts = [f"{name}: {first}" if first else "", rest]
+    return [
+        {"role": "system", "content": INSTRUCTIONS[task]},
+        {"role": "user", "content": "\n\n".join(x for x in parts if x)},
+    ]
+
+
 class ChatProvider(Protocol):
     def reply(self, task: str, prompt: str, temperature: float, max_tokens: int) -> str: ...
 
@@ -61,7 +102,7 @@ class LocalChat:
             return f"{question} {hashlib.md5(question.encode()).hexdigest()[:4]}"
         if task == "summary":
             return rest[: 2 * max_tokens]
-        return f"{rest[:max_tokens]}"
+        return f"{(rest or question)[:max_tokens]}"
 
 
 @dataclass(frozen=True)
@@ -78,9 +119,8 @@ class OpenAICompatibleChat:
         from openai import OpenAI
 
         client = OpenAI(api_key=os.environ[self.key_variable], base_url=self.base_url)
-        text = prompt.replace("\x1e", "\n\n").replace("\x1d", "\n\n")
         out = client.chat.completions.create(
-            model=self.model, messages=[{"role": "user", "content": text}], temperature=temperature, max_tokens=max_tokens
+            model=self.model, messages=messages(task, prompt), temperature=temperature, max_tokens=max_tokens
         )
         return (out.choices[0].message.content or "").strip()
 

@@ -8,6 +8,7 @@ import warnings
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -99,7 +100,7 @@ def read_index(spark: SparkSession, path: str, model: str | None = None) -> Data
 
 
 def cache_key(text: str = "text"):
-    return F.substring(F.sha2(F.col(text), 256), 1, 32)
+    return F.substring(F.sha2(F.coalesce(F.col(text), F.lit("")), 256), 1, 32)
 
 
 def cache_misses(texts: DataFrame, cache: DataFrame) -> DataFrame:
@@ -113,14 +114,17 @@ def embed_with_cache(
 ) -> DataFrame:
     """(id, embedding) of texts(id, text): only what the model's cache lacks is computed.
 
-    ``embed`` maps (id, text) to (id, embedding). An unreadable cache counts as empty.
+    ``embed`` maps (id, text) to (id, embedding). A cache that is not there counts as
+    empty; one that cannot be read is an error. A null text counts as empty.
     """
     spark = texts.sparkSession
     place = f"{path}/model={model}"
     try:
         cache = spark.read.schema("key string, embedding array<double>").parquet(place)
         cache.limit(1).count()
-    except Exception:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         cache = spark.createDataFrame([], "key string, embedding array<double>")
     missing = cache_misses(texts, cache)
     made = embed(missing.select(F.col("key").alias("id"), "text")).select(F.col("id").alias("key"), "embedding")
