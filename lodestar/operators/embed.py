@@ -62,9 +62,15 @@ def sparse_column(text: Column, dim: int = DIM, sizes: tuple[int, ...] = (1, 2))
     @F.arrow_udf("array<struct<pos:int,w:double>>")
     def cells(tokens: pa.Array) -> pa.Array:
         known: dict[str, tuple[int, float]] = {}
-        rows = [sorted(_cells(t, known, dim, sizes).items()) for t in tokens.to_pylist()]
-        kind = pa.list_(pa.struct([("pos", pa.int32()), ("w", pa.float64())]))
-        return pa.array([[{"pos": p, "w": w} for p, w in r] for r in rows], kind)
+        pos, w, ends = [], [], [0]
+        for t in tokens.to_pylist():
+            row = _cells(t, known, dim, sizes)
+            order = sorted(row)
+            pos += order
+            w += [row[p] for p in order]
+            ends.append(len(pos))
+        flat = pa.StructArray.from_arrays([pa.array(pos, pa.int32()), pa.array(w, pa.float64())], ["pos", "w"])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
 
     return cells(_tokens(text))
 
@@ -92,7 +98,8 @@ def sparse_vectors(
     Rows without tokens have no entries; a vector that cancels out keeps its zeros.
     """
     made = df.select(F.col(id_col).alias("id"), sparse_column(F.col(text_col), dim, sizes).alias("v"))
-    return made.select("id", F.explode("v").alias("e")).select("id", "e.pos", "e.w")
+    # outer: a plain explode infers a filter that makes the vectors a second time
+    return made.select("id", F.explode_outer("v").alias("e")).filter("e is not null").select("id", "e.pos", "e.w")
 
 
 def packed_vectors(

@@ -16,7 +16,7 @@ from lodestar.functions import text as T
 from lodestar.operators import chunking, dense, embed, expansion, fusion, lexical, metrics, ordering, reflect, rerank, tree
 from lodestar.plans import sql as S
 from lodestar.plans.pipeline import PRESETS, Config, Pipeline, compare_chunking, hash_embed
-from lodestar.session import prepare
+from lodestar.session import prepare, spread
 from lodestar.sources import readers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,7 +42,7 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def corpus(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", F.col("source").alias("title"), "text")
+    return spread(table(spark, d, "documents").select("doc_id", F.col("source").alias("title"), "text"))
 
 
 def fixed_chunks(spark: SparkSession, d: str) -> DataFrame:

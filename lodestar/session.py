@@ -19,6 +19,13 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores, where its scan has fewer partitions than there are: a small file
+    with one row group is one task. Larger inputs are not shuffled."""
+    wanted = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the session names it; only a local
     master, whose executors are threads of the driver, gets one of its own."""
