@@ -206,7 +206,7 @@ def rare_seeds(docs: DataFrame, items: Items, text_col: str) -> np.ndarray:
     """Flags of the slice's rare seeds, from document counts over the whole corpus."""
     shared = docs.sparkSession.sparkContext.broadcast(items.plain())
     counts = (
-        docs.select(F.explode(seed_hits(F.col(text_col), shared)).alias("s")).groupBy("s").count().toArrow()
+        docs.select(F.explode_outer(seed_hits(F.col(text_col), shared)).alias("s")).filter("s is not null").groupBy("s").count().toArrow()
     )  # one row a seed of the slice at most
     by_seed = np.zeros(len(items.seeds))
     seeds = counts.column("s").to_numpy().view(np.uint64)
@@ -233,8 +233,9 @@ def contamination(
     out = None
     for items in item_slices(benchmark, slice_words):
         items.keep(rare_seeds(docs, items, text_col))
-        found = docs.select(F.col(id_col), F.explode(match_column(F.col(text_col), spark.sparkContext.broadcast(items.plain()), id_type)).alias("m"))
-        part = found.select(id_col, "m.*").filter(F.col("score") >= F.lit(threshold))
+        # outer: a plain explode infers a filter that aligns a second time
+        found = docs.select(F.col(id_col), F.explode_outer(match_column(F.col(text_col), spark.sparkContext.broadcast(items.plain()), id_type)).alias("m"))
+        part = found.filter("m is not null").select(id_col, "m.*").filter(F.col("score") >= F.lit(threshold))
         out = part if out is None else out.unionByName(part)
     if out is None:
         kind = dict(docs.dtypes)[id_col]
