@@ -29,7 +29,8 @@ def chunk_documents(
         raise ValueError(f"unknown strategy {strategy!r}; there are {', '.join(known)}")
     pieces = known[strategy](F.col("text"), size, overlap)
     name = F.coalesce(F.col(title), F.lit("")) if title else F.lit("")
-    out = docs.select("doc_id", name.alias("title"), *keep, F.posexplode(pieces).alias("position", "chunk"))
+    out = docs.select("doc_id", name.alias("title"), *keep, F.posexplode_outer(pieces).alias("position", "chunk"))
+    out = out.filter("chunk is not null")  # outer: a plain explode infers a filter that cuts the text a second time
     return out.select(
         F.format_string("%s#%03d", F.col("doc_id").cast("string"), F.col("position")).alias("chunk_id"), "doc_id", "title",
         "position", F.col("chunk").alias("text"), F.lit(strategy).alias("strategy"), *keep,
