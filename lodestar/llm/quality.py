@@ -305,13 +305,15 @@ def train(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", train
     if not n:
         return QualityModel(label_model, linear.Linear(np.zeros(1 << linear.BITS), 0.0))
     lists = got.column("f").combine_chunks()
-    rows = np.repeat(np.arange(n), np.diff(lists.offsets.to_numpy()))
+    rows = np.repeat(np.arange(n, dtype=np.int32), np.diff(lists.offsets.to_numpy()))
     target = label_model.posterior(pattern_array(got.column("v").to_pylist()))
     good = max(1e-9, target.sum())
     weight = target / good + (1 - target) / max(1.0, n - good)
-    features = lists.flatten().to_numpy().astype(np.int64)
+    features = lists.flatten().to_numpy()
     kept = telling(features, rows, target)[features]
-    scorer = linear.fit(features[kept], rows[kept], target, (), weight, l2=WEIGHT_DECAY, l1=0.0, iterations=300)
+    features, rows = features[kept].astype(np.int64), rows[kept]
+    del got, lists
+    scorer = linear.fit(features, rows, target, (), weight, l2=WEIGHT_DECAY, l1=0.0, iterations=300)
     return QualityModel(label_model, scorer)
 
 
