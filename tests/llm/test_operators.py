@@ -697,5 +697,5 @@ def test_short_items_with_one_intact_seed_are_aligned():
 def test_chains_skip_any_number_of_anchors(spark):
     texts = ["the quick fox", "the quick of the a in to fox"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = [r[0] for r in df.orderBy("doc_id").select(spotsigs.signatures(F.col("text"))).collect()]
+    got = [r["s"] for r in spotsigs.signed(df, "text", "s").orderBy("doc_id").collect()]
     assert len(got[0]) == 1 and got[1] == got[0]
