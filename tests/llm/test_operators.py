@@ -699,3 +699,16 @@ def test_chains_skip_any_number_of_anchors(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = [r["s"] for r in spotsigs.signed(df, "text", "s").orderBy("doc_id").collect()]
     assert len(got[0]) == 1 and got[1] == got[0]
+
+
+def test_of_repeated_rows_one_keeps_its_lines(spark):
+    rows = [(1, "first line of it\n\nsecond line here"), (1, "first line of it\n\nsecond line here"), (None, "first line of it"), (2, None), (3, "")]
+    df = clashing(spark.createDataFrame(rows, "doc_id long, text string"))
+    found = line_dedup.line_components(df, Scratch(spark)).collect()
+    assert len(found) == 5 and sum(r["keep"] for r in found) == 2
+    assert all(r["kept_id"] is None for r in found if r["line_no"] == 0)
+    out = line_dedup.dedup_lines(df, Scratch(spark))
+    assert out.columns == df.columns
+    texts = [r["text"] for r in out.collect()]
+    assert len(texts) == 5 and sum((t or "").count("first line of it") for t in texts) == 1
+    assert sum((t or "").count("second line here") for t in texts) == 1 and None in texts and texts.count("") >= 1
