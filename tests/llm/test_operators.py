@@ -712,3 +712,21 @@ def test_of_repeated_rows_one_keeps_its_lines(spark):
     texts = [r["text"] for r in out.collect()]
     assert len(texts) == 5 and sum((t or "").count("first line of it") for t in texts) == 1
     assert sum((t or "").count("second line here") for t in texts) == 1 and None in texts and texts.count("") >= 1
+
+
+def test_shingle_sets_and_their_sketches(spark):
+    rng = random.Random(5)
+    base = "".join(rng.choice("ab é漢😀") for _ in range(300))
+    lines = ["a", "😀😀", "12345", base, base[:140] + "x" + base[141:], base[30:] + base[:60], "abc" * 200]
+    lines += ["".join(rng.choice("ab é漢😀") for _ in range(n)) for n in (6, 40, 300)]
+    df = spark.createDataFrame(list(enumerate(lines)), "key long, line string")
+    sets = [{x[i:i + 5] for i in range(max(1, len(x) - 4))} for x in lines]
+    assert [r[0] for r in df.orderBy("key").select(F.size(line_dedup.shingle_set(F.col("line")))).collect()] == [len(s) for s in sets]
+    sketches = line_dedup._sketches(df)
+    assert {r["key"]: r["n"] for r in sketches.collect()} == {i: len(s) for i, s in enumerate(sets)}
+    x, y = sketches.alias("x"), sketches.alias("y")
+    kept = {(r[0], r[1]) for r in x.join(y, F.col("x.key") < F.col("y.key")).filter(line_dedup._room("x", "y")).select("x.key", "y.key").collect()}
+    alike = {(i, j) for j in range(len(sets)) for i in range(j) if len(sets[i] & sets[j]) >= 0.75 * len(sets[i] | sets[j])}
+    assert (3, 4) in alike and alike <= kept and (3, 9) not in kept
+    broken = spark.sql("SELECT cast(X'61FF62C328' AS string) AS line").select(F.size(line_dedup.shingle_set(F.col("line"))))
+    assert broken.first()[0] == 1
