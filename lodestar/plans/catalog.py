@@ -16,6 +16,7 @@ from lodestar.functions import text as T
 from lodestar.operators import chunking, dense, embed, expansion, fusion, lexical, metrics, ordering, reflect, rerank, tree
 from lodestar.plans import sql as S
 from lodestar.plans.pipeline import PRESETS, Config, Pipeline, compare_chunking, hash_embed
+from lodestar.plans.pipeline import ablation as run_ablation
 from lodestar.session import prepare, spread
 from lodestar.sources import readers
 
@@ -418,6 +419,14 @@ def ablation_query(spark, d):
     return metrics.comparison({n: metrics.evaluate(asked, h.filter("rank <= 4").join(docs, "chunk_id"), rels) for n, h in runs.items()})
 
 
+@query("ablation_full")
+def ablation_full(spark, d):
+    """All five cumulative configurations over recursive chunks, with the local provider."""
+    docs = corpus(spark, d).withColumn("doc_id", F.col("doc_id").cast("string"))
+    rels = qrels_of(spark, d).withColumn("doc_id", F.col("doc_id").cast("string"))
+    return run_ablation(docs, questions(spark, d), rels)
+
+
 @query("chunking_comparison")
 def chunking_comparison(spark, d):
     docs = corpus(spark, d).withColumn("doc_id", F.col("doc_id").cast("string"))
@@ -438,7 +447,7 @@ def hybrid_pipeline(spark, d):
 def _pipeline_query(config: Config):
     def run(spark, d):
         pipeline = Pipeline(config=config)
-        index = pipeline.index(corpus(spark, d), "fixed")
+        index = pipeline.index(corpus(spark, d))
         return pipeline.retrieve(index, questions(spark, d)).select("query_id", "chunk_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
     return run
@@ -452,7 +461,7 @@ for _name, _config in PRESETS.items():
 def ask_full(spark, d):
     """Retrieval decision, answer, critique and annotation with the local provider."""
     pipeline = Pipeline(config=PRESETS["full"])
-    return pipeline.ask(pipeline.index(corpus(spark, d), "fixed"), questions(spark, d)).select(
+    return pipeline.ask(pipeline.index(corpus(spark, d)), questions(spark, d)).select(
         "query_id", "retrieve", "n_hits", "chunk_ids", "answer", "abstained", F.col("critique.support").alias("support"), "final"
     )
 
