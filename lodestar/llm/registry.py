@@ -15,6 +15,7 @@ from lodestar.llm.ngram_join import ngram_components
 from lodestar.llm.quality import classify_quality
 from lodestar.llm.sharding import shard_rows
 from lodestar.llm.spotsigs import edit_checks
+from lodestar.llm.sweep import open_sales, sweep
 from lodestar.llm.toxicity import score_toxicity
 
 SHARDS, SHARD_SEED = 8, 7
@@ -163,10 +164,42 @@ def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_peak_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Open sales and their money by nation and moment."""
+    scratch = Scratch(spark)
+    sales, lines, clients = (table(spark, sf_dir, name) for name in ("sales", "sale_lines", "clients"))
+    return sweep(open_sales(sales, lines, clients, scratch), scratch)
+
+
+OP13_SQL = r"""
+WITH ends AS (
+  SELECT sale_id, floor(epoch_us(min(shipped_at)) / 1000000)::bigint + 86400 AS b FROM sale_lines WHERE shipped_at IS NOT NULL GROUP BY sale_id
+), places AS (
+  SELECT client_id, min(nation_id) AS nation FROM clients GROUP BY client_id
+), open AS (
+  SELECT coalesce(nation, -1) AS nation, floor(epoch_us(sold_at) / 1000000)::bigint AS a, b, coalesce(floor(100 * total + 0.5), 0)::bigint AS cents
+  FROM sales LEFT JOIN ends USING (sale_id) LEFT JOIN places USING (client_id) WHERE sold_at IS NOT NULL
+), kept AS (
+  SELECT * FROM open WHERE b IS NULL OR b > a
+), twice AS (
+  SELECT * FROM kept UNION ALL SELECT -2, a, b, cents FROM kept
+), changes AS (
+  SELECT nation, a AS t, 1 AS n, cents AS c FROM twice UNION ALL SELECT nation, b, -1, -cents FROM twice WHERE b IS NOT NULL
+), moments AS (
+  SELECT nation, t, sum(n) AS n, sum(c) AS c FROM changes GROUP BY nation, t HAVING sum(n) <> 0 OR sum(c) <> 0
+), running AS (
+  SELECT nation, t, lead(t) OVER w AS u, sum(n) OVER w AS n, sum(c) OVER w AS c FROM moments WINDOW w AS (PARTITION BY nation ORDER BY t)
+)
+SELECT nation::int AS nation_id, t AS from_s, u AS to_s, n::bigint AS n_open, c::bigint AS open_cents,
+  (max(n) OVER (PARTITION BY nation ORDER BY t))::bigint AS high_open, c = max(c) OVER (PARTITION BY nation) AS is_peak
+FROM running
+"""
+
+
 def _prepared(f):
     return lambda spark, sf_dir: f(prepare(spark), sf_dir)
 
 
-QUERIES = {"op1_lm_scoring": op1_lm_scoring, "op2_line_dedup": op2_line_dedup, "op3_sharding": op3_sharding, "op4_mixing": op4_mixing, "op5_toxicity": op5_toxicity, "op6_ngram_join": op6_ngram_join, "op7_html_text": op7_html_text, "op8_decontamination": op8_decontamination, "op9_fingerprints": op9_fingerprints, "op10_quality": op10_quality}
+QUERIES = {"op1_lm_scoring": op1_lm_scoring, "op2_line_dedup": op2_line_dedup, "op3_sharding": op3_sharding, "op4_mixing": op4_mixing, "op5_toxicity": op5_toxicity, "op6_ngram_join": op6_ngram_join, "op7_html_text": op7_html_text, "op8_decontamination": op8_decontamination, "op9_fingerprints": op9_fingerprints, "op10_quality": op10_quality, "op13_peak_sweep": op13_peak_sweep}
 QUERIES = {name: _prepared(f) for name, f in QUERIES.items()}
-ORACLES: dict[str, str] = {"op1_lm_scoring": OP1_SQL, "op6_ngram_join": OP6_SQL}
+ORACLES: dict[str, str] = {"op1_lm_scoring": OP1_SQL, "op6_ngram_join": OP6_SQL, "op13_peak_sweep": OP13_SQL}
