@@ -17,6 +17,8 @@ from lodestar.llm.sharding import shard_rows
 from lodestar.llm.spotsigs import edit_checks
 from lodestar.llm.sweep import open_sales, sweep
 from lodestar.llm.toxicity import score_toxicity
+from lodestar.llm.url_list import build_list, judge_urls, mostly_blocked
+from lodestar.llm.whitening import whiten
 
 SHARDS, SHARD_SEED = 8, 7
 
@@ -164,6 +166,45 @@ def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
+
+
+def op11_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page by the rules; where none fits, by the list of mostly blocked hosts."""
+    scratch = Scratch(spark)
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    rules = build_list(spark.createDataFrame(URL_RULES, "key string, verdict string"), scratch)
+    listed = build_list(mostly_blocked(judge_urls(pages, "url", rules)), scratch)
+    return judge_urls(pages, "url", rules, listed).select("page_id", "host", "path", "rule", "verdict")
+
+
+OP11_SQL = r"""
+WITH urls AS (
+  SELECT row_number() OVER () AS r, page_id,
+    translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path
+  FROM pages
+), rules(h, p, v) AS (
+  VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')
+), fitting AS (
+  SELECT r, arg_max(h || p, length(h || p)) AS rule, arg_max(v, length(h || p)) AS verdict
+  FROM urls JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY r
+), ruled AS (
+  SELECT urls.*, rule, verdict FROM urls LEFT JOIN fitting USING (r)
+), bad AS (
+  SELECT host AS b FROM ruled WHERE rule IS NOT NULL GROUP BY host HAVING 2 * count(*) FILTER (WHERE verdict = 'block') > count(*)
+)
+SELECT page_id, host, path, rule,
+  coalesce(verdict, CASE WHEN EXISTS (SELECT 1 FROM bad WHERE host = b OR ends_with(host, '.' || b)) THEN 'block' ELSE 'allow' END) AS verdict
+FROM ruled
+"""
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector on the first eight whitened components of all vectors."""
+    return whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), Scratch(spark))
+
+
 def op13_peak_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Open sales and their money by nation and moment."""
     scratch = Scratch(spark)
@@ -200,6 +241,6 @@ def _prepared(f):
     return lambda spark, sf_dir: f(prepare(spark), sf_dir)
 
 
-QUERIES = {"op1_lm_scoring": op1_lm_scoring, "op2_line_dedup": op2_line_dedup, "op3_sharding": op3_sharding, "op4_mixing": op4_mixing, "op5_toxicity": op5_toxicity, "op6_ngram_join": op6_ngram_join, "op7_html_text": op7_html_text, "op8_decontamination": op8_decontamination, "op9_fingerprints": op9_fingerprints, "op10_quality": op10_quality, "op13_peak_sweep": op13_peak_sweep}
+QUERIES = {"op1_lm_scoring": op1_lm_scoring, "op2_line_dedup": op2_line_dedup, "op3_sharding": op3_sharding, "op4_mixing": op4_mixing, "op5_toxicity": op5_toxicity, "op6_ngram_join": op6_ngram_join, "op7_html_text": op7_html_text, "op8_decontamination": op8_decontamination, "op9_fingerprints": op9_fingerprints, "op10_quality": op10_quality, "op11_url_filters": op11_url_filters, "op12_whitening": op12_whitening, "op13_peak_sweep": op13_peak_sweep}
 QUERIES = {name: _prepared(f) for name, f in QUERIES.items()}
-ORACLES: dict[str, str] = {"op1_lm_scoring": OP1_SQL, "op6_ngram_join": OP6_SQL, "op13_peak_sweep": OP13_SQL}
+ORACLES: dict[str, str] = {"op1_lm_scoring": OP1_SQL, "op6_ngram_join": OP6_SQL, "op11_url_filters": OP11_SQL, "op13_peak_sweep": OP13_SQL}
