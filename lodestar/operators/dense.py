@@ -106,7 +106,7 @@ def top_k(
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def _ranked(ids: DataFrame) -> DataFrame:
+def numbered(ids: DataFrame) -> DataFrame:
     """(id, at): the distinct ids numbered from 0 in their order."""
     sorted_ids = ids.select("id").distinct().orderBy("id").select("id", F.monotonically_increasing_id().alias("m"))
     placed = written(sorted_ids.select("id", F.shiftright("m", 33).alias("part"), F.col("m").bitwiseAND(F.lit((1 << 33) - 1)).alias("row")), "ids")
@@ -136,7 +136,7 @@ def sparse_top_k(
         scored = part if scored is None else scored.unionByName(part)
     if everything is not None:
         scored = written(scored, "sparse_hits")
-        ranked = _ranked(everything)
+        ranked = numbered(everything)
         hits = scored.select("query_id", "id").join(ranked, "id").select("query_id", "at")
         # hit number i at rank r has r - i others before it
         place = F.col("at") - F.row_number().over(Window.partitionBy("query_id").orderBy("at")) + 1

@@ -2,130 +2,15 @@
 
 from __future__ import annotations
 
-import random
-
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.operators.dense import cosine
-from lodestar.session import written
+from lodestar.operators.cluster import kmeans
+from lodestar.operators.dense import numbered
+from lodestar.session import Scratch, written
 from lodestar.sources.providers import ChatProvider, LocalChat, ask
 
-MAX_ITERATIONS, SEED = 30, 42
 MEMBER_CHARS, CLUSTER_CHARS, SUMMARY_WORDS = 1500, 12000, 200
-EXACT_ROWS = 20_000  # up to here seeding runs on the driver; beyond, as one pass over all rows a centre
-FRESH = 16  # centres after which the running distances are kept
-
-
-def cosine_distance(a, b):
-    """1 - cosine; 1.0 when a vector has no length."""
-    return F.lit(1.0) - cosine(a, b)
-
-
-def _distances(rows: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    size = np.linalg.norm(rows, axis=1)[:, None] * np.linalg.norm(centres, axis=1)[None, :]
-    return 1.0 - np.divide(rows @ centres.T, size, out=np.zeros(size.shape), where=size > 0)
-
-
-def seed_centres(rows: np.ndarray, k: int, seed: int = SEED) -> np.ndarray:
-    """First centre at random, each further one with a chance by its squared distance."""
-    draw = random.Random(seed)
-    chosen = [rows[draw.randrange(len(rows))]]
-    nearest = np.full(len(rows), np.inf)
-    while len(chosen) < k:
-        nearest = np.minimum(nearest, _distances(rows, chosen[-1][None, :])[:, 0])
-        weight = nearest**2
-        total = float(weight.sum())
-        if total == 0:
-            chosen.append(rows[draw.randrange(len(rows))])
-            continue
-        goal = draw.random() * total
-        chosen.append(rows[min(len(rows) - 1, int(np.searchsorted(np.cumsum(weight), goal)))])
-    return np.stack(chosen)
-
-
-def seed_centres_apart(rows: DataFrame, k: int, seed: int = SEED) -> np.ndarray:
-    """The law of ``seed_centres`` over all of rows(id, embedding), one row to the driver a centre.
-
-    The row with the least -ln(u) / weight, u drawn by hash from the id and the round,
-    is drawn with a chance by its weight; rows without weight come only when all are.
-    """
-    spark = rows.sparkSession
-    near = rows.select("id", "embedding", F.lit(None).cast("double").alias("near"))
-    chosen, fresh = [], []
-    for i in range(k):
-        now = near
-        if fresh:
-            table = spark.createDataFrame([(fresh,)], "cs array<array<double>>")
-            least = F.array_min(F.transform("cs", lambda c: cosine_distance(F.col("embedding"), c)))
-            now = near.join(F.broadcast(table)).select("id", "embedding", F.least("near", least).alias("near"))
-        if len(fresh) == FRESH:
-            near, fresh = written(now, "distances"), []
-            now = near
-        u = (F.shiftrightunsigned(F.xxhash64("id", F.lit(i), F.lit(seed)), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
-        weight = F.coalesce(F.col("near") * F.col("near"), F.lit(1.0))
-        order = F.struct(weight == 0, F.when(weight > 0, -F.log(u) / weight).otherwise(u), "id")
-        chosen.append(list(now.agg(F.min_by("embedding", order)).first()[0]))
-        fresh.append(chosen[-1])
-    return np.array(chosen)
-
-
-def assign(vectors: DataFrame, centres: DataFrame) -> DataFrame:
-    """(id, label): nearest centre by cosine distance, ties to the lowest label.
-
-    ``centres`` (label, centre) has k rows and is broadcast as one array.
-    """
-    packed = centres.agg(F.array_sort(F.collect_list(F.struct("label", "centre"))).alias("cs"))
-    scored = vectors.join(F.broadcast(packed)).select(
-        "id", "embedding",
-        F.array_min(
-            F.transform(
-                "cs", lambda c: F.struct(F.round(cosine_distance(F.col("embedding"), c["centre"]), 12).alias("d"), c["label"].alias("label"))
-            )
-        ).alias("best"),
-    )
-    return scored.select("id", "embedding", F.col("best.label").alias("label"))
-
-
-def means(assigned: DataFrame) -> DataFrame:
-    """(label, centre): element-wise mean of the members; partial sums before the shuffle."""
-    cells = assigned.select("label", F.posexplode("embedding").alias("pos", "x"))
-    sums = cells.groupBy("label", "pos").agg(F.avg(F.col("x").cast("double")).alias("x"))
-    return sums.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda e: e["x"]).alias("centre"))
-
-
-def kmeans(vectors: DataFrame, k: int, max_iterations: int = MAX_ITERATIONS, seed: int = SEED) -> DataFrame:
-    """(id, label) of vectors(id, embedding): Lloyd rounds as DataFrame passes.
-
-    Only the k centres travel to the driver between rounds.
-    """
-    spark = vectors.sparkSession
-    base = vectors.select("id", F.col("embedding").cast("array<double>").alias("embedding")).cache()
-    n = base.count()
-    if n == 0:
-        return spark.createDataFrame([], f"id {dict(vectors.dtypes)['id']}, label int")
-    k = max(1, min(k, n))
-    if k == 1:
-        return base.select("id", F.lit(0).alias("label"))
-    if n <= EXACT_ROWS:
-        centres = seed_centres(np.array([r[0] for r in base.orderBy("id").select("embedding").collect()]), k, seed)
-    else:
-        centres = seed_centres_apart(base, k, seed)
-    schema = "label int, centre array<double>"
-    last = labelled = None
-    for _ in range(max_iterations):
-        table = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centres)], schema)
-        labelled = written(assign(base, table), "labels")
-        print_of = labelled.agg(F.sum(F.xxhash64("id", "label").bitwiseAND(F.lit(0xFFFFFFFF)))).first()[0]
-        if print_of == last:
-            break
-        last, centres = print_of, centres.copy()
-        for r in means(labelled).collect():  # k rows
-            centres[r["label"]] = r["centre"]
-    base.unpersist()
-    # the labels of the last round, whether or not the centres have settled
-    return labelled.select("id", "label")
 
 
 def summaries(members: DataFrame, provider: ChatProvider | None = None, words: int = SUMMARY_WORDS) -> DataFrame:
@@ -144,36 +29,43 @@ def build_tree(chunks: DataFrame, embed, levels: int = 2, cluster_size: int = 5,
     """nodes(chunk_id, doc_id, title, position, text, level, children, doc_ids) of all levels.
 
     A level ends the tree when no more than cluster_size nodes are left. A cluster of
-    one goes up as it is; one whose summary fails or is empty is left out above.
+    one goes up as it is; one whose summary fails or is empty is left out above. Members
+    come in the order of ``ord`` (by default of document and position), those of higher
+    levels in the order of their clusters; it decides what a long cluster's summary sees.
     """
     spark = chunks.sparkSession
+    scratch = Scratch(spark)
     doc = F.col("doc_id").cast("string")
+    own = F.col("ord").cast("string") if "ord" in chunks.columns else F.concat(F.lpad(doc, 20, "0"), F.lit("\x01"), F.lpad(F.col("position").cast("string"), 10, "0"))
     layer = chunks.select(
         "chunk_id", doc.alias("doc_id"), "title", "position", "text", F.lit(0).alias("level"),
-        F.array().cast("array<string>").alias("children"), F.array(doc).alias("doc_ids"),
+        F.array().cast("array<string>").alias("children"), F.array(doc).alias("doc_ids"), own.alias("ord"),
     )
-    nodes = layer
+    nodes = None
     for level in range(1, levels + 1):
-        layer = layer.cache()
+        # each level is made once: its summaries may be a model's
+        layer = written(layer, f"layer{level}")
+        nodes = layer if nodes is None else nodes
         n = layer.count()
         if n <= cluster_size:
             break
         labelled = kmeans(embed(layer.select(F.col("chunk_id").alias("id"), "text")), max(2, n // cluster_size))
-        members = layer.join(labelled.withColumnRenamed("id", "chunk_id"), "chunk_id").withColumn("ord", F.col("chunk_id"))
-        sizes = members.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
-        single = members.join(sizes.filter("size = 1").select("label"), "label").select(*layer.columns)
-        # k rows: the place of a label among the used ones names the summary
-        used = [r[0] for r in sizes.select("label").orderBy("label").collect()]
-        places = spark.createDataFrame(list(zip(used, range(len(used)))), "label int, place int")
-        made = summaries(members, provider).filter("summary is not null and trim(summary) <> ''").join(F.broadcast(places), "label")
+        members = layer.join(labelled.withColumnRenamed("id", "chunk_id"), "chunk_id")
+        sizes = scratch.cut(members.groupBy("label").agg(F.count(F.lit(1)).alias("size")), "sizes")
+        # the place of a label among the used ones names the summary and orders the level above
+        places = numbered(sizes.select(F.col("label").alias("id"))).select(F.col("id").alias("label"), F.col("at").cast("int").alias("place"))
+        above = F.lpad(F.col("place").cast("string"), 20, "0")
+        single = members.drop("ord").join(sizes.filter("size = 1").select("label"), "label").join(places, "label").withColumn("ord", above).select(*layer.columns)
+        made = summaries(members, provider).filter("summary is not null and trim(summary) <> ''").join(places, "label")
         new = made.select(
             F.format_string(f"resumo_n{level}_%02d", "place").alias("chunk_id"),
             F.array_join(F.slice("doc_ids", 1, 3), "+").alias("doc_id"),
             F.format_string(f"level {level} summary of %d passages", "n").alias("title"), F.col("place").alias("position"),
-            F.col("summary").alias("text"), F.lit(level).alias("level"), "children", "doc_ids",
+            F.col("summary").alias("text"), F.lit(level).alias("level"), "children", "doc_ids", above.alias("ord"),
         )
+        new = written(new, f"summaries{level}")
         nodes = nodes.unionByName(new)
         layer = single.unionByName(new)
         if not layer.limit(1).count():
             break
-    return nodes
+    return (layer if nodes is None else nodes).drop("ord")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lodestar.functions import replies as R
 from lodestar.functions import text as T
-from lodestar.operators import chunking, dense, embed, expansion, fusion, lexical, metrics, ordering, reflect, rerank, tree
+from lodestar.operators import chunking, cluster, dense, embed, expansion, fusion, lexical, metrics, ordering, reflect, rerank, tree
 from lodestar.plans import sql as S
 from lodestar.plans.pipeline import PRESETS, Config, Pipeline, compare_chunking, hash_embed
 from lodestar.plans.pipeline import ablation as run_ablation
@@ -661,13 +661,44 @@ SELECT vec_id, label::int AS label FROM (SELECT *, row_number() OVER (PARTITION
 def kmeans_assign(spark, d):
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"))
     centres = v.filter("id < 10").select(F.col("id").cast("int").alias("label"), F.col("embedding").alias("centre"))
-    return tree.assign(v, centres).select(F.col("id").alias("vec_id"), "label")
+    return cluster.assign(v, centres).select(F.col("id").alias("vec_id"), "label")
+
+
+LLOYD_ROUNDS, LLOYD_CENTRES = 3, 10
+
+
+def _lloyd_sql() -> str:
+    """Rounds from the first ten vectors, unrolled; an empty cluster keeps its centre."""
+    ctes = [f"v AS (SELECT vec_id, embedding::double[] AS e FROM embeddings), c0 AS (SELECT vec_id AS label, e FROM v WHERE vec_id < {LLOYD_CENTRES})"]
+    for i in range(LLOYD_ROUNDS):
+        ctes.append(f"""d{i} AS (SELECT vec_id, v.e, label, round(1.0 - list_cosine_similarity(v.e, c.e), 12) AS dist FROM v, c{i} c),
+a{i} AS (SELECT vec_id, e, label FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY dist, label) AS n FROM d{i}) WHERE n = 1),
+m{i} AS (SELECT label, list(x ORDER BY pos) AS e FROM (
+  SELECT label, pos, avg(x) AS x FROM (SELECT label, unnest(e) AS x, generate_subscripts(e, 1) AS pos FROM a{i}) GROUP BY label, pos) GROUP BY label),
+c{i + 1} AS (SELECT c.label, coalesce(m.e, c.e) AS e FROM c{i} c LEFT JOIN m{i} m USING (label))""")
+    return f"WITH {', '.join(ctes)} SELECT vec_id, label::int AS label FROM a{LLOYD_ROUNDS - 1}"
+
+
+@query("kmeans_lloyd", _lloyd_sql())
+def kmeans_lloyd(spark, d):
+    """Lloyd rounds over all vectors from fixed centres."""
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    start = [r[0] for r in v.filter(F.col("id") < LLOYD_CENTRES).orderBy("id").select("embedding").collect()]
+    return cluster.kmeans(v, LLOYD_CENTRES, LLOYD_ROUNDS, start=start).select(F.col("id").alias("vec_id"), "label")
+
+
+@query("kmeans_cells")
+def kmeans_cells(spark, d):
+    """One cluster for every five vectors, made in cells: (label, n, least id) of each."""
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    labelled = cluster.kmeans(v, max(cluster.FAN + 1, v.count() // 5))
+    return labelled.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least_vec_id"))
 
 
 @query("kmeans_full")
 def kmeans_full(spark, d):
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    return tree.kmeans(v, 10).select(F.col("id").alias("vec_id"), "label")
+    return cluster.kmeans(v, 10).select(F.col("id").alias("vec_id"), "label")
 
 
 @query("summary_tree")

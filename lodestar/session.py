@@ -38,9 +38,47 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+class Scratch:
+    """Tables in the shared folder that cut lineage, and their removal.
+
+    ``cut`` writes a frame and returns a scan of what was written, so a lost executor costs a
+    re-read. ``drop`` removes tables that nothing reads any more, ``close`` all but those named.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: dict[str, str] = {}
+
+    def cut(self, df: DataFrame, name: str) -> DataFrame:
+        name = f"{name}-{uuid.uuid4().hex}"
+        path = f"{shared_dir(self.spark)}/lodestar-index/{name}"
+        df.write.option("compression", "zstd").parquet(path)
+        self.paths[name] = path
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        """Tables by the name they were cut under."""
+        jvm, conf = self.spark._jvm, self.spark._jsparkSession.sessionState().newHadoopConf()
+        for key in [k for k in self.paths if k.rpartition("-")[0] in names]:
+            path = jvm.org.apache.hadoop.fs.Path(self.paths.pop(key))
+            path.getFileSystem(conf).delete(path, True)
+
+    def close(self, *keep: str) -> None:
+        self.drop(*{k.rpartition("-")[0] for k in self.paths} - set(keep))
+
+
+_written: dict[str, Scratch] = {}
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: made once, read by whoever needs it."""
+    """df as a table in the shared folder: made once, read by whoever needs it, there until
+    ``release``."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lodestar-index/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return _written.setdefault(spark.sparkContext.applicationId, Scratch(spark)).cut(df, name)
+
+
+def release(spark: SparkSession) -> None:
+    """Remove every table that ``written`` made in this application. Frames that read them
+    must have been written or shown before."""
+    if held := _written.pop(spark.sparkContext.applicationId, None):
+        held.close()

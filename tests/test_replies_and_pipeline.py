@@ -9,7 +9,7 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from lodestar.functions import replies as R
-from lodestar.operators import expansion, reflect, rerank, tree
+from lodestar.operators import cluster, expansion, reflect, rerank, tree
 from lodestar.plans.pipeline import PRESETS, Config, Pipeline, Settings, ablation, hash_embed
 from lodestar.sources import providers, readers
 from lodestar.streaming.ingest import document_stream, index_stream
@@ -139,11 +139,11 @@ def test_answers(spark):
 def test_kmeans(spark):
     rows = [[1, 0, 0], [0.9, 0.1, 0], [1, 0.05, 0], [0, 0, 1], [0, 0.1, 0.9], [0.05, 0, 1]]
     df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(rows)], "id int, embedding array<double>")
-    got = {r["id"]: r["label"] for r in tree.kmeans(df, 2).collect()}
+    got = {r["id"]: r["label"] for r in cluster.kmeans(df, 2).collect()}
     assert len({got[0], got[1], got[2]}) == 1 and len({got[3], got[4], got[5]}) == 1 and got[0] != got[3]
-    assert got == {r["id"]: r["label"] for r in tree.kmeans(df, 2).collect()}
-    assert tree.kmeans(df, 99).count() == 6 and tree.kmeans(df.limit(0), 3).count() == 0
-    assert {r["label"] for r in tree.kmeans(df, 1).collect()} == {0}
+    assert got == {r["id"]: r["label"] for r in cluster.kmeans(df, 2).collect()}
+    assert cluster.kmeans(df, 99).count() == 6 and cluster.kmeans(df.limit(0), 3).count() == 0
+    assert {r["label"] for r in cluster.kmeans(df, 1).collect()} == {0}
 
 
 def corpus(spark, n=12):

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestar.functions import text as T
-from lodestar.operators import dense, embed, expansion, fusion, lexical, metrics, ordering, tree
+from lodestar.operators import cluster, dense, embed, expansion, fusion, lexical, metrics, ordering, tree
 
 CHUNKS = [
     ("a#000", "a", "", "a função de ranqueamento usa termos raros", 0),
@@ -185,11 +185,10 @@ def test_mean_vectors(spark):
     assert {r[0]: r[1] for r in expansion.mean_vectors(df).collect()} == {0: [2.0, 4.0], 1: [0.0, 1.0]}
 
 
-def test_kmeans_seeds_from_all_rows_at_every_size(spark, monkeypatch):
-    monkeypatch.setattr(tree, "EXACT_ROWS", 20)
+def test_kmeans_seeds_from_all_rows(spark):
     groups = {i: [1.0, 0.0, 0.0] for i in range(300)} | {300: [0.0, 1.0, 0.0], 301: [0.0, 1.0, 0.0], 302: [0.0, 0.0, 1.0]}
-    got = dict(tree.kmeans(spark.createDataFrame(list(groups.items()), "id long, embedding array<double>"), 3).collect())
+    got = dict(cluster.kmeans(spark.createDataFrame(list(groups.items()), "id long, embedding array<double>"), 3).collect())
     assert len(set(got.values())) == 3 and got[300] == got[301] != got[302] != got[0] != got[300]
     apart = {i: [math.cos(i * math.pi / 62), math.sin(i * math.pi / 62)] for i in range(31)}
-    got = dict(tree.kmeans(spark.createDataFrame(list(apart.items()), "id long, embedding array<double>"), 25).collect())
+    got = dict(cluster.kmeans(spark.createDataFrame(list(apart.items()), "id long, embedding array<double>"), 25).collect())
     assert len(set(got.values())) == 25
