@@ -6,6 +6,7 @@ queries, and a document is relevant to a query when it holds the query's passage
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,12 +14,13 @@ from pyspark.sql import functions as F
 
 from lodestar.functions import replies as R
 from lodestar.functions import text as T
-from lodestar.operators import chunking, cluster, dense, embed, expansion, fusion, lexical, metrics, ordering, reflect, rerank, tree
+from lodestar.operators import bounded, chunking, cluster, dense, embed, expansion, fusion, lexical, metrics, ordering, reflect, rerank, tree
 from lodestar.plans import sql as S
 from lodestar.plans.pipeline import PRESETS, Config, Pipeline, compare_chunking, hash_embed
 from lodestar.plans.pipeline import ablation as run_ablation
-from lodestar.session import prepare, spread
+from lodestar.session import prepare, shared_dir, spread
 from lodestar.sources import readers
+from lodestar.sources.index_store import IndexStore
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -196,6 +198,58 @@ def bm25_topk(spark, d):
     return bm25_hits(spark, d, 10).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
+BM25_TOPK_SQL = ORACLES["bm25_topk"]
+APPENDS = 3
+
+
+def _stored(spark, d, parts: int = 1, compacted: bool = False) -> IndexStore:
+    """The chunks in a store, appended in so many parts, by document."""
+    store = IndexStore.create(spark, f"{shared_dir(spark)}/lodestar-index/store-{uuid.uuid4().hex}", buckets=8)
+    chunks = fixed_chunks(spark, d)
+    for i in range(parts):
+        store.append(chunks if parts == 1 else chunks.filter(F.pmod("doc_id", F.lit(parts)) == i))
+    if compacted:
+        store.compact()
+        store.vacuum()
+    return store
+
+
+def _stored_hits(spark, d, parts: int, compacted: bool = False) -> DataFrame:
+    store = _stored(spark, d, parts, compacted)
+    found = bounded.top_k(store, questions(spark, d), 10, "ord")
+    return found.hits.select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query("bm25_topk_bounded", BM25_TOPK_SQL)
+def bm25_topk_bounded(spark, d):
+    """From a stored index, without the postings that cannot matter."""
+    return _stored_hits(spark, d, 1)
+
+
+@query("bm25_topk_appended", BM25_TOPK_SQL)
+def bm25_topk_appended(spark, d):
+    """From a store that was appended to."""
+    return _stored_hits(spark, d, APPENDS)
+
+
+@query("bm25_topk_compacted", BM25_TOPK_SQL)
+def bm25_topk_compacted(spark, d):
+    """From a store whose segments were made one."""
+    return _stored_hits(spark, d, APPENDS, True)
+
+
+@query("bm25_rows_scored")
+def bm25_rows_scored(spark, d):
+    """Postings of each query: all, those read for the threshold, those scored after it."""
+    return bounded.top_k(_stored(spark, d), questions(spark, d), 10).counts.select("query_id", "rows_all", "rows_first", "rows_essential", "rows_scored")
+
+
+@query("index_terms", "WITH" + S.CHUNKS + "," + S.LEXICAL + " SELECT term, df, round(idf, 9) AS idf FROM terms")
+def index_terms(spark, d):
+    """Term statistics merged over the segments of a store."""
+    return _stored(spark, d, APPENDS).lexical().terms.select("term", "df", F.round("idf", 9).alias("idf"))
+
+
 @query("bm25_query_terms", "WITH" + ",".join([S.CHUNKS, S.LEXICAL, S.QUERY_TERMS]) + """
 SELECT query_id, term, coalesce(df, 0) AS df, round(coalesce(idf, 0.0), 6) AS idf,
   (row_number() OVER (PARTITION BY query_id ORDER BY round(coalesce(idf, 0.0), 9) DESC, first_pos))::int AS place
