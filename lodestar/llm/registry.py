@@ -163,6 +163,7 @@ def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(pages, "html", "main").select(
         "page_id", "url", F.col("main.text").alias("text"), F.length("main.text").cast("long").alias("n_chars"),
         F.col("main.n_kept").alias("n_kept"), F.col("main.n_blocks").alias("n_blocks"),
+        F.col("main.n_by_density").alias("n_by_density"),
     )
 
 

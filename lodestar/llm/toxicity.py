@@ -1,11 +1,12 @@
 """Toxicity scores from a counterfactually regularised linear classifier.
 
-Hashed word features, screened for those that toxic rows have more often, and
-logistic regression, fitted on a bounded sample of the
-labelled rows (``TRAIN_ROWS`` and ``TRAIN_BYTES``: the rows with the smallest id hashes). Every
+Hashed word features, screened for those that toxic rows have more often, and logistic
+regression over these and all identity terms, fitted on a bounded sample of the labelled rows (``TRAIN_ROWS`` and ``TRAIN_BYTES``: the rows with the smallest id hashes). Every
 training row that names a group is paired with copies in which the group term is
 swapped for another of its list; the squared change of the logit is penalised,
-so no group term can carry weight of its own and neutral mentions stay low.
+so no group term can carry weight of its own and neutral mentions stay low. Identity terms
+are not screened: the penalty, not their absence, is what keeps them level, and what they
+seem to tell must be told by the other words. ``swap_gap`` measures what is left.
 
 Cases: null or empty text scores as a text without words; ids that repeat in the
 labels count once, by their mean label; an id that repeats in the documents is learnt from
@@ -83,13 +84,35 @@ def telling(features, rows, target) -> np.ndarray:
     return (z > SCREEN) & (in_all >= 3)
 
 
+def identity_features(terms=IDENTITY_TERMS) -> np.ndarray:
+    """Which features are identity terms."""
+    out = np.zeros(1 << linear.BITS, bool)
+    out[[linear.word_feature(w) for group in terms for w in group]] = True
+    return out
+
+
+def swap_gap(model: linear.Linear, features: np.ndarray, rows: np.ndarray, n: int, terms=IDENTITY_TERMS) -> float:
+    """Mean change of the score when a row's identity term is swapped for another; 0 without any."""
+    gaps = []
+    z = np.bincount(rows, weights=model.weights[features], minlength=n) + model.bias
+    score = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    for group in terms:
+        ids = [linear.word_feature(w) for w in group]
+        for own in ids:
+            named = rows[features == own]
+            for other in ids:
+                if other != own and len(named):
+                    gaps.append(np.abs(score(z[named] - model.weights[own] + model.weights[other]) - score(z[named])))
+    return float(np.concatenate(gaps).mean()) if gaps else 0.0
+
+
 def fit(features, rows, target, pair_penalty: float = PAIR_PENALTY, terms=IDENTITY_TERMS) -> linear.Linear:
     n = len(target)
     positive = float(target.sum())
     if not 0 < positive < n:
         return linear.Linear(np.zeros(1 << linear.BITS), 30.0 if n and positive == n else -30.0)
     weight = np.where(target == 1, 0.5 / positive, 0.5 / (n - positive))
-    kept = telling(features, rows, target)[features]
+    kept = (telling(features, rows, target) | identity_features(terms))[features]
     edits = swaps(features, rows, terms)
     model = linear.fit(features[kept], rows[kept], target, edits, weight, l2=2e-4, l1=0.0, pair_penalty=pair_penalty, iterations=300)
     return linear.recalibrate(model, model.scores(features, rows, n), target, THRESHOLD)
@@ -135,7 +158,9 @@ def score_column(text: Column, model: linear.Linear) -> Column:
     return score(text)
 
 
-def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, train_bytes: int = TRAIN_BYTES) -> linear.Linear:
+def train(
+    docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, train_bytes: int = TRAIN_BYTES, pair_penalty: float = PAIR_PENALTY
+) -> linear.Linear:
     """Fit on labelled rows outside the held-out third: at most ``train_rows`` ids, the
     first ``train_bytes`` of their texts by id hash."""
     known = (
@@ -170,16 +195,16 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, trai
     rows = np.repeat(rank, sizes)
     target = np.zeros(len(rank))
     target[rank] = got.column("y").to_numpy() if len(lists) else 0
-    return fit(features, rows, target)
+    return fit(features, rows, target, pair_penalty)
 
 
 def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, pair_penalty: float = PAIR_PENALTY) -> DataFrame:
     """Every row of docs with ``held_out``, ``score`` and ``predicted``."""
-    model = train(docs, labels, train_rows)
+    model = train(docs, labels, train_rows, pair_penalty=pair_penalty)
     scored = docs.withColumn("score", score_column(F.col("text"), model))
     return scored.withColumn("held_out", held_out(F.col("doc_id"))).withColumn(
         "predicted", (F.col("score") >= THRESHOLD).cast("int")

@@ -197,10 +197,36 @@ def test_counterfactual_penalty_lowers_group_scores():
     assert abs(toxicity.fit(f, r, np.array(target)).weights[linear.word_feature("muslims")]) < 0.5
 
 
+def test_penalty_acts_through_the_operator(spark):
+    """Toxic rows mostly name one group, few others do: with the penalty neutral mentions of it
+    are no longer taken for toxic, insults still are, and swapping groups moves no score."""
+    draw = random.Random(4)
+    texts, labels, kinds = [], [], []
+    for i in range(900):
+        kind = "neutral" if i % 3 == 0 and zlib.crc32(str(i).encode()) % 3 == 1 else "toxic" if draw.random() < 0.4 else "clean"
+        w = words(draw, 20, 300)
+        if kind == "neutral" or kind == "toxic" and draw.random() < 0.8 or kind == "clean" and draw.random() < 0.04:
+            w.append("muslims")
+        if kind == "toxic" and draw.random() < 0.8:
+            w += [draw.choice(["idiot", "scum"])]
+        texts.append(" ".join(w))
+        labels.append(int(kind == "toxic"))
+        kinds.append(kind)
+    docs, lab = docs_of(spark, texts), spark.createDataFrame(list(enumerate(labels)), "doc_id long, toxic int")
+    false, found = {}, {}
+    for penalty in (0.0, toxicity.PAIR_PENALTY):
+        rows = [r for r in toxicity.score_toxicity(docs, lab, pair_penalty=penalty).collect() if r["held_out"]]
+        false[penalty] = sum(r["predicted"] for r in rows if kinds[r["doc_id"]] == "neutral")
+        found[penalty] = sum(r["predicted"] for r in rows if {"idiot", "scum"} & set(texts[r["doc_id"]].split()))
+    assert false[toxicity.PAIR_PENALTY] < 0.2 * false[0.0] and false[0.0] > 30
+    assert found[toxicity.PAIR_PENALTY] >= 0.9 * found[0.0]
+
+
 def test_toxicity_awkward_rows(spark):
     docs = spark.createDataFrame([(1, None), (1, None), (2, ""), (None, "x"), (3, "y " * 50000)], "doc_id long, text string")
     lab = spark.createDataFrame([(1, 1), (1, 0), (2, None), (None, 1)], "doc_id long, toxic int")
-    assert toxicity.score_toxicity(clashing(docs).drop("score"), lab).count() == 5
+    clashed = toxicity.score_toxicity(clashing(docs).withColumn("score", F.lit("own")).withColumn("held_out", F.lit(7)), lab)
+    assert clashed.count() == 5 and clashed.columns.count("score") == 1 and dict(clashed.dtypes)["score"] == "double"
     assert toxicity.score_toxicity(docs, lab.limit(0)).filter("score > 0.01").count() == 0
     assert toxicity.score_toxicity(docs.limit(0), lab).count() == 0
 
@@ -331,6 +357,31 @@ def leak_corpus():
     return items, texts, leaks
 
 
+PROSE = "This is the story that we have to tell and it is long enough to be one of the paragraphs that people read when they are on the page. " * 2
+SAID = "He said that it was so and that is what we had to write."
+
+
+@pytest.mark.parametrize("page, want", [
+    ('<div class="content-sidebar-wrap"><main><p>{p}</p></main><div class="sidebar">{p}</div></div>', "{p}"),
+    ('<div class="site has-sidebar"><article><p>{p}</p></article></div>', "{p}"),
+    ("<form><div id=main><p>{p}</p></div><p>{s}</p></form>", "{p}"),
+    ("<form><p>{p}</p><input></form>", "{p}"),
+    ('<article><p>{p}</p><blockquote class="notice-board">{s}</blockquote></article>', "{p}\n{s}"),
+    ('<article><p>{p}</p><p class="share-price">{s}</p></article>', "{p}\n{s}"),
+    ('<article><p>{p}</p><div class="share-tools"><a>one</a> <a>two</a></div></article>', "{p}"),
+    ('<article><p>{p}</p></article><div class="comments"><article class="comment"><p>{p}</p></article></div>', "{p}"),
+    ('<article><p>{p}</p><section class="comment-list"><p>{p}</p></section><div class="cookie-notice">{p}</div></article>', "{p}"),
+    ("<article><p>{p}</p><ul><li><a href=x>Read more stories</a></li></ul><p>{s}</p></article>", "{p}\nRead more stories\n{s}"),
+    ("<article><p>{p}</p><ul><li><a>A list of nothing else</a> <a>but names of pages elsewhere, one by one</a></li></ul></article>", "{p}"),
+    ("<aside><article><p>{p}</p></article></aside><article><p>{s}</p></article>", "{s}"),
+    ('<div class=menu><a>a</a></div><div>{p}</div><div><a>x</a> <a>y</a></div>', "{p}"),
+])
+def test_surroundings_vote_and_numbers_decide(page, want):
+    prose = PROSE.strip()
+    text, kept, blocks, by_density = html_text.main_text(page.format(p=prose, s=SAID))
+    assert text == want.format(p=prose, s=SAID) and kept == want.count("\n") + 1 and 0 < by_density <= blocks
+
+
 def test_decontamination_finds_edited_copies(spark):
     items, texts, leaks = leak_corpus()
     bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
