@@ -25,7 +25,9 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("folder")
     p.add_argument("--to", required=True)
     p.add_argument("--strategy", default="recursive")
-    p.add_argument("--tree", action="store_true")
+    how = p.add_mutually_exclusive_group()
+    how.add_argument("--tree", action="store_true")
+    how.add_argument("--append", action="store_true", help="add the documents to the index in --to")
     p.add_argument("--cache", help="folder of embeddings that are made once")
     for name in ("ask", "chat", "bm25", "evaluate"):
         p = sub.add_parser(name)
@@ -60,6 +62,10 @@ def main(argv: list[str] | None = None) -> int:
     settings = Settings.from_env()
     pipeline = Pipeline.of(settings, PRESETS[getattr(args, "preset", "hybrid")], getattr(args, "cache", None))
     if args.command == "index":
+        if args.append:
+            store = pipeline.add(readers.read_documents(spark, args.folder), args.to, args.strategy)
+            chunk_stats(store.chunks()).show()
+            return 0
         index = pipeline.index(readers.read_documents(spark, args.folder), args.strategy, args.tree)
         pipeline.save(index, args.to)
         chunk_stats(spark.read.parquet(f"{args.to}/chunks")).show()

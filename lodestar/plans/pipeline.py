@@ -13,6 +13,7 @@ from lodestar.operators import dense, embed, expansion, fusion, lexical, metrics
 from lodestar.operators.chunking import chunk_documents
 from lodestar.session import prepare, written
 from lodestar.sources import readers
+from lodestar.sources.index_store import IndexStore, has_store, open_or_create
 from lodestar.sources.providers import ChatProvider, LocalChat, OpenAICompatibleChat, OpenAICompatibleEmbedder, embed_texts
 
 LOCAL_MODEL = f"hash-{embed.DIM}"
@@ -144,8 +145,8 @@ class Pipeline:
         embedder, model = make_embedder(settings, cache)
         return cls(settings, config, make_provider(settings), embedder, model)
 
-    def index(self, docs: DataFrame, strategy: str = "recursive", with_tree: bool = False) -> Index:
-        """Index tables of documents(doc_id, title, text)."""
+    def chunks(self, docs: DataFrame, strategy: str = "recursive", with_tree: bool = False) -> DataFrame:
+        """Chunks of documents(doc_id, title, text) with ``ord``, without embeddings."""
         prepare(docs.sparkSession)
         keep = tuple(c for c in ("origin",) if c in docs.columns)
         chunks = chunk_documents(docs, strategy, self.settings.chunk_size, self.settings.overlap, keep=keep)
@@ -160,8 +161,31 @@ class Pipeline:
                 "chunk_id", "doc_id", "title", "position", "text", "level", "doc_ids",
                 F.coalesce(F.concat(F.lit("0"), F.col("own")), F.concat(F.lit("1"), order)).alias("ord"),
             )
+        return chunks
+
+    def embedded(self, chunks: DataFrame) -> DataFrame:
         vectors = self.embedder(chunks.select(F.col("chunk_id").alias("id"), "text")).withColumnRenamed("id", "chunk_id")
-        return Index(chunks.join(vectors, "chunk_id"), lexical.build_index(chunks), self.model)
+        return chunks.join(vectors, "chunk_id")
+
+    def index(self, docs: DataFrame, strategy: str = "recursive", with_tree: bool = False) -> Index:
+        """Index tables of documents(doc_id, title, text)."""
+        chunks = self.chunks(docs, strategy, with_tree)
+        return Index(self.embedded(chunks), lexical.build_index(chunks), self.model)
+
+    def add(self, docs: DataFrame, path: str, strategy: str = "recursive") -> IndexStore:
+        """Append documents to the store at ``path``, which is made if it is not there.
+
+        Only the new documents are read, embedded and indexed. ``ord`` keeps the order of
+        insertion: segments by version, then document and place.
+        """
+        store = open_or_create(docs.sparkSession, path, model=self.model)
+        place = F.lit(f"{store.manifest().version:010d}/")
+        store.append(self.embedded(self.chunks(docs, strategy).withColumn("ord", F.concat(place, "ord"))))
+        return store
+
+    def stored(self, store: IndexStore) -> Index:
+        """The live segments of a store as one index."""
+        return Index(store.chunks(), store.lexical(), self.model)
 
     def save(self, index: Index, path: str) -> None:
         readers.write_index(index.chunks, f"{path}/chunks", index.model)
@@ -170,6 +194,8 @@ class Pipeline:
     def load(self, spark, path: str) -> Index:
         """A saved index; ValueError when another embedder made it."""
         prepare(spark)
+        if has_store(spark, path):
+            return self.stored(IndexStore.open(spark, path, self.model))
         return Index(readers.read_index(spark, f"{path}/chunks", self.model), lexical.LexicalIndex.read(spark, f"{path}/lexical"), self.model)
 
     def _query_vectors(self, texts: DataFrame) -> DataFrame:

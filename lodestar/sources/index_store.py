@@ -28,7 +28,6 @@ import json
 import uuid
 from dataclasses import asdict, dataclass, field
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -264,8 +263,16 @@ class IndexStore:
         return LexicalIndex(union("postings", "term", "chunk_id", "tf"), lengths, terms, corpus, k1, b)
 
 
+def has_store(spark: SparkSession, path: str) -> bool:
+    """Whether a store with at least one segment is there."""
+    try:
+        return bool(IndexStore(spark, path).manifest().segments)
+    except FileNotFoundError:
+        return False
+
+
 def open_or_create(spark: SparkSession, path: str, buckets: int = 32, model: str | None = None) -> IndexStore:
     try:
         return IndexStore.open(spark, path, model)
-    except (FileNotFoundError, AnalysisException):
+    except FileNotFoundError:
         return IndexStore.create(spark, path, buckets, model)
