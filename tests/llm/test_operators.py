@@ -372,7 +372,7 @@ SAID = "He said that it was so and that is what we had to write."
     ('<article><p>{p}</p></article><div class="comments"><article class="comment"><p>{p}</p></article></div>', "{p}"),
     ('<article><p>{p}</p><section class="comment-list"><p>{p}</p></section><div class="cookie-notice">{p}</div></article>', "{p}"),
     ("<article><p>{p}</p><ul><li><a href=x>Read more stories</a></li></ul><p>{s}</p></article>", "{p}\nRead more stories\n{s}"),
-    ("<article><p>{p}</p><ul><li><a>A list of nothing else</a> <a>but names of pages elsewhere, one by one</a></li></ul></article>", "{p}"),
+    ("<article><p>{p}</p><ul><li><a>Weather today</a> <a>Sports results live</a> <a>Stock market tables</a> <a>Travel deals abroad</a></li></ul></article>", "{p}"),
     ("<aside><article><p>{p}</p></article></aside><article><p>{s}</p></article>", "{s}"),
     ('<div class=menu><a>a</a></div><div>{p}</div><div><a>x</a> <a>y</a></div>', "{p}"),
 ])
