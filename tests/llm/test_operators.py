@@ -781,3 +781,28 @@ def test_shingle_sets_and_their_sketches(spark):
     assert (3, 4) in alike and alike <= kept and (3, 9) not in kept
     broken = spark.sql("SELECT cast(X'61FF62C328' AS string) AS line").select(F.size(line_dedup.shingle_set(F.col("line"))))
     assert broken.first()[0] == 1
+
+
+@pytest.mark.parametrize("token, words_, edit", [(24, 28, "\t"), (24, 28, "-"), (44, 28, " "), (24, 28, ""), (40, 60, " "), (16, 30, "\t")])
+def test_near_lines_with_unlike_numbers_of_words_are_found(spark, token, words_, edit):
+    """Separators changed or gone: many word starts on one side, few on the other."""
+    draw = random.Random(token + words_)
+    texts = []
+    for _ in range(12):
+        own = ["".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(token)) for _ in range(words_)]
+        out = own[0]
+        for i, w in enumerate(own[1:]):
+            out += (edit if i % 7 < 3 or token > 30 else " ") + w
+        texts += [" ".join(own), out]
+    sets = [{t[i : i + 5] for i in range(len(t) - 4)} for t in texts]
+    due = {i for i in range(0, 24, 2) if len(sets[i] & sets[i + 1]) >= 0.75 * len(sets[i] | sets[i + 1])}
+    assert due
+    rows = {r["doc_id"]: r for r in line_dedup.line_components(docs_of(spark, texts), Scratch(spark)).collect()}
+    assert {i for i in due if rows[i]["kept_id"] == rows[i + 1]["kept_id"]} == due
+
+
+def test_long_lines_of_few_shingles(spark):
+    texts = ["ab" * 3000, "ab" * 3000 + "a", "abc" * 2000, "x" * 9000, "x" * 5]
+    rows = {r["doc_id"]: r for r in line_dedup.line_components(docs_of(spark, texts), Scratch(spark)).collect()}
+    kept = {i: r["kept_id"] for i, r in rows.items()}
+    assert kept == {0: 0, 1: 0, 2: 2, 3: 3, 4: 3}
