@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lodestar.operators import lexical
 from lodestar.operators.chunking import chunk_stats
-from lodestar.plans.pipeline import PRESETS, Pipeline, Settings, ablation, compare_chunking
+from lodestar.plans.pipeline import PRESETS, Pipeline, Settings, Trace, ablation, compare_chunking
 from lodestar.sources import readers
 
 
@@ -34,6 +34,8 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument("--index", required=True)
         if name in ("ask", "bm25"):
             p.add_argument("question")
+        if name == "ask":
+            p.add_argument("--trace", action="store_true", help="show what each stage passed on")
         if name == "evaluate":
             p.add_argument("eval_set")
         p.add_argument("--preset", default="hybrid", choices=sorted(PRESETS))
@@ -87,7 +89,11 @@ def main(argv: list[str] | None = None) -> int:
         return 1
     if args.command == "ask":
         print("techniques:", ", ".join(pipeline.config.active()))
+        pipeline.trace = Trace() if args.trace else None
         _show_answer(pipeline.ask(index, _one(spark, args.question), args.top_k))
+        if pipeline.trace:
+            for stage, n, more in pipeline.trace.rows():
+                print(f"{stage}: {n}", *[f"{k} {v}" for k, v in more.items()])
     elif args.command == "chat":
         for line in sys.stdin:
             if line.strip().lower() in ("", "exit", "quit", "sair"):

@@ -12,6 +12,11 @@ def document_ranks(hits: DataFrame) -> DataFrame:
     return first.withColumn("doc_pos", F.row_number().over(Window.partitionBy("query_id").orderBy("first", "doc_id"))).drop("first")
 
 
+def credited(hits: DataFrame) -> DataFrame:
+    """Hits on tree nodes as hits on their documents: a summary counts for each of ``doc_ids``."""
+    return hits.withColumn("doc_id", F.explode("doc_ids"))
+
+
 def per_query(queries: DataFrame, hits: DataFrame, qrels: DataFrame, k: int = 4) -> DataFrame:
     """hit, rr, recall, precision and ndcg of every query; zeros where nothing was found.
 

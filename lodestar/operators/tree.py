@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.operators.cluster import kmeans
@@ -69,3 +69,27 @@ def build_tree(chunks: DataFrame, embed, levels: int = 2, cluster_size: int = 5,
         if not layer.limit(1).count():
             break
     return (layer if nodes is None else nodes).drop("ord")
+
+
+def ancestry(nodes: DataFrame) -> DataFrame:
+    """nodes with ``ancestors``: the ids of all nodes above, nearest first. One join a level."""
+    top = nodes.agg(F.max("level")).first()[0] or 0
+    edges = nodes.select(F.explode("children").alias("below"), F.col("chunk_id").alias("above"))
+    reached, step = edges.withColumn("far", F.lit(1)), edges.withColumn("far", F.lit(1))
+    for far in range(2, top + 1):
+        up = edges.select(F.col("below").alias("above"), F.col("above").alias("higher"))
+        step = step.join(up, "above").select("below", F.col("higher").alias("above"), F.lit(far).alias("far"))
+        reached = reached.unionByName(step)
+    lists = reached.groupBy(F.col("below").alias("chunk_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("far", "above"))), lambda x: x["above"]).alias("ancestors"))
+    return nodes.join(lists, "chunk_id", "left").withColumn("ancestors", F.coalesce("ancestors", F.array().cast("array<string>")))
+
+
+def without_overlap(hits: DataFrame) -> DataFrame:
+    """hits(query_id, chunk_id, rank, ancestors, ...) without those of which a better hit of
+    the query is a summary or a part; the rest are renumbered."""
+    lower = hits.select("query_id", F.col("chunk_id").alias("low"), F.col("rank").alias("low_rank"), F.explode("ancestors").alias("high"))
+    higher = hits.select("query_id", F.col("chunk_id").alias("high"), F.col("rank").alias("high_rank"))
+    worse = F.when(F.col("low_rank") > F.col("high_rank"), F.col("low")).otherwise(F.col("high"))
+    gone = lower.join(higher, ["query_id", "high"]).select("query_id", worse.alias("chunk_id")).distinct()
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))
+    return hits.join(gone, ["query_id", "chunk_id"], "left_anti").withColumn("rank", place)

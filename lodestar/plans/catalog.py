@@ -18,7 +18,7 @@ from lodestar.operators import bounded, chunking, cluster, dense, embed, expansi
 from lodestar.plans import sql as S
 from lodestar.plans.pipeline import PRESETS, Config, Pipeline, compare_chunking, hash_embed
 from lodestar.plans.pipeline import ablation as run_ablation
-from lodestar.session import prepare, shared_dir, spread
+from lodestar.session import prepare, shared_dir, spread, written
 from lodestar.sources import readers
 from lodestar.sources.index_store import IndexStore
 
@@ -755,14 +755,46 @@ def kmeans_full(spark, d):
     return cluster.kmeans(v, 10).select(F.col("id").alias("vec_id"), "label")
 
 
-@query("summary_tree")
-def summary_tree(spark, d):
-    """Tree over all conversations, one leaf each, local summaries."""
+ASKED_SHARE = 20  # conversations whose number this divides are asked for
+
+
+def conversation_leaves(spark, d) -> DataFrame:
+    """One leaf a conversation: its turns in order."""
     said = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("l"))
     text = F.array_join(F.transform("l", lambda x: x["text"]), "\n")
-    leaves = said.select(
+    return said.select(
         F.format_string("%s#000", F.col("conv_id").cast("string")).alias("chunk_id"), F.col("conv_id").alias("doc_id"), F.lit("").alias("title"),
         F.lit(0).alias("position"), text.alias("text"),
     )
-    nodes = tree.build_tree(leaves, hash_embed, cluster_size=25)
+
+
+@query("summary_tree")
+def summary_tree(spark, d):
+    """Tree over all conversations, one leaf each, local summaries."""
+    nodes = tree.build_tree(conversation_leaves(spark, d), hash_embed, cluster_size=25)
     return nodes.select("chunk_id", "doc_id", "level", F.size("children").alias("n_children"), F.length("text").alias("n_chars"))
+
+
+def _tree_hits(spark, d, k: int = 10) -> tuple[DataFrame, DataFrame]:
+    """(queries, hits) of the first turns of some conversations against the whole tree: a
+    node and its summary count once."""
+    nodes = written(tree.ancestry(tree.build_tree(conversation_leaves(spark, d), hash_embed, cluster_size=25)), "tree")
+    vectors = nodes.select("chunk_id", embed.dense_column(F.col("text")).alias("embedding"))
+    asked = table(spark, d, "conversations").filter(F.col("conv_id") % ASKED_SHARE == 0).groupBy(F.col("conv_id").alias("query_id")).agg(F.min_by("text", "turn").alias("text"))
+    found = dense.top_k(vectors, asked.select("query_id", embed.dense_column(F.col("text")).alias("embedding")), k, "chunk_id")
+    found = found.withColumnRenamed("id", "chunk_id").drop("ord").join(nodes.select("chunk_id", "level", "doc_ids", "ancestors"), "chunk_id")
+    return asked, tree.without_overlap(found)
+
+
+@query("tree_topk")
+def tree_topk(spark, d):
+    """Hits over all levels of the conversations' tree."""
+    return _tree_hits(spark, d)[1].select("query_id", "chunk_id", "level", F.round("score", 6).alias("score"), "rank", F.size("doc_ids").alias("n_docs"))
+
+
+@query("metrics_tree")
+def metrics_tree(spark, d):
+    """Retrieval metrics over the tree, summaries credited to their documents."""
+    asked, hits = _tree_hits(spark, d)
+    rels = asked.select("query_id", F.col("query_id").cast("string").alias("doc_id"))
+    return metrics.evaluate(asked, metrics.credited(hits), rels, 10)

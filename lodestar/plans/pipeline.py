@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import os
+import time
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from lodestar.operators import dense, embed, expansion, fusion, lexical, metrics, ordering, reflect, rerank, tree
@@ -131,6 +133,45 @@ class Index:
     model: str = LOCAL_MODEL
 
 
+SETTLE_SECONDS = 2.0  # counts arrive shortly after the action that made them
+
+
+class Trace:
+    """What a run passed on at each stage, counted while it runs: no further jobs.
+
+    ``watch`` adds counts to a frame as an observation. Once the run's result has been written
+    or shown, ``rows`` gives (stage, rows, more) in the order of the stages, and ``row`` all of
+    it as one row with the seconds since the trace was made. A stage that did not run is
+    missing. ``more`` holds what else a stage counts: kept and dropped hits, abstentions and the
+    calls that a model was asked for.
+    """
+
+    def __init__(self) -> None:
+        self.began = time.monotonic()
+        self.stages: dict[str, Observation] = {}
+
+    def watch(self, df: DataFrame, stage: str, **more: Column) -> DataFrame:
+        seen = self.stages[stage] = Observation(f"{stage}-{uuid.uuid4().hex}")
+        return df.observe(seen, F.count(F.lit(1)).alias("rows"), *[F.coalesce(F.sum(c.cast("long")), F.lit(0)).alias(n) for n, c in more.items()])
+
+    def rows(self) -> list[tuple[str, int, dict[str, int]]]:
+        found, until = [], time.monotonic() + SETTLE_SECONDS
+        for stage, seen in self.stages.items():
+            # a stage that never ran (its frame was not needed) would be waited for without end
+            while not (ran := seen._jo is not None and seen._jo.future().isCompleted()) and time.monotonic() < until:
+                time.sleep(0.05)
+            if ran:
+                got = dict(seen.get)
+                found.append((stage, got.pop("rows"), got))
+        return found
+
+    def row(self, spark) -> DataFrame:
+        seconds, found = time.monotonic() - self.began, self.rows()
+        calls = sum(more.get("calls", 0) for _, _, more in found)
+        schema = "stages array<struct<stage: string, rows: bigint, more: map<string, bigint>>>, model_calls bigint, seconds double"
+        return spark.createDataFrame([(found, calls, seconds)], schema)
+
+
 @dataclass
 class Pipeline:
     settings: Settings = field(default_factory=Settings)
@@ -138,6 +179,10 @@ class Pipeline:
     provider: ChatProvider = field(default_factory=LocalChat)
     embedder: object = hash_embed
     model: str = LOCAL_MODEL
+    trace: Trace | None = None
+
+    def _watch(self, df: DataFrame, stage: str, **more: Column) -> DataFrame:
+        return df if self.trace is None else self.trace.watch(df, stage, **more)
 
     @classmethod
     def of(cls, settings: Settings, config: Config, cache: str | None = None) -> Pipeline:
@@ -238,7 +283,8 @@ class Pipeline:
             texts = expansion.expand(
                 queries, self.config.rewrite, self.settings.rewrites if self.config.rewrite == "multi_query" else None, self.provider
             ).select("query_id", F.col("variant_no").cast("int").alias("variant_no"), "text")
-            texts = written(texts, "variants")  # each query is rewritten once
+            # each query is rewritten once
+            texts = written(self._watch(texts, "variants", calls=F.col("variant_no") == 0), "variants")
         hits = self.rankings(index, texts, n)
         single = not self.config.hybrid and not self.config.rewrite
         if single:
@@ -248,14 +294,17 @@ class Pipeline:
         else:
             fused = fusion.reciprocal_rank_fusion(hits, self.settings.rrf_k, n)
         shown = index.chunks.select("chunk_id", "doc_id", "title", "position", "text")
-        candidates = fusion.deduplicate(fused).join(shown, "chunk_id")
+        candidates = self._watch(fusion.deduplicate(fused).join(shown, "chunk_id"), "candidates")
         if self.config.relevance_filter:
             judged = rerank.relevance_filter(rerank.relevance_replies(candidates, queries, self.provider))
+            judged = self._watch(judged, "relevant", kept=F.col("kept"), dropped=~F.col("kept"), calls=F.lit(1))
             candidates = judged.filter("kept").drop("kept")
         if self.config.rerank:
             final = rerank.rerank(candidates, queries, self.config.rerank, k, self.provider)
         else:
             final = candidates.filter(F.col("rank") <= k)
+        if self.trace is not None:
+            final = written(self._watch(final, "hits"), "hits")
         return ordering.reorder(final, self.config.order).select(
             "query_id", "chunk_id", "doc_id", "title", "position", "text", "score", "rank"
         )
@@ -278,11 +327,14 @@ class Pipeline:
         """(query_id, question, retrieve, context, n_hits, chunk_ids, answer, abstained, critique, final, model, techniques)."""
         decided = queries.withColumn("retrieve", F.lit(True))
         if self.config.retrieve_on_demand:
-            decided = written(reflect.retrieve_decisions(queries, self.provider), "decisions")
+            asked = self._watch(reflect.retrieve_decisions(queries, self.provider), "decisions", retrieve=F.col("retrieve"), calls=F.lit(1))
+            decided = written(asked, "decisions")
         wanted = decided.filter("retrieve").drop("retrieve")
         made = reflect.answers(wanted, self.retrieve(index, wanted, top_k), self.provider, self.settings.temperature, self.settings.max_tokens)
+        made = self._watch(made, "answers", abstained=F.col("abstained"), calls=F.col("n_hits") > 0)
         if self.config.critique:
             made = reflect.critiques(made, self.provider)
+            made = self._watch(made, "critiques", calls=F.col("critique").isNotNull())
         else:
             made = made.withColumn("final", F.col("answer"))
         made = made.withColumn("retrieve", F.lit(True)).withColumn("model", F.lit(self.model)).withColumn(

@@ -1,5 +1,6 @@
 """Reply parsers, reranking, reflection, tree, sources, pipelines."""
 
+import json
 import sys
 from dataclasses import dataclass, field
 
@@ -9,8 +10,8 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from lodestar.functions import replies as R
-from lodestar.operators import cluster, expansion, reflect, rerank, tree
-from lodestar.plans.pipeline import PRESETS, Config, Pipeline, Settings, ablation, hash_embed
+from lodestar.operators import cluster, expansion, metrics, reflect, rerank, tree
+from lodestar.plans.pipeline import PRESETS, Config, Pipeline, Settings, Trace, ablation, hash_embed
 from lodestar.sources import providers, readers
 from lodestar.streaming.ingest import document_stream, index_stream
 
@@ -161,6 +162,31 @@ def test_tree(spark):
     assert all(r["chunk_id"].startswith("resumo_n") for r in nodes if r["level"] > 0)
 
 
+def test_overlap_and_credit_of_tree_nodes(spark):
+    """A node and its summary answer a query once; a summary is credited to its documents."""
+    rows = [("a", 0, [], ["1"]), ("b", 0, [], ["2"]), ("c", 0, [], ["3"]), ("ab", 1, ["a", "b"], ["1", "2"]), ("abc", 2, ["ab", "c"], ["1", "2", "3"])]
+    nodes = spark.createDataFrame(rows, "chunk_id string, level int, children array<string>, doc_ids array<string>")
+    told = tree.ancestry(nodes)
+    assert {r["chunk_id"]: r["ancestors"] for r in told.collect()} == {"a": ["ab", "abc"], "b": ["ab", "abc"], "c": ["abc"], "ab": ["abc"], "abc": []}
+    found = [(1, "a", 1), (1, "ab", 2), (1, "b", 3), (1, "c", 4), (2, "abc", 1), (2, "c", 2), (3, "c", 1), (3, "ab", 2), (4, "b", 1), (4, "a", 2)]
+    hits = spark.createDataFrame(found, "query_id int, chunk_id string, rank int").join(told, "chunk_id")
+    left = tree.without_overlap(hits)
+
+    def by_hand():
+        above = {"a": {"ab", "abc"}, "b": {"ab", "abc"}, "c": {"abc"}, "ab": {"abc"}, "abc": set()}
+        for q in range(1, 5):
+            own = [(c, r) for x, c, r in found if x == q]
+            kept = [c for c, r in own if not any(s < r and (d in above[c] or c in above[d]) for d, s in own)]
+            yield from ((q, c, i + 1) for i, c in enumerate(kept))
+
+    assert sorted((r["query_id"], r["chunk_id"], r["rank"]) for r in left.collect()) == sorted(by_hand())
+    credits = metrics.credited(left).filter("query_id = 2").orderBy("doc_id").collect()
+    assert [(r["doc_id"], r["rank"]) for r in credits] == [("1", 1), ("2", 1), ("3", 1)]
+    rels = spark.createDataFrame([(2, "3")], "query_id int, doc_id string")
+    assert metrics.per_query(spark.createDataFrame([(2,)], "query_id int"), metrics.credited(left), rels).first()["hit"] == 1.0
+    assert tree.without_overlap(hits.limit(0)).count() == 0 and tree.ancestry(nodes.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("preset", sorted(PRESETS))
 def test_presets(spark, preset):
     pipeline = Pipeline(config=PRESETS[preset])
@@ -172,6 +198,34 @@ def test_presets(spark, preset):
         assert got.orderBy("rank").first()["doc_id"] == "d03"
 
 
+def test_trace_counts_what_each_stage_passed_on(spark):
+    """One answer, its stages counted by the run itself: no job beyond those of an untraced run."""
+    provider = Scripted({
+        "multi_query": "alpha beta\ndelta epsilon", "relevant": lambda p: json.dumps({"relevante": "number3" in p.split("\x1e")[1]}),
+        "answer": "yes", "retrieve": '{"recuperar": true}', "critique": '{"suporte": "fully", "utilidade": 5}', "grade": "5",
+    })
+    config = Config(rewrite="multi_query", relevance_filter=True, retrieve_on_demand=True, critique=True)
+    asked, jobs = question(spark, "alpha beta number3"), {}
+    tracker = spark.sparkContext.statusTracker()
+    for traced in (False, True):
+        pipeline = Pipeline(config=config, provider=provider, trace=Trace() if traced else None)
+        index = pipeline.index(corpus(spark), "recursive")
+        spark.sparkContext.setJobGroup(f"traced-{traced}", "trace")
+        rows = pipeline.ask(index, asked).collect()
+        jobs[traced] = len(tracker.getJobIdsForGroup(f"traced-{traced}"))
+    spark.sparkContext.setJobGroup("other", "other")
+    told = {stage: (n, more) for stage, n, more in pipeline.trace.rows()}
+    assert told["decisions"] == (1, {"retrieve": 1, "calls": 1})
+    assert told["variants"] == (3, {"calls": 1})
+    n, more = told["relevant"]
+    assert told["candidates"][0] == n == more["calls"] == more["kept"] + more["dropped"] and more["kept"] == 1 and more["dropped"] >= 3
+    assert told["hits"] == (rows[0]["n_hits"], {}) and rows[0]["n_hits"] == 1
+    assert told["answers"] == (1, {"abstained": 0, "calls": 1}) and told["critiques"] == (1, {"calls": 1})
+    row = pipeline.trace.row(spark).first()
+    assert row["model_calls"] == 1 + 1 + n + 1 + 1 and row["seconds"] > 0 and len(row["stages"]) == 7
+    assert jobs[True] <= jobs[False] + 8  # the hits are written once, nothing is counted by a job of its own
+
+
 def test_weighted_and_ask(spark):
     pipeline = Pipeline(config=Config(fusion="weighted", critique=True, retrieve_on_demand=True))
     index = pipeline.index(corpus(spark), "fixed")
