@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lodestar.operators import lexical
 from lodestar.operators.chunking import chunk_stats
 from lodestar.plans.pipeline import PRESETS, Pipeline, Settings, Trace, ablation, compare_chunking
+from lodestar.session import release
 from lodestar.sources import readers
 
 
@@ -61,6 +62,13 @@ def _show_answer(rows) -> None:
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     spark = session()
+    try:
+        return run(spark, args)
+    finally:
+        release(spark)
+
+
+def run(spark: SparkSession, args: argparse.Namespace) -> int:
     settings = Settings.from_env()
     pipeline = Pipeline.of(settings, PRESETS[getattr(args, "preset", "hybrid")], getattr(args, "cache", None))
     if args.command == "index":

@@ -24,7 +24,6 @@ mean length; a column of embeddings must have one dimension in the whole store a
 
 from __future__ import annotations
 
-import json
 import uuid
 from dataclasses import asdict, dataclass, field
 
@@ -33,6 +32,7 @@ from pyspark.sql import functions as F
 
 from lodestar.operators.lexical import LexicalIndex, B, K1, chunk_tokens, counted
 from lodestar.session import Scratch, prepare
+from lodestar.sources.versions import Versions
 
 BLOCK_BITS = 5
 BLOCK_CHUNKS = 1 << BLOCK_BITS
@@ -62,46 +62,21 @@ class Manifest:
 class IndexStore:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = prepare(spark), path.rstrip("/")
-        self._jvm = spark._jvm
-        self._conf = spark._jsparkSession.sessionState().newHadoopConf()
+        self._versions = Versions(spark, f"{self.path}/manifest")
         self._registered: dict[tuple[str, str], str] = {}
 
     # --- manifest -------------------------------------------------------------
 
-    def _file(self, name: str):
-        path = self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        return path.getFileSystem(self._conf), path
-
     def manifest(self) -> Manifest:
-        system, folder = self._file("manifest")
-        names = [s.getPath().getName() for s in system.listStatus(folder)] if system.exists(folder) else []
-        names = sorted(n for n in names if n.endswith(".json"))
-        if not names:
+        held = self._versions.latest()
+        if held is None:
             raise FileNotFoundError(f"no index store in {self.path}")
-        system, path = self._file(f"manifest/{names[-1]}")
-        stream = system.open(path)
-        try:
-            held = json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-        finally:
-            stream.close()
         held["segments"] = tuple(Segment(**s) for s in held["segments"])
         return Manifest(**held)
 
     def _commit(self, manifest: Manifest) -> bool:
         """Whether this version is ours: another writer may have made it first."""
-        system, temporary = self._file(f"manifest/.{uuid.uuid4().hex}")
-        stream = system.create(temporary, False)
-        try:
-            stream.write(bytearray(json.dumps(asdict(manifest)).encode()))
-        finally:
-            stream.close()
-        _, claim = self._file(f"manifest/{manifest.version:010d}.claim")
-        _, path = self._file(f"manifest/{manifest.version:010d}.json")
-        # the claim is created exclusively; the version appears whole, by rename
-        if not system.createNewFile(claim):
-            system.delete(temporary, False)
-            return False
-        return system.rename(temporary, path)
+        return self._versions.commit(manifest.version, asdict(manifest))
 
     @classmethod
     def create(cls, spark: SparkSession, path: str, buckets: int = 32, model: str | None = None) -> IndexStore:
@@ -222,7 +197,8 @@ class IndexStore:
         """Remove segments that the latest version does not name; how many. Not to be run
         while a writer is at work, whose segment is not committed yet."""
         live = {s.name for s in self.manifest().segments}
-        system, folder = self._file("")
+        system, manifest = self._versions.file("")
+        folder = manifest.getParent()
         gone = [s.getPath() for s in system.listStatus(folder) if s.getPath().getName().startswith("segment-") and s.getPath().getName() not in live]
         for path in gone:
             system.delete(path, True)

@@ -8,10 +8,16 @@ import warnings
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestar.sources.cache import cache_key, cache_misses, embed_with_cache
+
+__all__ = [
+    "cache_key", "cache_misses", "embed_with_cache", "pdf_text", "read_documents", "read_eval_set", "read_index", "read_questions",
+    "with_title", "write_index", "write_lines",
+]
+
 TEXT_SUFFIXES = ("txt", "md", "markdown")
 DOCUMENTS = "doc_id string, title string, text string, origin string"
 
@@ -99,40 +105,6 @@ def read_index(spark: SparkSession, path: str, model: str | None = None) -> Data
     return index.drop("model")
 
 
-def cache_key(text: str = "text"):
-    return F.substring(F.sha2(F.coalesce(F.col(text), F.lit("")), 256), 1, 32)
-
-
-def cache_misses(texts: DataFrame, cache: DataFrame) -> DataFrame:
-    """(key, text): each text that the cache lacks, once."""
-    keyed = texts.select(cache_key().alias("key"), "text").dropDuplicates(["key"])
-    return keyed.join(cache.select("key"), "key", "left_anti")
-
-
-def embed_with_cache(
-    texts: DataFrame, path: str, model: str, embed: Callable[[DataFrame], DataFrame]
-) -> DataFrame:
-    """(id, embedding) of texts(id, text): only what the model's cache lacks is computed.
-
-    ``embed`` maps (id, text) to (id, embedding). A cache that is not there counts as
-    empty; one that cannot be read is an error. A null text counts as empty.
-    """
-    spark = texts.sparkSession
-    place = f"{path}/model={model}"
-    try:
-        cache = spark.read.schema("key string, embedding array<double>").parquet(place)
-        cache.limit(1).count()
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        cache = spark.createDataFrame([], "key string, embedding array<double>")
-    missing = cache_misses(texts, cache)
-    made = embed(missing.select(F.col("key").alias("id"), "text")).select(F.col("id").alias("key"), "embedding")
-    made.write.mode("append").parquet(place)
-    full = spark.read.schema("key string, embedding array<double>").parquet(place).dropDuplicates(["key"])
-    return texts.select("id", cache_key().alias("key")).join(full, "key").select("id", "embedding")
-
-
 def write_lines(df: DataFrame, columns: list[str], echo: Callable[[str], None] = print) -> Iterator[str]:
     """A small result as lines of text, for the command line."""
     for row in df.select(*columns).toLocalIterator():

@@ -132,3 +132,28 @@ def test_joins_leave_the_buckets_where_they_are(spark, tmp_path):
             assert "Exchange" not in plan and "SortMergeJoin" in plan and "Bucketed: true" in plan, plan
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_pipeline_adds_to_a_store(spark, tmp_path):
+    """Documents added in two steps answer like an index of all, and no table is left."""
+    from lodestar.plans.pipeline import PRESETS, Pipeline
+    from lodestar.session import _written, release
+
+    rows = [(f"d{i:02d}", f"T{i}", f"{'alpha beta gamma' if i % 2 else 'delta epsilon'} number{i} " * 3) for i in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id string, title string, text string")
+    queries = spark.createDataFrame([(0, "alpha number3"), (1, "delta number4")], "query_id int, text string")
+    pipeline, path = Pipeline(config=PRESETS["hybrid"]), f"file://{tmp_path}/index"
+    pipeline.add(docs.filter("doc_id < 'd06'"), path)
+    pipeline.add(docs.filter("doc_id >= 'd06'"), path)
+    loaded = pipeline.load(spark, path)
+    columns = ["query_id", "chunk_id", "doc_id", "rank"]
+
+    def hits(index):
+        return sorted((*[r[c] for c in columns], round(r["score"], 9)) for r in pipeline.retrieve(index, queries, 3).collect())
+
+    assert hits(loaded) == hits(pipeline.index(docs))
+    with pytest.raises(ValueError, match="index again"):
+        Pipeline(config=PRESETS["hybrid"], model="another").load(spark, path)
+    folders = [p for held in _written.values() for p in held.paths.values()]
+    release(spark)
+    assert folders and not any((tmp_path.__class__(p.removeprefix("file://"))).exists() for p in folders)
