@@ -8,7 +8,8 @@ of its keys alone, and of these, by the sorted files' statistics, few row groups
 makes one batch of all; ``vacuum`` removes batches that the latest version does not name.
 
 Cases: a cache that is not there is empty; a null text counts as empty; texts that repeat are
-looked up once each and kept once; a null embedding is not kept.
+looked up once each and kept once; a null embedding is not kept. The folder is a partitioned
+Parquet table (model, batch, range), which any reader may open; versions lie in a hidden folder.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ class EmbeddingCache:
 
     def __init__(self, spark: SparkSession, path: str, model: str):
         self.spark, self.path = prepare(spark), f"{path.rstrip('/')}/model={model}"
-        self.versions = Versions(spark, f"{self.path}/versions")
+        self.versions = Versions(spark, f"{self.path}/_versions")
 
     def _live(self) -> tuple[int, list[str]]:
         held = self.versions.latest()
@@ -63,7 +64,7 @@ class EmbeddingCache:
         return self._batches(names, ranges).join(keys.select("key").distinct(), "key", "left_semi").select("key", "embedding")
 
     def _write(self, rows: DataFrame) -> str:
-        name = f"batch-{uuid.uuid4().hex}"
+        name = f"batch={uuid.uuid4().hex}"
         dealt = rows.withColumn("range", _range()).select("key", "embedding", "range").repartition("range").sortWithinPartitions("range", "key")
         dealt.write.partitionBy("range").option("compression", "zstd").parquet(f"{self.path}/{name}")
         return name
@@ -78,8 +79,11 @@ class EmbeddingCache:
                 fresh = once.join(self.read(once), "key", "left_anti") if names else once
                 name = self._write(fresh)
                 n = self.spark.read.schema(SCHEMA).parquet(f"{self.path}/{name}").count()
-                if not n or self.versions.commit(version + 1, {"version": version + 1, "batches": [*names, name]}):
+                if n and self.versions.commit(version + 1, {"version": version + 1, "batches": [*names, name]}):
                     return n
+                self._remove(name)
+                if not n:
+                    return 0
             raise RuntimeError("other writers kept committing first")
         finally:
             scratch.close()
@@ -100,13 +104,17 @@ class EmbeddingCache:
     def vacuum(self) -> int:
         """Remove batches that no version in use names; not to be run while a writer is at work."""
         live = set(self._live()[1])
-        system, _ = self.versions.file("")
-        folder = self.versions._jvm.org.apache.hadoop.fs.Path(self.path)
-        gone = [s.getPath() for s in system.listStatus(folder) if s.getPath().getName().startswith("batch-") and s.getPath().getName() not in live]
-        for path in gone:
-            system.delete(path, True)
+        system, own = self.versions.file("")
+        names = [s.getPath().getName() for s in system.listStatus(own.getParent())]
+        gone = [n for n in names if n.startswith("batch=") and n not in live]
+        for name in gone:
+            self._remove(name)
         return len(gone)
 
+    def _remove(self, name: str) -> None:
+        system, path = self.versions.file(f"../{name}")
+        system.delete(path, True)
+
 
 def cache_misses(texts: DataFrame, cache: DataFrame) -> DataFrame:
     """(key, text): each text that the cache lacks, once."""
