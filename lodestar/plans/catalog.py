@@ -16,7 +16,7 @@ from lodestar.functions import replies as R
 from lodestar.functions import text as T
 from lodestar.operators import bounded, chunking, cluster, dense, embed, expansion, fusion, lexical, metrics, ordering, reflect, rerank, tree
 from lodestar.plans import sql as S
-from lodestar.plans.pipeline import PRESETS, Config, Pipeline, compare_chunking, hash_embed
+from lodestar.plans.pipeline import PRESETS, QUICK, STEPS, Config, Pipeline, ablation_by_query, compare_chunking, hash_embed
 from lodestar.plans.pipeline import ablation as run_ablation
 from lodestar.session import prepare, shared_dir, spread, written
 from lodestar.sources import readers
@@ -470,22 +470,44 @@ def ablation_query(spark, d):
     asked, rels = questions(spark, d), qrels_of(spark, d)
     docs = fixed_chunks(spark, d).select("chunk_id", "doc_id")
     runs = {"dense": dense_hits(spark, d, 20), "lexical": bm25_hits(spark, d, 20), "hybrid": hybrid_hits(spark, d, 20)}
-    return metrics.comparison({n: metrics.evaluate(asked, h.filter("rank <= 4").join(docs, "chunk_id"), rels) for n, h in runs.items()})
+    found = {n: h.filter("rank <= 4").join(docs, "chunk_id") for n, h in runs.items()}
+    return metrics.comparison(metrics.by_config(asked, found, rels))
 
 
-@query("ablation_full")
+def _as_text(df: DataFrame) -> DataFrame:
+    return df.withColumn("doc_id", F.col("doc_id").cast("string"))
+
+
+def _steps_sql(select: str, names=tuple(STEPS)) -> str:
+    """The configurations one under the other."""
+    return " UNION ALL ".join(f"SELECT '{n}' AS config, * FROM ({S.text_ids(S.measured(S.retrieval(STEPS[n]), 'shown'))} {select} FROM per_query)" for n in names)
+
+
+@query("ablation_full", _steps_sql(S.SUMMARY))
 def ablation_full(spark, d):
     """All five cumulative configurations over recursive chunks, with the local provider."""
-    docs = corpus(spark, d).withColumn("doc_id", F.col("doc_id").cast("string"))
-    rels = qrels_of(spark, d).withColumn("doc_id", F.col("doc_id").cast("string"))
-    return run_ablation(docs, questions(spark, d), rels)
+    return run_ablation(_as_text(corpus(spark, d)), questions(spark, d), _as_text(qrels_of(spark, d)))
+
+
+_REPORT_SQL = _steps_sql("SELECT query_id, hit, recall, precision, rr, ndcg", QUICK)
+
+
+@query("ablation_report", f"""
+WITH measured AS ({_REPORT_SQL})
+SELECT config, CASE WHEN grouping(query_id) = 1 THEN 'config' ELSE 'query' END AS level, query_id, round(avg(hit), 6) AS hit, round(avg(recall), 6) AS recall,
+  round(avg(precision), 6) AS precision, round(avg(rr), 6) AS mrr, round(avg(ndcg), 6) AS ndcg, count(*) AS n_queries
+FROM measured GROUP BY GROUPING SETS ((config, query_id), (config))""")
+def ablation_report(spark, d):
+    """Each query and each configuration without model calls, from one aggregation."""
+    found = ablation_by_query(_as_text(corpus(spark, d)), questions(spark, d), _as_text(qrels_of(spark, d)), quick=True)
+    return metrics.report(found)
 
 
-@query("chunking_comparison")
+@query("chunking_comparison", " UNION ALL ".join(
+    f"SELECT '{n}' AS config, * FROM ({S.text_ids(S.measured(c + ',' + S.DENSE + ', found_chunks AS (SELECT query_id, doc_id, d.rank FROM dense d JOIN chunks USING (chunk_id))', 'found_chunks'))} {S.SUMMARY} FROM per_query)"
+    for n, c in S.CHUNKED.items()))
 def chunking_comparison(spark, d):
-    docs = corpus(spark, d).withColumn("doc_id", F.col("doc_id").cast("string"))
-    rels = qrels_of(spark, d).withColumn("doc_id", F.col("doc_id").cast("string"))
-    return compare_chunking(docs, questions(spark, d), rels)
+    return compare_chunking(_as_text(corpus(spark, d)), questions(spark, d), _as_text(qrels_of(spark, d)))
 
 
 @query("hybrid_pipeline", S.HITS + """
@@ -508,7 +530,8 @@ def _pipeline_query(config: Config):
 
 
 for _name, _config in PRESETS.items():
-    query(f"preset_{_name}")(_pipeline_query(_config))
+    query(f"preset_{_name}", S.retrieval(_config) + """
+SELECT query_id, chunk_id, doc_id::varchar AS doc_id, round(score, 6) AS score, rank FROM shown""")(_pipeline_query(_config))
 
 
 @query("ask_full")

@@ -133,6 +133,7 @@ class Index:
     model: str = LOCAL_MODEL
 
 
+LEXICAL = 1000  # lexical rankings come after every dense one
 SETTLE_SECONDS = 2.0  # counts arrive shortly after the action that made them
 
 
@@ -254,6 +255,16 @@ class Pipeline:
         mean = expansion.hyde_vectors(first, hypothetical, self.embedder).select("query_id", F.lit(0).alias("variant_no"), "embedding")
         return mean.unionByName(plain.filter("variant_no > 0"))
 
+    def variants(self, queries: DataFrame) -> DataFrame:
+        """(query_id, variant_no, text): each query, and its rewrites."""
+        if not self.config.rewrite:
+            return queries.select("query_id", F.lit(0).alias("variant_no"), "text")
+        made = expansion.expand(
+            queries, self.config.rewrite, self.settings.rewrites if self.config.rewrite == "multi_query" else None, self.provider
+        ).select("query_id", F.col("variant_no").cast("int").alias("variant_no"), "text")
+        # each query is rewritten once
+        return written(self._watch(made, "variants", calls=F.col("variant_no") == 0), "variants")
+
     def rankings(self, index: Index, texts: DataFrame, n: int) -> DataFrame:
         """hits(query_id, ranker_id, chunk_id, score, rank): dense rankings by variant, then lexical ones."""
         pair = F.struct("query_id", "variant_no")
@@ -266,26 +277,25 @@ class Pipeline:
         if self.config.hybrid:
             asked = texts.select(F.to_json(pair).alias("query_id"), F.struct("query_id", "variant_no").alias("p"), "text")
             words = lexical.top_k(index.lexical, asked.select("query_id", "text"), n, index.chunks.select("chunk_id", "ord"))
-            most = F.lit(1000)  # lexical rankings come after every dense one
             out = out.unionByName(
                 words.join(asked.select("query_id", "p"), "query_id").select(
-                    F.col("p.query_id").alias("query_id"), (F.col("p.variant_no") + most).alias("ranker_id"), "chunk_id", "score", "rank"
+                    F.col("p.query_id").alias("query_id"), (F.col("p.variant_no") + LEXICAL).alias("ranker_id"), "chunk_id", "score", "rank"
                 )
             )
         return out
 
     def retrieve(self, index: Index, queries: DataFrame, top_k: int | None = None) -> DataFrame:
         """hits(query_id, chunk_id, doc_id, title, position, text, score, rank), rank being the place in the prompt."""
-        k = top_k or self.settings.top_k
-        n = max(self.settings.candidates, k)
-        texts = queries.select("query_id", F.lit(0).alias("variant_no"), "text")
-        if self.config.rewrite:
-            texts = expansion.expand(
-                queries, self.config.rewrite, self.settings.rewrites if self.config.rewrite == "multi_query" else None, self.provider
-            ).select("query_id", F.col("variant_no").cast("int").alias("variant_no"), "text")
-            # each query is rewritten once
-            texts = written(self._watch(texts, "variants", calls=F.col("variant_no") == 0), "variants")
-        hits = self.rankings(index, texts, n)
+        texts = self.variants(queries)
+        return self.select(index, queries, texts, self.rankings(index, texts, self._wide(top_k)), top_k)
+
+    def _wide(self, top_k: int | None) -> int:
+        """Length of the rankings that are fused."""
+        return max(self.settings.candidates, top_k or self.settings.top_k)
+
+    def select(self, index: Index, queries: DataFrame, texts: DataFrame, hits: DataFrame, top_k: int | None = None) -> DataFrame:
+        """What ``retrieve`` gives, from the variants of the queries and their rankings."""
+        k, n = top_k or self.settings.top_k, self._wide(top_k)
         single = not self.config.hybrid and not self.config.rewrite
         if single:
             fused = hits.filter(F.col("rank") <= n).select("query_id", "chunk_id", "score", "rank")
@@ -350,26 +360,60 @@ class Pipeline:
         k = k or self.settings.top_k
         return metrics.evaluate(queries, self.retrieve(index, queries, k), qrels, k)
 
+    def kept_index(self, docs: DataFrame, strategy: str = "recursive") -> Index:
+        """The index with its chunks and vectors as a table: made once for all who read it."""
+        chunks = written(self.embedded(self.chunks(docs, strategy)), "index_chunks")
+        return Index(chunks, lexical.build_index(chunks.drop("embedding")), self.model)
+
+
+def runs_of(index: Index, queries: DataFrame, configs: dict[str, Config], base: Pipeline) -> dict[str, DataFrame]:
+    """The hits of several configurations over one index.
+
+    Configurations that ask with the same texts and vectors share their rankings, which are
+    written once: dense search, BM25 and model calls for rewrites and hypothetical documents are
+    done once for them, and a configuration without BM25 leaves the lexical rankings out.
+    """
+    shared: dict[tuple, tuple[DataFrame, DataFrame]] = {}
+    out = {}
+    for name, config in configs.items():
+        asks = config.hyde, config.rewrite
+        if asks not in shared:
+            hybrid = any(c.hybrid for c in configs.values() if (c.hyde, c.rewrite) == asks)
+            asking = replace(base, config=replace(config, hybrid=hybrid))
+            texts = asking.variants(queries)
+            shared[asks] = texts, written(asking.rankings(index, texts, asking._wide(None)), "rankings")
+        texts, hits = shared[asks]
+        own = hits if config.hybrid else hits.filter(F.col("ranker_id") < LEXICAL)
+        out[name] = replace(base, config=config).select(index, queries, texts, own)
+    return out
+
 
 def compare_chunking(docs: DataFrame, queries: DataFrame, qrels: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """One row a chunking strategy, dense retrieval only."""
+    """One row a chunking strategy, dense retrieval only, all measured in one plan."""
     pipeline = Pipeline(settings, PRESETS["basic"])
-    return metrics.comparison(
-        {s: pipeline.evaluate(pipeline.index(docs, s), queries, qrels) for s in ("fixed", "sentences", "recursive")}
-    )
+
+    def hits(strategy: str) -> DataFrame:
+        chunks = written(pipeline.embedded(pipeline.chunks(docs, strategy)), "index_chunks")
+        return pipeline.retrieve(Index(chunks, None, pipeline.model), queries)  # no lexical tables are needed
+
+    runs = {s: hits(s) for s in ("fixed", "sentences", "recursive")}
+    return metrics.comparison(metrics.by_config(queries, runs, qrels, settings.top_k))
+
+
+STEPS = {
+    "dense": Config(hybrid=False), "hybrid": Config(), "hybrid+hyde": Config(hyde=True), "hybrid+rerank": Config(rerank="pointwise"),
+    "full": Config(hyde=True, rewrite="multi_query", rerank="pointwise", relevance_filter=True),
+}
+QUICK = ("dense", "hybrid")  # those without model calls
+
+
+def ablation_by_query(docs: DataFrame, queries: DataFrame, qrels: DataFrame, settings: Settings = Settings(), quick: bool = False, provider=None) -> DataFrame:
+    """(config, query_id, hit, rr, recall, precision, ndcg): cumulative configurations over one index."""
+    base = Pipeline(settings, Config(), provider or LocalChat())
+    configs = {n: c for n, c in STEPS.items() if n in QUICK or not quick}
+    return metrics.by_config(queries, runs_of(base.kept_index(docs), queries, configs, base), qrels, settings.top_k)
 
 
 def ablation(docs: DataFrame, queries: DataFrame, qrels: DataFrame, settings: Settings = Settings(), quick: bool = False, provider=None) -> DataFrame:
     """One row a cumulative configuration; ``quick`` keeps those without model calls."""
-    steps = {"dense": Config(hybrid=False), "hybrid": Config()}
-    if not quick:
-        steps |= {
-            "hybrid+hyde": Config(hyde=True), "hybrid+rerank": Config(rerank="pointwise"),
-            "full": Config(hyde=True, rewrite="multi_query", rerank="pointwise", relevance_filter=True),
-        }
-    base = Pipeline(settings, Config(), provider or LocalChat())
-    index = base.index(docs)
-    index.chunks = index.chunks.cache()
-    return metrics.comparison(
-        {n: Pipeline(settings, c, base.provider).evaluate(index, queries, qrels) for n, c in steps.items()}
-    )
+    return metrics.comparison(ablation_by_query(docs, queries, qrels, settings, quick, provider))

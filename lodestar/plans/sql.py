@@ -75,9 +75,10 @@ def sparse(name: str, source: str, id_col: str, dim: int = 512) -> str:
 {name} AS (SELECT id, pos, CASE WHEN n > 0 THEN x / n ELSE x END AS w FROM (SELECT *, sqrt(sum(x * x) OVER (PARTITION BY id)) AS n FROM {name}_x))"""
 
 
+QUERY_VECTORS = sparse("qv", "(SELECT item_id, text FROM benchmark)", "item_id")
 DENSE = f"""
 {sparse("dv", "chunks", "chunk_id")},
-{sparse("qv", "(SELECT item_id, text FROM benchmark)", "item_id")},
+{QUERY_VECTORS},
 dense_scores AS (SELECT q.id AS query_id, d.id AS chunk_id, sum(d.w * q.w) AS s FROM dv d JOIN qv q USING (pos) GROUP BY ALL),
 dense AS (
   SELECT query_id, chunk_id, ord, score, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ord))::int AS rank FROM (
@@ -162,3 +163,121 @@ pieces AS (
   SELECT doc_id, i, emitted AS text FROM steps WHERE emitted IS NOT NULL
   UNION ALL SELECT doc_id, i + 1, array_to_string(cur, ' ') FROM steps WHERE i = len(l) AND len(cur) > 0
 )"""
+
+
+def numbered(pieces: str) -> str:
+    """The CTE ``chunks`` of pieces(doc_id, i, text)."""
+    return f"""
+chunks AS (
+  SELECT printf('%d#%03d', n.doc_id, position) AS chunk_id, n.doc_id, source AS title, position, n.text, n.doc_id * 100000 + position AS ord
+  FROM (SELECT doc_id, text, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::int AS position FROM ({pieces})) n JOIN documents USING (doc_id)
+)"""
+
+
+RECURSIVE_CHUNKS = PACKED + f""",
+whole AS (SELECT doc_id, {stripped("text")} AS t FROM documents),""" + numbered("""
+  SELECT doc_id, i, text FROM pieces JOIN whole USING (doc_id) WHERE length(t) > 600
+  UNION ALL SELECT doc_id, 0, t FROM whole WHERE t <> '' AND length(t) <= 600""")
+
+#: each strategy's ``WITH`` up to ``chunks``
+CHUNKED = {"fixed": "WITH" + CHUNKS, "sentences": PACKED + "," + numbered("SELECT doc_id, i, text FROM pieces"), "recursive": RECURSIVE_CHUNKS}
+
+
+def text_ids(sql: str) -> str:
+    """Chunks in the order of document ids as text."""
+    for prefix in ("n.", ""):
+        sql = sql.replace(f"{prefix}doc_id * 100000 + position AS ord", f"{prefix}doc_id::varchar || chr(1) || printf('%010d', position) AS ord")
+    return sql
+
+
+def clean_line(x: str) -> str:
+    return rf"trim(trim(trim(trim(regexp_replace(trim({x}), '^\s*(\d+[.)]|[-*•])\s*', '')), '\"'), ''''))"
+
+
+# Queries are keyed by item and number of the variant, variant 0 being the query itself.
+VARIANTS = """
+variants AS (SELECT item_id::bigint * 1000 AS item_id, text FROM benchmark)"""
+
+# The local stand-in's rewrites: the words turned round by one, two and three.
+REWRITES = f"""
+turned AS (SELECT item_id, text, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM benchmark),
+lines AS (
+  SELECT item_id, list_concat([text], (list_filter(list_transform(range(1, least(5, len(w))),
+    lambda i: {clean_line("(i + 1) || '. ' || array_to_string(list_concat(w[i + 1:], w[:i]), ' ')")}), lambda x: x <> ''))[1:3]) AS l FROM turned
+),
+said AS (SELECT item_id, unnest(l) AS text, generate_subscripts(l, 1) AS n FROM lines),
+variants AS (
+  SELECT item_id::bigint * 1000 + row_number() OVER (PARTITION BY item_id ORDER BY n) - 1 AS item_id, text
+  FROM (SELECT *, row_number() OVER (PARTITION BY item_id, lower(trim(text)) ORDER BY n) AS same FROM said) WHERE same = 1
+)"""
+
+# The local stand-in's hypothetical document: the query and the start of its digest.
+HYPOTHETICAL = f"""
+{sparse("qa", "variants", "item_id")},
+{sparse("qb", "(SELECT item_id, text || ' ' || substr(md5(text), 1, 4) AS text FROM variants WHERE item_id % 1000 = 0)", "item_id")},
+means AS (SELECT id, pos, sum(w) / 2 AS w FROM (SELECT id, pos, w FROM qa WHERE id % 1000 = 0 UNION ALL SELECT id, pos, w FROM qb) GROUP BY ALL),
+qv AS (
+  SELECT id, pos, CASE WHEN n > 0 THEN w / n ELSE w END AS w FROM (SELECT *, sqrt(sum(w * w) OVER (PARTITION BY id)) AS n FROM means)
+  UNION ALL SELECT id, pos, w FROM qa WHERE id % 1000 <> 0
+)"""
+
+RRF = FUSED[FUSED.index("rrf AS"):]
+
+
+def _words(x: str) -> str:
+    return rf"list_distinct(regexp_extract_all(lower({x}), '[\p{{L}}\p{{N}}_]+'))"
+
+
+def retrieval(config) -> str:
+    """What a configuration finds with the local stand-in for a model, over recursive chunks:
+    CTEs that end in shown(query_id, chunk_id, doc_id, score, rank)."""
+    over = lambda sql: sql.replace("FROM benchmark", "FROM variants")
+    vectors = HYPOTHETICAL if config.hyde else sparse("qv", "variants", "item_id")
+    ctes = [RECURSIVE_CHUNKS, REWRITES if config.rewrite else VARIANTS, over(DENSE.replace(QUERY_VECTORS, vectors))]
+    if config.hybrid:
+        ctes += [LEXICAL, over(QUERY_TERMS), BM25, """
+stacked AS (
+  SELECT query_id // 1000 AS query_id, query_id % 1000 AS ranker_id, chunk_id, ord, score, rank FROM dense WHERE rank <= 20
+  UNION ALL SELECT query_id // 1000, query_id % 1000 + 1000, chunk_id, ord, score, rank FROM bm25 WHERE rank <= 20
+),""" + RRF]
+    else:
+        ctes.append("rrf AS (SELECT query_id // 1000 AS query_id, chunk_id, score, rank FROM dense WHERE rank <= 20)")
+    ctes.append(f"""
+candidates AS (
+  SELECT query_id, chunk_id, doc_id, score, rank, len(list_intersect(a, w))::double / greatest(1, len(a)) AS share FROM (
+    SELECT r.query_id, r.chunk_id, c.doc_id, r.score, r.rank, {_words("b.text")} AS a, {_words("substr(c.text, 1, 1500)")} AS w
+    FROM rrf r JOIN chunks c USING (chunk_id) JOIN benchmark b ON b.item_id = r.query_id WHERE r.rank <= 20)
+)""")
+    last = "candidates"
+    if config.relevance_filter:
+        ctes.append("""
+relevant AS (
+  SELECT query_id, chunk_id, doc_id, score, CASE WHEN any_kept THEN n ELSE rank END AS rank, share FROM (
+    SELECT *, bool_or(share >= 0.2) OVER (PARTITION BY query_id) AS any_kept, row_number() OVER (PARTITION BY query_id, share >= 0.2 ORDER BY rank) AS n
+    FROM candidates) WHERE share >= 0.2 OR NOT any_kept
+)""")
+        last = "relevant"
+    if config.rerank:
+        ctes.append(f"""
+graded AS (SELECT query_id, chunk_id, doc_id, score, rank, least(10.0, round_even(10 * share, 0)) AS grade FROM {last}),
+final AS (
+  SELECT query_id, chunk_id, doc_id, grade / 10 AS score, row_number() OVER (PARTITION BY query_id ORDER BY grade DESC, score DESC, rank) AS rank
+  FROM graded QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY grade DESC, score DESC, rank) <= 4
+)""")
+    else:
+        ctes.append(f"final AS (SELECT query_id, chunk_id, doc_id, score, rank FROM {last} WHERE rank <= 4)")
+    place = {
+        "edges": "CASE WHEN n <= 2 THEN rank WHEN r % 2 = 1 THEN (r + 1) // 2 ELSE n - r // 2 + 1 END",
+        "descending": "row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank)",
+    }[config.order]
+    ctes.append(f"""
+shown AS (
+  SELECT query_id, chunk_id, doc_id, score, ({place})::int AS rank FROM (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS r, count(*) OVER (PARTITION BY query_id) AS n FROM final)
+)""")
+    return ",".join(ctes)
+
+
+def measured(hits: str, source: str, k: int = 4) -> str:
+    """CTEs from the hits' own to per_query."""
+    return hits + "," + QRELS + f", hits AS (SELECT query_id, doc_id, rank FROM {source} WHERE rank <= {k})," + metric_ctes("hits", k)

@@ -1,6 +1,7 @@
 """Reply parsers, reranking, reflection, tree, sources, pipelines."""
 
 import json
+import re
 import sys
 from dataclasses import dataclass, field
 
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lodestar.functions import replies as R
 from lodestar.operators import cluster, expansion, metrics, reflect, rerank, tree
-from lodestar.plans.pipeline import PRESETS, Config, Pipeline, Settings, Trace, ablation, hash_embed
+from lodestar.plans.pipeline import PRESETS, Config, Pipeline, Settings, Trace, ablation, hash_embed, runs_of
 from lodestar.sources import providers, readers
 from lodestar.streaming.ingest import document_stream, index_stream
 
@@ -325,3 +326,35 @@ def test_settings_from_environment(monkeypatch):
     monkeypatch.setenv("PESO_DENSO", "0.25")
     s = Settings.from_env()
     assert s.top_k == 9 and s.dense_weight == 0.25 and s.chunk_size == 600
+
+
+def test_configurations_are_measured_in_one_plan(spark):
+    queries = spark.createDataFrame([(0, "a"), (1, "b")], "query_id int, text string")
+    rel = spark.createDataFrame([(0, "x"), (0, "y"), (1, "z")], "query_id int, doc_id string")
+    hits = "query_id int, doc_id string, rank int"
+    runs = {
+        "one": spark.createDataFrame([(0, "x", 2), (0, "q", 1), (1, "z", 1)], hits),
+        "two": spark.createDataFrame([(1, "q", 1), (1, "q", 2), (1, "z", 3)], hits),
+        "none": spark.createDataFrame([], hits),
+    }
+    found = metrics.by_config(queries, runs, rel)
+    for name, df in runs.items():
+        alone = {r["query_id"]: r.asDict() for r in metrics.per_query(queries, df, rel).collect()}
+        assert {r["query_id"]: r.asDict() for r in found.filter(found.config == name).drop("config").collect()} == alone
+        mean = metrics.evaluate(queries, df, rel).drop("k").first().asDict()
+        assert metrics.comparison(found).filter(f"config = '{name}'").drop("config").first().asDict() == mean
+    both = metrics.report(found).collect()
+    assert len(both) == 3 * 2 + 3 and {r["config"] for r in both if r["level"] == "config" and r["query_id"] is None} == set(runs)
+
+
+def test_configurations_share_their_rankings(spark):
+    """Each configuration finds what it finds alone; those that ask alike search once."""
+    asked = question(spark, "number3 alpha")
+    base = Pipeline()
+    index = base.kept_index(corpus(spark))
+    configs = {"dense": Config(hybrid=False), "hybrid": Config(), "rerank": Config(rerank="pointwise"), "hyde": Config(hyde=True)}
+    runs = runs_of(index, asked, configs, base)
+    for name, config in configs.items():
+        assert sorted(runs[name].collect()) == sorted(Pipeline(config=config).retrieve(index, asked).collect())
+    written_to = lambda df: set(re.findall(r"rankings-\w+", " ".join(df.inputFiles())))
+    assert written_to(runs["dense"]) == written_to(runs["hybrid"]) == written_to(runs["rerank"]) != written_to(runs["hyde"])
