@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from lodestar.session import written
 
 QUERY_BLOCK = 2048  # queries that one scan of the vectors answers; more are answered in further scans
+SPARSE_ROWS, SPARSE_PRODUCTS = 1024, 1 << 20  # sparse rows, and products of theirs, that are held at a time
+SLACK = 1e-8  # for sums taken in another order
+EMITTED = 10_000  # hits in one Arrow batch
 DIGITS = 9  # scores are ranked after rounding, so every engine agrees on ties
 
 
@@ -118,35 +121,133 @@ def numbered(ids: DataFrame) -> DataFrame:
     return placed.join(offsets, "part").select("id", (F.col("row") + F.col("start")).alias("at"))
 
 
+SPARSE = "array<struct<pos:int,w:double>>"
+
+
+def packed_rows(cells: DataFrame, id_col: str = "id") -> DataFrame:
+    """(id, cells) of sparse rows that come as (id, pos, w), one row a cell."""
+    pair = F.struct(F.col("pos").cast("int").alias("pos"), F.col("w").cast("double").alias("w"))
+    return cells.groupBy(F.col(id_col).alias("id")).agg(F.array_sort(F.collect_list(pair)).alias("cells"))
+
+
+def _sparse_search(block, k: int):
+    """Best k rows of a task for every query of the broadcast block (ids, positions, starts,
+    query numbers, weights, greatest weights).
+
+    The block is an inverted list of the queries by position. Whatever a row scores is at most
+    the sum over its positions of |w| times the greatest weight that any query has there; a batch
+    leaves out rows that this bound keeps under the k-th best score of every query so far.
+    """
+
+    def search(batches):
+        ids, positions, starts, numbers, weights, most = block.value
+        n_queries = len(ids)
+        best = np.full(n_queries, -np.inf)  # the k-th best score of each query in this task
+        held: dict[int, list[tuple]] = {}
+        for batch in batches:
+            n, column = batch.num_rows, batch.column("cells")
+            if not n:
+                continue
+            sizes = np.nan_to_num(pc.list_value_length(column).to_numpy(zero_copy_only=False)).astype(np.int64)
+            flat = column.flatten()
+            row = np.repeat(np.arange(n), sizes)
+            pos, w = (flat.field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            at = np.minimum(np.searchsorted(positions, pos), max(0, len(positions) - 1))
+            known = positions[at] == pos if len(positions) else np.zeros(len(pos), bool)
+            row, at, w = row[known], at[known], w[known].astype(np.float64)
+            bound = np.bincount(row, np.abs(w) * most[at], n) + SLACK
+            products = np.cumsum(np.bincount(row, starts[at + 1] - starts[at], n))
+            named = batch.column("id")
+            order = np.empty(n, np.int64)
+            order[pc.sort_indices(named, null_placement="at_start").to_numpy()] = np.arange(n)
+            lo = 0
+            while lo < n:
+                before = products[lo - 1] if lo else 0.0
+                hi = min(lo + SPARSE_ROWS, max(lo + 1, int(np.searchsorted(products, before + SPARSE_PRODUCTS, "right"))))
+                some = lo + np.flatnonzero(bound[lo:hi] >= best.min())
+                lo = hi
+                if not len(some):
+                    continue
+                slot = np.full(n, -1)
+                slot[some] = np.arange(len(some))
+                mine = slot[row] >= 0
+                r, a, x = slot[row[mine]], at[mine], w[mine]
+                reps = starts[a + 1] - starts[a]
+                first = np.repeat(np.cumsum(reps) - reps, reps)
+                entry = np.repeat(starts[a], reps) + np.arange(int(reps.sum())) - first
+                key = np.repeat(r, reps) * n_queries + numbers[entry]
+                scores = np.bincount(key, np.repeat(x, reps) * weights[entry], len(some) * n_queries).reshape(len(some), n_queries)
+                scores = np.round(scores, DIGITS) + 0.0
+                for q in np.flatnonzero((scores >= best).any(axis=0)):
+                    s = scores[:, q]
+                    good = np.flatnonzero(s >= best[q])
+                    top = good[np.lexsort((order[some[good]], -s[good]))][:k]
+                    mixed = held.get(q, []) + [(-float(s[t]), named[int(some[t])].as_py()) for t in top]
+                    mixed.sort(key=lambda x: (x[0], x[1] is not None, x[1]))
+                    held[q] = mixed[:k]
+                    if len(held[q]) == k:
+                        best[q] = -held[q][-1][0]
+        out = [(ids[q], i, -s + 0.0) for q, rows in held.items() for s, i in rows]
+        for lo in range(0, len(out), EMITTED):
+            part = out[lo : lo + EMITTED]
+            yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in part]) for c in range(3)], ["query_id", "id", "score"])
+
+    return search
+
+
+def _inverted(asked: pa.Table) -> tuple:
+    """The queries' cells as an inverted list by position."""
+    ids = asked.column(0).to_pylist()
+    cells = asked.column(1).combine_chunks()
+    sizes = pc.list_value_length(cells).to_numpy(zero_copy_only=False).astype(np.int64)
+    pos, w = (cells.flatten().field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+    number = np.repeat(np.arange(len(ids)), sizes)
+    order = np.argsort(pos, kind="stable")
+    positions, first = np.unique(pos[order], return_index=True)
+    starts = np.append(first, len(pos))
+    weights = w[order].astype(np.float64)
+    most = np.maximum.reduceat(np.abs(weights), first) if len(first) else np.zeros(0)
+    return ids, positions, starts, number[order], weights, most
+
+
 def sparse_top_k(
     vectors: DataFrame, queries: DataFrame, k: int, everything: DataFrame | None = None, query_block: int = QUERY_BLOCK
 ) -> DataFrame:
-    """The same search on sparse unit rows (id, pos, w) by an equi-join on the position.
+    """hits(query_id, id, score, rank): exact search over sparse rows, ties by id.
+
+    ``vectors`` has (id, cells), ``queries`` (query_id, cells), cells being an array of (pos, w)
+    with one weight a position. Rows that share no position with a query, empty ones among
+    them, score zero and rank behind those with positive scores; null cells are left out.
+    Vectors are neither exploded nor shuffled: a task holds its rows against an inverted list of
+    the queries, which is broadcast in blocks of bounded size, and keeps its best k a query, so
+    what is shuffled is tasks * queries * k rows at most.
 
-    Queries are broadcast in blocks of bounded size, so vectors are not shuffled by
-    position. ``everything`` (id) adds the rows that share no position with a query, at
-    score zero; a query needs at most k of them, the first by id: of its hits only those
-    among the ids before the k-th such row matter.
+    Either side may come as (id, pos, w), one row a cell; it is packed first. ``everything``
+    (id) then names the rows, those without cells among them.
     """
-    n_blocks = max(1, -(-queries.select("query_id").distinct().count() // query_block))
-    scored = None
-    for b in range(n_blocks):
-        block = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == b).select("query_id", "pos", F.col("w").alias("wq"))
-        part = vectors.join(F.broadcast(block), "pos").groupBy("query_id", "id").agg(F.round(F.sum(F.col("w") * F.col("wq")), DIGITS).alias("score"))
-        scored = part if scored is None else scored.unionByName(part)
+    k = max(1, k)
+    spark = vectors.sparkSession
+    if "pos" in vectors.columns:
+        vectors = packed_rows(vectors)
     if everything is not None:
-        scored = written(scored, "sparse_hits")
-        ranked = numbered(everything)
-        hits = scored.select("query_id", "id").join(ranked, "id").select("query_id", "at")
-        # hit number i at rank r has r - i others before it
-        place = F.col("at") - F.row_number().over(Window.partitionBy("query_id").orderBy("at")) + 1
-        early = hits.withColumn("before", place).filter(F.col("before") < k).select("query_id", "at")
-        ends = queries.select("query_id").distinct().join(early.groupBy("query_id").count(), "query_id", "left")
-        wanted = ends.select("query_id", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("count", F.lit(0)) + F.lit(k - 1))).alias("at"))
-        fill = wanted.join(early, ["query_id", "at"], "left_anti").join(ranked, "at")
-        scored = scored.unionByName(fill.select("query_id", "id", F.lit(0.0).alias("score")))
+        vectors = everything.select("id").join(vectors, "id", "left").select("id", F.coalesce("cells", F.array().cast(SPARSE)).alias("cells"))
+    if "pos" in queries.columns:
+        queries = packed_rows(queries, "query_id").withColumnRenamed("id", "query_id")
+    base = vectors.select("id", F.col("cells").cast(SPARSE).alias("cells")).filter("cells is not null")
+    asked = queries.select("query_id", F.col("cells").cast(SPARSE).alias("cells")).filter("cells is not null")
+    schema = f"query_id {dict(asked.dtypes)['query_id']}, id {dict(base.dtypes)['id']}, score double"
+    n_blocks = -(-asked.count() // query_block)
+    found = None
+    for b in range(n_blocks):
+        block = asked if n_blocks == 1 else asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == b)
+        rows = block.toArrow()
+        if rows.num_rows:
+            part = base.mapInArrow(_sparse_search(spark.sparkContext.broadcast(_inverted(rows)), k), schema)
+            found = part if found is None else found.unionByName(part)
+    if found is None:
+        return spark.createDataFrame([], schema + ", rank int")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("id").asc())
-    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
 def lookup(chunks: DataFrame, chunk_id: str) -> DataFrame:

@@ -90,6 +90,13 @@ def dense_column(text: Column, dim: int = DIM, sizes: tuple[int, ...] = (1, 2))
     return vectors(_tokens(text))
 
 
+def sparse_rows(
+    df: DataFrame, id_col: str, text_col: str = "text", dim: int = DIM, sizes: tuple[int, ...] = (1, 2)
+) -> DataFrame:
+    """(id, cells array<struct<pos, w>>) of every row, empty for texts without tokens."""
+    return df.select(F.col(id_col).alias("id"), sparse_column(F.col(text_col), dim, sizes).alias("cells"))
+
+
 def sparse_vectors(
     df: DataFrame, id_col: str, text_col: str = "text", dim: int = DIM, sizes: tuple[int, ...] = (1, 2)
 ) -> DataFrame:
@@ -97,9 +104,9 @@ def sparse_vectors(
 
     Rows without tokens have no entries; a vector that cancels out keeps its zeros.
     """
-    made = df.select(F.col(id_col).alias("id"), sparse_column(F.col(text_col), dim, sizes).alias("v"))
+    made = sparse_rows(df, id_col, text_col, dim, sizes)
     # outer: a plain explode infers a filter that makes the vectors a second time
-    return made.select("id", F.explode_outer("v").alias("e")).filter("e is not null").select("id", "e.pos", "e.w")
+    return made.select("id", F.explode_outer("cells").alias("e")).filter("e is not null").select("id", "e.pos", "e.w")
 
 
 def packed_vectors(

@@ -308,10 +308,9 @@ def dense_topk_hash(spark, d):
 
 @query("sparse_topk_hash", "WITH" + ",".join([S.CHUNKS, S.DENSE]).replace("ORDER BY score DESC, ord", "ORDER BY score DESC, chunk_id") + " SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM dense WHERE rank <= 4")
 def sparse_topk_hash(spark, d):
-    chunks = fixed_chunks(spark, d)
-    v = embed.sparse_vectors(chunks, "chunk_id")
-    q = embed.sparse_vectors(questions(spark, d), "query_id").withColumnRenamed("id", "query_id")
-    found = dense.sparse_top_k(v, q, 4, chunks.select(F.col("chunk_id").alias("id")))
+    v = embed.sparse_rows(fixed_chunks(spark, d), "chunk_id")
+    q = embed.sparse_rows(questions(spark, d), "query_id").withColumnRenamed("id", "query_id")
+    found = dense.sparse_top_k(v, q, 4)
     return found.select("query_id", F.col("id").alias("chunk_id"), (F.round("score", 6) + 0.0).alias("score"), "rank")
 
 

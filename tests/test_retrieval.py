@@ -192,3 +192,35 @@ def test_kmeans_seeds_from_all_rows(spark):
     apart = {i: [math.cos(i * math.pi / 62), math.sin(i * math.pi / 62)] for i in range(31)}
     got = dict(cluster.kmeans(spark.createDataFrame(list(apart.items()), "id long, embedding array<double>"), 25).collect())
     assert len(set(got.values())) == 25
+
+
+def test_sparse_search_keeps_the_best_of_each_task(spark):
+    """Packed rows against every pair by hand, over several tasks, batches and blocks of queries."""
+    rng = np.random.default_rng(5)
+
+    def rows(n, dim=40):
+        out = []
+        for i in range(n):
+            pos = np.sort(rng.choice(dim, int(rng.integers(0, 6)), replace=False))
+            out.append((f"r{i:04d}", [(int(p), float(w)) for p, w in zip(pos, rng.integers(-3, 4, len(pos)))]))
+        return out
+
+    vectors, asked = rows(500), rows(7, 60)
+    schema = "id string, cells array<struct<pos:int,w:double>>"
+    v = spark.createDataFrame(vectors + [("null", None)], schema).repartition(5)
+    q = spark.createDataFrame(asked, schema).withColumnRenamed("id", "query_id")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "30")
+    try:
+        for block in (3, 2048):
+            got = {(r["query_id"], r["rank"]): (r["id"], r["score"]) for r in dense.sparse_top_k(v, q, 6, query_block=block).collect()}
+            want = {}
+            for name, cells in asked:
+                of = dict(cells)
+                scored = sorted((-sum(w * of.get(p, 0.0) for p, w in c), i) for i, c in vectors)[:6]
+                want |= {(name, n + 1): (i, -s + 0.0) for n, (s, i) in enumerate(scored)}
+            assert got == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    plan = dense.sparse_top_k(v, q, 6)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "HashAggregate" not in plan  # nothing a cell or a pair
+    assert dense.sparse_top_k(v, q.limit(0), 6).count() == 0
