@@ -16,8 +16,8 @@ words, one scan a slice, so the broadcast is bounded whatever the benchmark's si
 
 Cases: null or empty texts and items without words match nothing; ids of items and
 documents may be of any type, null or repeated: each item and each row is taken for
-itself; an item shorter than a seed is one seed; long texts are read whole; empty
-tables give an empty result.
+itself; an item shorter than a seed is one seed of its own length, so it is found wherever
+its words stand in a row; long texts are read whole; empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -46,14 +46,22 @@ def word_ids(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return wh.hash_words(folded, starts, stops), splits
 
 
-def seeds_at(words: np.ndarray, splits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(seed hash, row, word position in the row)."""
-    h, rows = wh.shingles(words, splits, SEED)
+def grams_at(words: np.ndarray, splits: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, row, word position in the row) of every run of n words; none of shorter rows."""
     counts = np.diff(splits)
-    n = np.where(counts >= SEED, counts - SEED + 1, 0)
-    long = rows[: int(n.sum())]
-    at = np.arange(len(long)) - np.repeat(np.cumsum(n) - n, n)
-    return h, rows, np.concatenate([at, np.zeros(len(h) - len(long), np.int64)])
+    runs = np.where(counts >= n, counts - n + 1, 0)
+    total = int(runs.sum())
+    h, rows = wh.shingles(words, splits, n)
+    with np.errstate(over="ignore"):
+        h = h[:total] + np.uint64(n) * wh.SHINGLE_FACTORS[40]
+    return h, rows[:total], np.arange(total) - np.repeat(np.cumsum(runs) - runs, runs)
+
+
+def seeds_at(words: np.ndarray, splits: np.ndarray, short: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(seed hash, row, word position in the row): runs of SEED words, and of the lengths of
+    items shorter than that."""
+    parts = [grams_at(words, splits, n) for n in (SEED, *short)]
+    return tuple(np.concatenate(x) for x in zip(*parts))
 
 
 class Items:
@@ -63,7 +71,14 @@ class Items:
         data, offsets = wh.text_buffers(pa.array(texts, pa.string()))
         self.ids = ids
         self.words, self.splits = word_ids(data, offsets)
-        h, rows, at = seeds_at(self.words, self.splits)
+        counts = np.diff(self.splits)
+        self.short = tuple(int(n) for n in np.unique(counts[(counts > 0) & (counts < SEED)]))
+        parts = [grams_at(self.words, self.splits, SEED)]
+        for n in self.short:  # whole items only: a longer one has no seeds of this length
+            h, rows, at = grams_at(self.words, self.splits, n)
+            own = counts[rows] == n
+            parts.append((h[own], rows[own], at[own]))
+        h, rows, at = (np.concatenate(x) for x in zip(*parts))
         order = np.argsort(h, kind="stable")
         self.seeds, self.rows, self.at = h[order], rows[order], at[order]
 
@@ -111,7 +126,7 @@ def passages(places: np.ndarray, gap: int) -> list[np.ndarray]:
 def matches_of(items: Items, data: np.ndarray, offsets: np.ndarray) -> list[tuple]:
     """(row, item id, score, seeds hit, first word, word after the last)."""
     words, splits = word_ids(data, offsets)
-    h, rows, at = seeds_at(words, splits)
+    h, rows, at = seeds_at(words, splits, items.short)
     place, seed = items.hits(h)
     if not len(place):
         return []
@@ -147,11 +162,11 @@ def seed_hits(text: Column, items) -> Column:
     @F.arrow_udf("array<bigint>")
     def held(texts: pa.Array) -> pa.Array:
         data, offsets = wh.text_buffers(texts)
-        seeds = np.unique(items.value["seeds"])
+        seeds, short = np.unique(items.value["seeds"]), items.value["short"]
         flat, sizes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for a, b in wh.steps(offsets):
             words, splits = word_ids(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-            h, rows, _ = seeds_at(words, splits)
+            h, rows, _ = seeds_at(words, splits, short)
             at = np.searchsorted(seeds, h)
             found = seeds[np.minimum(at, len(seeds) - 1)] == h if len(seeds) else np.zeros(len(h), bool)
             h, rows = wh.distinct_by_row(h[found], rows[found])

@@ -426,6 +426,32 @@ def test_decontamination_matches_brute_force(spark):
                     assert got[d, i] == pytest.approx(score)
 
 
+def test_decontamination_finds_items_shorter_than_a_seed(spark):
+    """One or two words are found wherever they stand together, and by whole items only."""
+    docs = docs_of(spark, ["some words Yes, no other words", "yes no", "yes and no", "quux at the start", "the end is quux", "nothing of it", "", None])
+    bench = spark.createDataFrame([(1, "yes no"), (2, "quux"), (3, "nothing of this kind"), (4, "")], "item_id int, text string")
+    got = {(r["doc_id"], r["item_id"], r["score"], r["first_word"]) for r in decontam.contamination(docs, bench).collect()}
+    assert {x[:2] for x in got} == {(0, 1), (1, 1), (3, 2), (4, 2)} and {x[2] for x in got} == {1.0}
+    assert [r["doc_id"] for r in decontam.clean_documents(docs, bench).orderBy("doc_id").collect()] == [2, 5, 6, 7]
+
+
+def test_decontamination_finds_replaced_words_beside_a_common_stem(spark):
+    """Through the rare seeds: items share a stem that hundreds of documents hold, too."""
+    rng = np.random.default_rng(8)
+    stem = " ".join(f"stem{j}" for j in range(12))
+    items = [[f"w{v}" for v in rng.integers(0, 5000, 24)] for _ in range(20)]
+    docs = [(1000 + i, f"{stem} " + " ".join(f"z{v}" for v in rng.integers(0, 5000, 30))) for i in range(300)]
+    due = set()
+    for i, words in enumerate(items):
+        for n, share in enumerate((0.1, 0.2, 0.3)):
+            new = [f"x{rng.integers(0, 9**9)}" if rng.random() < share else w for w in words]
+            docs.append((3 * i + n, " ".join(f"y{v}" for v in rng.integers(0, 5000, 20)) + f" {stem} " + " ".join(new)))
+            due.add((3 * i + n, i))
+    bench = spark.createDataFrame([(i, f"{stem} " + " ".join(w)) for i, w in enumerate(items)], "item_id int, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.contamination(spark.createDataFrame(docs, "doc_id int, text string"), bench).collect()}
+    assert due <= got and not {x for x in got if x[0] >= 1000}
+
+
 def test_decontamination_ids_and_repeated_rows(spark):
     draw = random.Random(8)
     item = " ".join(words(draw, 30, 10**6))
