@@ -533,12 +533,15 @@ for _name, _config in PRESETS.items():
 SELECT query_id, chunk_id, doc_id::varchar AS doc_id, round(score, 6) AS score, rank FROM shown""")(_pipeline_query(_config))
 
 
-@query("ask_full")
+PARTLY = "\n---\nRessalva da auto-avaliação: resposta parcialmente sustentada (utilidade 3/5)."  # as ``annotated`` puts it
+
+
+@query("ask_full", S.asked(PRESETS["full"], R.NO_ANSWER, PARTLY))
 def ask_full(spark, d):
     """Retrieval decision, answer, critique and annotation with the local provider."""
     pipeline = Pipeline(config=PRESETS["full"])
     return pipeline.ask(pipeline.index(corpus(spark, d)), questions(spark, d)).select(
-        "query_id", "retrieve", "n_hits", "chunk_ids", "answer", "abstained", F.col("critique.support").alias("support"), "final"
+        "query_id", "retrieve", "n_hits", F.array_join("chunk_ids", "|").alias("chunk_ids"), "answer", "abstained", F.col("critique.support").alias("support"), "final"
     )
 
 

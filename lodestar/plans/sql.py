@@ -281,3 +281,24 @@ shown AS (
 def measured(hits: str, source: str, k: int = 4) -> str:
     """CTEs from the hits' own to per_query."""
     return hits + "," + QRELS + f", hits AS (SELECT query_id, doc_id, rank FROM {source} WHERE rank <= {k})," + metric_ctes("hits", k)
+
+
+def asked(config, no_answer: str, caveat: str) -> str:
+    """Answers, critiques and final answers of the local stand-in over what ``config`` finds;
+    ``caveat`` stands below an answer that its context supports in part only."""
+    share = f"len(list_intersect({_words('answer')}, {_words('substr(context, 1, 8000) || chr(10) || question')}))::double / greatest(1, len({_words('answer')}))"
+    return retrieval(config) + f""",
+wanted AS (SELECT item_id AS query_id, text AS question, len({_words("text")}) > 0 AS retrieve FROM benchmark),
+contexts AS (
+  SELECT s.query_id, count(*)::int AS n, string_agg(s.chunk_id, '|' ORDER BY s.rank) AS ids,
+    string_agg('[' || s.chunk_id || '] ' || coalesce(nullif(c.title, ''), c.doc_id::varchar) || chr(10) || c.text, chr(10) || chr(10) ORDER BY s.rank) AS context
+  FROM shown s JOIN chunks c USING (chunk_id) GROUP BY s.query_id
+),
+answered AS (
+  SELECT query_id, question, retrieve, context, CASE WHEN retrieve THEN coalesce(n, 0) ELSE 0 END::int AS n_hits, CASE WHEN retrieve THEN ids END AS chunk_ids,
+    CASE WHEN NOT retrieve THEN substr(question, 1, 600) WHEN n > 0 THEN substr(context, 1, 600) ELSE '{no_answer}' END AS answer
+  FROM wanted LEFT JOIN contexts USING (query_id)
+),
+noted AS (SELECT *, CASE WHEN retrieve THEN contains(lower(answer), lower('{no_answer}')) END AS abstained FROM answered),
+judged AS (SELECT *, CASE WHEN retrieve AND NOT abstained THEN CASE WHEN {share} >= 0.5 THEN 'fully' ELSE 'partially' END END AS support FROM noted)
+SELECT query_id, retrieve, n_hits, chunk_ids, answer, abstained, support, CASE WHEN support = 'partially' THEN answer || '{caveat}' ELSE answer END AS final FROM judged"""
