@@ -146,7 +146,7 @@ def chunk_recursive(spark, d):
     return chunking.chunk_documents(corpus(spark, d), "recursive").select("doc_id", "text", "position")
 
 
-@query("chunk_recursive_lines")
+@query("chunk_recursive_lines", S.LINE_CHUNKS + " SELECT chunk_id, doc_id, position, text FROM chunks")
 def chunk_recursive_lines(spark, d):
     """Lines as paragraphs: packing, flushing and sentence fallback all occur."""
     lines = {"lines": lambda c, size, overlap: T.recursive_chunks(c, size, overlap, "\n")}

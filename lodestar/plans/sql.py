@@ -179,6 +179,26 @@ whole AS (SELECT doc_id, {stripped("text")} AS t FROM documents),""" + numbered(
   SELECT doc_id, i, text FROM pieces JOIN whole USING (doc_id) WHERE length(t) > 600
   UNION ALL SELECT doc_id, 0, t FROM whole WHERE t <> '' AND length(t) <= 600""")
 
+# Lines as paragraphs: whole ones are packed, one too long closes the chunk and is packed by sentences.
+LINE_CHUNKS = PACKED.replace(SENTENCES, f"""
+paras AS (
+  SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda p: {stripped("p")}), lambda p: p <> '') AS ps FROM documents
+),
+long_paras AS (SELECT doc_id * 100000 + n AS doc_id, p AS text FROM (
+  SELECT doc_id, unnest(ps) AS p, generate_subscripts(ps, 1) AS n FROM paras) WHERE length(p) > 600),""" + SENTENCES.replace("FROM documents", "FROM long_paras")) + """,
+walk AS (
+  SELECT doc_id, ps, 0 AS i, []::varchar[] AS cur, 0 AS size, NULL::varchar AS closed FROM paras
+  UNION ALL
+  SELECT doc_id, ps, i + 1, CASE WHEN length(x) > 600 THEN []::varchar[] WHEN flush THEN [x] ELSE list_append(cur, x) END,
+    CASE WHEN length(x) > 600 THEN 0 WHEN flush THEN length(x)::int + 2 ELSE size + length(x)::int + 2 END,
+    CASE WHEN len(cur) > 0 AND (flush OR length(x) > 600) THEN array_to_string(cur, chr(10) || chr(10)) END
+  FROM (SELECT *, ps[i + 1] AS x, size + length(ps[i + 1]) + 2 > 600 AND len(cur) > 0 AS flush FROM walk WHERE i < len(ps))
+),""" + numbered("""
+  SELECT doc_id, i * 100000 AS i, text FROM (
+    SELECT doc_id, i, closed AS text FROM walk WHERE closed IS NOT NULL
+    UNION ALL SELECT doc_id, i + 1, array_to_string(cur, chr(10) || chr(10)) FROM walk WHERE i = len(ps) AND len(cur) > 0)
+  UNION ALL SELECT doc_id // 100000, doc_id % 100000 * 100000 + 1 + i, text FROM pieces""")
+
 #: each strategy's ``WITH`` up to ``chunks``
 CHUNKED = {"fixed": "WITH" + CHUNKS, "sentences": PACKED + "," + numbered("SELECT doc_id, i, text FROM pieces"), "recursive": RECURSIVE_CHUNKS}
 
