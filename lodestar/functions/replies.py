@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from lodestar.functions.text import once, strip
 
+# fixed values: the sentence of abstention, the labels and the pattern of a grade
 NO_ANSWER = "O contexto fornecido não contém informação suficiente para responder."
-SUPPORT_LABELS = {  # fixed values
+SUPPORT_LABELS = {
     "fully": "totalmente sustentada",
     "partially": "parcialmente sustentada",
     "no_support": "sem respaldo no contexto",
@@ -124,7 +125,9 @@ def support_label(support: Column) -> Column:
 
 
 def annotated(answer: Column, c: Column) -> Column:
-    """The answer, with a caveat below it when the critique does not trust it."""
+    """The answer, with a caveat below it when the critique does not trust it.
+
+    The caveat's wording and the keys of a reply are fixed values."""
     head = F.concat(
         F.lit("\n---\nRessalva da auto-avaliação: resposta "), support_label(c["support"]),
         F.lit(" (utilidade "), c["utility"].cast("string"), F.lit("/5)."),

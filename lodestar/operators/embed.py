@@ -26,7 +26,7 @@ REMEMBERED = 200_000  # terms whose hash a worker keeps
 
 def slots(terms: list[str], known: dict[str, tuple[int, float]], dim: int) -> list[tuple[int, float]]:
     """Position and sign of each term: the first four MD5 bytes, big-endian, modulo the
-    dimension; +1 when the fifth byte is even, else -1."""
+    dimension; +1 when the fifth byte is even, else -1. The recipe is a fixed value."""
     out = []
     for term in terms:
         slot = known.get(term)

@@ -14,6 +14,7 @@ import re
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from typing import Protocol
 
 import pandas as pd
@@ -37,11 +38,12 @@ INSTRUCTIONS = {
     "retrieve": "Does answering the message take a look into the documents (facts, figures, definitions), or is it small talk or common knowledge? "
     'Reply with JSON alone: {"recuperar": true or false, "motivo": "a few words"}.',
     "critique": "Judge the answer by the context. Reply with JSON alone, with the keys suporte (fully, partially or no_support: is what it claims "
-    "held by the context?), utilidade (1 to 5: how useful is it for the question?) and afirmacoes_sem_respaldo (a list of its claims "
-    "that the context does not hold).",
+    "held by the context?), utilidade (1 to 5: how useful is it for the question?), afirmacoes_sem_respaldo (a list of its claims "
+    "that the context does not hold) and comentario (one sentence on why).",
     "multi_query": "Write the question in other words, with other terms for the same need, one version a line, nothing else.",
     "step_back": "Write one more general question whose answer gives the background of this one. Reply with that question alone.",
-    "decompose": "Split the question into simpler ones that can each be looked up alone, one a line, nothing else.",
+    "decompose": "Split the question into simpler ones that can each be looked up alone, one a line, nothing else. A question that is "
+    "simple already stays as it is.",
     "hypothesis": "Write the text that is asked for as if it came from a document; do not say that it is made up.",
     "summary": "Summarise the passages as one text that keeps names, figures and definitions. Add nothing that they do not say.",
 }
@@ -105,6 +107,20 @@ class LocalChat:
         return f"{(rest or question)[:max_tokens]}"
 
 
+@lru_cache(maxsize=8)
+def _client(make: Callable, key: str, base_url: str | None):
+    return make(api_key=key, base_url=base_url)
+
+
+def gateway(key_variable: str, base_url: str | None):
+    """The client of a gateway, one a process: its connections serve all calls of a worker."""
+    if not os.environ.get(key_variable):
+        raise RuntimeError(f"set {key_variable} to use a remote model")
+    from openai import OpenAI
+
+    return _client(OpenAI, os.environ[key_variable], base_url)
+
+
 @dataclass(frozen=True)
 class OpenAICompatibleChat:
     """Chat over an OpenAI-compatible gateway; needs the ``openai`` package and a key."""
@@ -114,11 +130,7 @@ class OpenAICompatibleChat:
     key_variable: str = "OPENAI_API_KEY"
 
     def reply(self, task: str, prompt: str, temperature: float, max_tokens: int) -> str:
-        if not os.environ.get(self.key_variable):
-            raise RuntimeError(f"set {self.key_variable} to use a remote model")
-        from openai import OpenAI
-
-        client = OpenAI(api_key=os.environ[self.key_variable], base_url=self.base_url)
+        client = gateway(self.key_variable, self.base_url)
         out = client.chat.completions.create(
             model=self.model, messages=messages(task, prompt), temperature=temperature, max_tokens=max_tokens
         )
@@ -136,11 +148,7 @@ class OpenAICompatibleEmbedder:
         return self.model
 
     def embed(self, texts: list[str]) -> list[list[float]]:
-        if not os.environ.get(self.key_variable):
-            raise RuntimeError(f"set {self.key_variable} to use a remote model")
-        from openai import OpenAI
-
-        client = OpenAI(api_key=os.environ[self.key_variable], base_url=self.base_url)
+        client = gateway(self.key_variable, self.base_url)
         data = client.embeddings.create(model=self.model, input=texts).data
         return [x.embedding for x in sorted(data, key=lambda x: x.index)]
 

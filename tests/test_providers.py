@@ -48,10 +48,22 @@ def test_every_task_has_an_instruction(fake_client, task):
 def test_instructions_name_what_the_parsers_read():
     told = providers.INSTRUCTIONS
     assert replies.NO_ANSWER in told["answer"] and "relevante" in told["relevant"] and "recuperar" in told["retrieve"]
-    assert all(k in told["critique"] for k in ("suporte", "utilidade", "afirmacoes_sem_respaldo", "fully", "partially", "no_support"))
+    assert all(k in told["critique"] for k in ("suporte", "utilidade", "afirmacoes_sem_respaldo", "comentario", "fully", "partially", "no_support"))
     assert set(told) == set(TASKS)
 
 
+def test_a_worker_makes_one_client(monkeypatch, fake_client):
+    made, whole = [], sys.modules["openai"].OpenAI
+    monkeypatch.setitem(sys.modules, "openai", types.SimpleNamespace(OpenAI=lambda **a: made.append(a) or whole()))
+    for model in ("m", "m", "n"):
+        providers.OpenAICompatibleChat(model, "http://a").reply("grade", "q", 0.0, 5)
+    providers.OpenAICompatibleChat("m", "http://b").reply("grade", "q", 0.0, 5)
+    assert [a["base_url"] for a in made] == ["http://a", "http://b"] and len(fake_client) == 4
+    monkeypatch.delenv("OPENAI_API_KEY")
+    with pytest.raises(RuntimeError):
+        providers.OpenAICompatibleChat("m", "http://a").reply("grade", "q", 0.0, 5)
+
+
 class Counting:
     """Writes a line to a file for each call."""
 
