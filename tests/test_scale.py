@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestar.operators import dense, embed, lexical, metrics
 from lodestar.operators.best import Best
+from lodestar.plans import catalog
 from lodestar.plans import pipeline as P
 
 SCHEMA = pa.schema([("query_id", pa.int64()), ("id", pa.string()), ("ord", pa.int64()), ("score", pa.float64())])
@@ -92,3 +93,11 @@ def test_sizes_stand_for_relevant_documents_not_listed(spark):
     sizes = spark.createDataFrame([(1, 3), (2, 3)], "query_id int, n_rel int")
     few = metrics.per_query(asked, hits, every.filter("doc_id = 10"), sizes=sizes)
     assert sorted(map(tuple, few.collect())) == sorted(map(tuple, metrics.per_query(asked, hits, every).collect()))
+
+
+def test_buckets_of_a_store_follow_its_text(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "x" * 1000) for i in range(100)] + [(100, None)], "doc_id long, text string")
+    assert catalog.store_buckets(docs) == catalog.LEAST_BUCKETS
+    monkeypatch.setattr(catalog, "BUCKET_CHARS", 5000)
+    assert catalog.store_buckets(docs) == 20
+    assert catalog.store_buckets(docs.limit(0)) == catalog.LEAST_BUCKETS
