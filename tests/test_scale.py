@@ -5,6 +5,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from lodestar.functions import text as T
 from lodestar.operators import dense, embed, lexical, metrics
 from lodestar.operators.best import Best
 from lodestar.plans import catalog
@@ -101,3 +102,19 @@ def test_buckets_of_a_store_follow_its_text(spark, monkeypatch):
     monkeypatch.setattr(catalog, "BUCKET_CHARS", 5000)
     assert catalog.store_buckets(docs) == 20
     assert catalog.store_buckets(docs.limit(0)) == catalog.LEAST_BUCKETS
+
+
+def test_vectors_of_texts_are_made_where_they_are_searched(spark, chunks, asked):
+    vectors = asked.select("query_id", embed.dense_column(F.col("text")).alias("embedding"))
+    texts = chunks.select("chunk_id", "ord", "text").unionByName(spark.createDataFrame([("none", 0, None)], "chunk_id string, ord int, text string"))
+    found = dense.top_k(texts, vectors, 3, "chunk_id", "ord")
+    filled = texts.select("chunk_id", "ord", embed.dense_column(F.col("text")).alias("embedding"))
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, dense.top_k(filled, vectors, 3, "chunk_id", "ord").collect()))
+
+
+def test_accents_are_folded_in_the_worker(spark):
+    rows = spark.createDataFrame([("a", "Ção", "ÀÉ ünico İx straße")], "chunk_id string, title string, text string")
+    counted = lexical.chunk_counts(rows)
+    assert "translate" not in plan(counted)
+    want = rows.select(F.sort_array(T.lexical_tokens(F.concat_ws(" ", "title", "text")))).first()[0]
+    assert sorted(t["term"] for t in counted.first()["tfs"]) == want
