@@ -118,3 +118,13 @@ def test_accents_are_folded_in_the_worker(spark):
     assert "translate" not in plan(counted)
     want = rows.select(F.sort_array(T.lexical_tokens(F.concat_ws(" ", "title", "text")))).first()[0]
     assert sorted(t["term"] for t in counted.first()["tfs"]) == want
+
+
+def test_only_documents_that_were_found_are_cut_again(spark):
+    docs = spark.createDataFrame([("a#1", "t", "vetor raro " * 90), (None, "", "vetor denso"), ("c", "", "grafo")], "doc_id string, title string, text string")
+    queries = spark.createDataFrame([(1, "vetor raro denso")], "query_id int, text string")
+    pipeline = P.Pipeline()
+    found = pipeline.retrieve(pipeline.index(docs), queries)
+    assert "LeftSemi" in plan(found)
+    table = pipeline.retrieve(pipeline.kept_index(docs), queries)
+    assert sorted(map(str, found.collect())) == sorted(map(str, table.collect())) and found.filter("chunk_id = 'null#000'").count() == 1
