@@ -10,6 +10,7 @@ from lodestar.operators import dense, embed, lexical, metrics
 from lodestar.operators.best import Best
 from lodestar.plans import catalog
 from lodestar.plans import pipeline as P
+from lodestar.session import _written, release
 
 SCHEMA = pa.schema([("query_id", pa.int64()), ("id", pa.string()), ("ord", pa.int64()), ("score", pa.float64())])
 WORDS = "vetor indice termo raro denso busca texto grafo".split()
@@ -128,3 +129,11 @@ def test_only_documents_that_were_found_are_cut_again(spark):
     assert "LeftSemi" in plan(found)
     table = pipeline.retrieve(pipeline.kept_index(docs), queries)
     assert sorted(map(str, found.collect())) == sorted(map(str, table.collect())) and found.filter("chunk_id = 'null#000'").count() == 1
+
+
+def test_chunkings_are_compared_without_tables_of_vectors(spark):
+    docs = spark.createDataFrame([("a", "t", "vetor raro. " * 90), ("b", "", "grafo denso")], "doc_id string, title string, text string")
+    queries = spark.createDataFrame([(1, "vetor raro")], "query_id int, text string")
+    release(spark)
+    P.compare_chunking(docs, queries, spark.createDataFrame([(1, "a")], "query_id int, doc_id string")).collect()
+    assert not any("index_chunks" in name for held in _written.values() for name in held.paths)
