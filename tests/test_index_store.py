@@ -157,3 +157,23 @@ def test_pipeline_adds_to_a_store(spark, tmp_path):
     folders = [p for held in _written.values() for p in held.paths.values()]
     release(spark)
     assert folders and not any((tmp_path.__class__(p.removeprefix("file://"))).exists() for p in folders)
+
+
+def test_bounded_writes_hits_and_no_candidates(spark, tmp_path, monkeypatch):
+    """However many chunks reach a threshold, a task sends k hits a query; in several blocks of queries too."""
+    from lodestar.session import Scratch
+
+    whole, queries, k = chunks(spark), asked(spark), 3
+    store = IndexStore.create(spark, f"file://{tmp_path}/store", 2)
+    store.append(whole)
+    made, cut = {}, Scratch.cut
+    monkeypatch.setattr(Scratch, "cut", lambda self, df, name: made.setdefault(name, cut(self, df, name)))
+    monkeypatch.setattr(Scratch, "close", lambda self, *keep: None)
+    monkeypatch.setattr(bounded, "QUERY_BLOCK", 4)
+    found = bounded.top_k(store, queries, k)
+    assert sorted(map(tuple, found.hits.collect())) == plain(lexical.build_index(whole), queries, k)
+    tasks = made["found"].filter("some is not null").count() / max(1, made["judged"].select("query_id").distinct().count())
+    assert not {"candidates", "chosen", "scored"} & set(made)
+    assert made["found"].filter("some is null").groupBy("query_id").count().agg(F.max("count")).first()[0] <= tasks * k
+    assert found.counts.filter("rows_essential > rows_all or rows_scored > rows_all").count() == 0
+    store.close()
