@@ -84,6 +84,16 @@ def test_vectors_of_a_batch_are_those_of_its_rows(chunks, monkeypatch):
     assert np.allclose(whole, np.concatenate([w for w, _ in embed._filled(texts, 64, (1, 2))]), atol=1e-12)
 
 
+def test_a_batch_is_cut_into_tokens_bit_by_bit(chunks, monkeypatch):
+    texts = pa.array([r["text"] for r in chunks.collect()] + ["", "vetor " * 50])
+    whole = np.concatenate([w for w in embed.row_maker(64)(texts)])
+    held, tokens = [], embed._tokens
+    monkeypatch.setattr(embed, "_tokens", lambda part, pattern: held.append(len(part)) or tokens(part, pattern))
+    monkeypatch.setattr(embed, "BYTES", 100)
+    assert np.allclose(whole, np.concatenate([w for w in embed.row_maker(64)(texts)]), atol=1e-12)
+    assert max(held) < len(texts) and sum(held) == len(texts)
+
+
 def test_own_embeddings_need_no_join(spark, chunks):
     assert "Join" not in plan(P.Pipeline().embedded(chunks))
 
