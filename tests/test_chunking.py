@@ -129,3 +129,10 @@ def test_stats_of_nothing_are_zero(docs):
 def test_context_text(spark):
     df = spark.createDataFrame([("a#000", "a", "", "body"), ("b#000", "b", "T", "x")], "chunk_id string, doc_id string, title string, text string")
     assert [r[0] for r in df.select(chunking.context_text()).collect()] == ["[a#000] a\nbody", "[b#000] T\nx"]
+
+
+def test_windows_beyond_the_basic_plane_and_after_marks(spark):
+    text = "﻿a\U0001f600b﻿ç\u0085 de ﻿f\U0001f601 \u0085"  # no white space at its end: \u0085 is none
+    got = spark.createDataFrame([(text,)], "t string").select(T.window_chunks(F.col("t"), 5, 2)).first()[0]
+    cut = (text[i : i + 5].strip(T.WHITE_SPACE) for i in range(0, 3 * -(-(len(text) - 5) // 3) + 1, 3))
+    assert got == [p for p in cut if p]

@@ -147,3 +147,14 @@ def test_chunkings_are_compared_without_tables_of_vectors(spark):
     release(spark)
     P.compare_chunking(docs, queries, spark.createDataFrame([(1, "a")], "query_id int, doc_id string")).collect()
     assert not any("index_chunks" in name for held in _written.values() for name in held.paths)
+
+
+def test_an_index_for_some_queries_holds_their_terms_only(spark, chunks, asked):
+    few = asked.filter("query_id < 2")
+    index, whole = lexical.build_index(chunks, queries=few), lexical.build_index(chunks)
+    terms = {t["term"] for r in index.counts.collect() for t in r["tfs"]}
+    assert terms == set(WORDS[:3])
+    assert index.corpus.first() == whole.corpus.first()
+    order = chunks.select("chunk_id", "ord")
+    found = [sorted(map(tuple, lexical.top_k(i, few, 5, order).collect())) for i in (index, whole)]
+    assert found[0] == found[1] and found[0]
